@@ -92,7 +92,7 @@ def exact_duplicates(docs: DataFrame, primes=PRIMES, bases=BASES, chunk: int = C
     done = grouped.filter("group_size = 1")
     open_ = materialize(grouped.filter("group_size > 1").withColumn("differs", F.lit(0)), "copies")
     key.append("differs")
-    texts = source.join(open_.select("doc_id", "row_hash").distinct(), ["doc_id", "row_hash"], "left_semi").distinct()
+    texts = source.join(open_.select("doc_id", "row_hash").distinct().hint("merge"), ["doc_id", "row_hash"], "left_semi").distinct()
     pieces = texts.select(
         "doc_id", "row_hash", F.encode("text", "UTF-8").alias("raw")
     ).select("doc_id", "row_hash", "raw", F.explode(F.sequence(F.lit(0), (F.greatest(F.octet_length("raw"), F.lit(1)) - 1).cast("int"), F.lit(COMPARE))).alias("at"))

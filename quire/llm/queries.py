@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, simhash
+from . import exact, langid, licenses, lines, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_language_id": langid.op2_language_id,
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_simhash_near_duplicates": simhash.op9_simhash_near_duplicates,
     "op10_exact_duplicates": exact.op10_exact_duplicates,
 }
-SQL = {"op1_mix_sources": mixing.ORACLE, "op10_exact_duplicates": exact.ORACLE}
+SQL = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_exact_duplicates": exact.ORACLE}
