@@ -1,4 +1,4 @@
 """Registered queries of the library."""
 
-from . import ledger, text  # noqa: F401
+from . import ledger, search, text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
