@@ -68,28 +68,43 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(positive: list[dict[int, int]], unlabelled: list[dict[int, int]], prior: float, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3, least: int = 4, surprise: float = 4.0) -> ToxicModel:
+@dataclass
+class Bags:
+    """Features of many documents, flat: document i has buckets[starts[i]:starts[i + 1]] and their counts."""
+
+    starts: np.ndarray
+    buckets: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[dict[int, int]]) -> Bags:
+        sizes = [len(d) for d in docs]
+        flat = lambda values: np.fromiter((x for d in docs for x in values(d)), np.int32, sum(sizes))
+        return cls(np.cumsum([0, *sizes]), flat(dict.keys), flat(dict.values))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+
+def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3, least: int = 4, surprise: float = 4.0) -> ToxicModel:
     """Train by Adam on the non-negative risk.
 
     Only buckets seen in ``least`` positives, and there ``surprise`` standard deviations more often than
-    in unlabelled text, weigh anything.
+    in unlabelled text, weigh anything.  Without positives every text scores near 0.
     """
-    if not positive or not unlabelled:
-        return ToxicModel(np.zeros(BUCKETS, np.float32), -30.0 if not positive else 0.0, prior)
-    seen = np.bincount(np.concatenate([np.fromiter(d, np.int64) for d in positive]), minlength=BUCKETS)
-    usual = np.bincount(np.concatenate([np.fromiter(d, np.int64) for d in unlabelled]), minlength=BUCKETS)
-    usual = (usual + 0.5) * len(positive) / len(unlabelled)
+    if not len(positive) or not len(unlabelled):
+        return ToxicModel(np.zeros(BUCKETS, np.float32), -30.0 if not len(positive) else 0.0, prior)
+    seen = np.bincount(positive.buckets, minlength=BUCKETS)
+    usual = (np.bincount(unlabelled.buckets, minlength=BUCKETS) + 0.5) * len(positive) / len(unlabelled)
     keep = np.flatnonzero((seen >= min(least, len(positive))) & (seen - usual >= surprise * np.sqrt(usual)))
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[keep] = np.arange(len(keep))
 
-    def sparse(docs):
-        cols = [place[np.fromiter(d, np.int64, len(d))] for d in docs]
-        vals = [np.minimum(np.fromiter(d.values(), np.float64, len(d)), 4.0) for d in docs]
-        rows = np.repeat(np.arange(len(docs)), [len(c) for c in cols])
-        cols, vals = np.concatenate(cols), np.concatenate(vals)
+    def sparse(docs: Bags):
+        cols = place[docs.buckets]
         ok = cols >= 0
-        return rows[ok], cols[ok], vals[ok], len(docs)
+        rows = np.repeat(np.arange(len(docs)), np.diff(docs.starts))[ok]
+        return rows, cols[ok], np.minimum(docs.counts[ok], 4).astype(np.float64), len(docs)
 
     def margin(x, w, b):
         return np.bincount(x[0], x[2] * w[x[1]], x[3]) + b
@@ -147,7 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         kind = pa.list_(pa.int32())
         return pa.record_batch([pa.array([[*f] for f in found], kind), pa.array([[*f.values()] for f in found], kind)], ["b", "n"])
 
-    read = lambda df: [dict(zip(r.b, r.n)) for r in arrow_map(df, counted, "b array<int>, n array<int>").toLocalIterator()]
+    def read(df: DataFrame) -> Bags:
+        rows = arrow_map(df, counted, "b array<int>, n array<int>").toArrow()
+        b, n = rows.column("b").combine_chunks(), rows.column("n").combine_chunks()
+        if not len(b):
+            return Bags.of([])
+        return Bags(b.offsets.to_numpy().astype(np.int64) - b.offsets[0].as_py(), b.flatten().to_numpy(), n.flatten().to_numpy())
+
     return fit(read(marked), read(plain), prior)
 
 
