@@ -212,7 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     out, last = None, None
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     while True:
-        part = (items if last is None else items.filter(F.struct("item_id", "text") > F.struct(F.lit(last[0]), F.lit(last[1])))).orderBy("item_id", "text").limit(shard).collect()
+        part = (items if last is None else items.filter((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))).orderBy("item_id", "text").limit(shard).collect()
         if not part and out is not None:
             return out
         sent = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part]))

@@ -9,7 +9,7 @@ than about one long document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,7 +35,7 @@ def water_fill(sizes: list[int], weights: list[float], share: float, cap: float)
     return targets
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 7, carry: tuple[Column, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies.
 
     ``size`` is the number of words (null text: 0); sources, by code point and null last, weigh
@@ -43,8 +43,9 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     its source.  ``copies`` is how often the mix takes the document, ``taken`` the words that makes.
     Empty texts get copies but take no words; equal rows share one rank order, so which of them is
     taken does not matter.  An empty table gives no rows; a source of no words has target 0 and
-    is taken not at all.  Other columns of ``docs`` are ignored.
+    is taken not at all.  Other columns of ``docs`` are ignored, but ``carry`` (named columns) comes out too.
     """
+    extra = [c for c in docs.select(*carry).columns] if carry else []
     spark = docs.sparkSession
     digits = F.length(F.col("size").cast("string"))
     sized = docs.select(
@@ -52,6 +53,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("order"),
+        *carry,
     ).withColumn("class", digits * 100 + F.expr("size div cast(pow(10, greatest(length(cast(size as string)) - 2, 0)) as bigint)").cast("int"))
     sized = materialize(sized.withColumn("block", F.substring("order", 1, 2)), "sized")
 
@@ -78,14 +80,14 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     )
     ranked = sized.withColumn("i", F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("order", "doc_id")))
     placed = ranked.join(starts, same(ranked, starts, "source", "class", "block")).select(
-        ranked["doc_id"], ranked["source"], "size", (F.col("start") + F.col("i")).alias("rank")
+        ranked["doc_id"], ranked["source"], *extra, "size", (F.col("start") + F.col("i")).alias("rank")
     )
     out = placed.join(sources, same(placed, sources, "source"))
     offset = (F.conv(F.substring(F.md5(F.concat(F.coalesce(placed["source"].cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 4), 16, 10).cast("double") + 0.5) / 65536.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = lambda r: F.floor(r * rate + offset)
     copies = (crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("int")
-    return out.select(placed["doc_id"], "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+    return out.select(placed["doc_id"], "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), *extra)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
