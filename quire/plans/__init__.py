@@ -1,4 +1,4 @@
 """Registered queries of the library."""
 
-from . import dialogue, ledger, records, search, text  # noqa: F401
+from . import derived, dialogue, ledger, records, search, text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
