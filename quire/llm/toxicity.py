@@ -90,7 +90,7 @@ def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate:
     """Train by Adam on the non-negative risk.
 
     Only buckets seen in ``least`` positives, and there ``surprise`` standard deviations more often than
-    in unlabelled text, weigh anything.  Without positives every text scores near 0.
+    in unlabelled text, weigh anything.  A ``prior`` above what the unlabelled text allows is lowered.  Without positives every text scores near 0.
     """
     if not len(positive) or not len(unlabelled):
         return ToxicModel(np.zeros(BUCKETS, np.float32), -30.0 if not len(positive) else 0.0, prior)
@@ -110,6 +110,11 @@ def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate:
         return np.bincount(x[0], x[2] * w[x[1]], x[3]) + b
 
     p, u = sparse(positive), sparse(unlabelled)
+    # Unlabelled text holds at least prior times the positives' share of any event, so an event bounds the
+    # prior: here, holding one of the buckets kept.  It matters where labels were not drawn evenly.
+    share = lambda x: len(np.unique(x[0])) / x[3]
+    if share(p) > 0:
+        prior = min(prior, max(0.001, share(u) / share(p)))
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))

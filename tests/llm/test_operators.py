@@ -261,6 +261,14 @@ def test_toxicity_learns_without_negatives(spark):
     assert toxicity.score_toxicity(df, none).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_lowers_a_prior_that_text_refutes():
+    rng = random.Random(12)
+    docs = [(words(rng, 50) + (" grumph vile" if i % 7 == 0 else "")).encode() for i in range(280)]
+    bags = [toxicity.features(d) for d in docs]
+    model = toxicity.fit(toxicity.Bags.of(bags[::7]), toxicity.Bags.of(bags), 0.4)
+    assert [*np.flatnonzero(model.score(docs) >= 0.5)] == [*range(0, 280, 7)]
+
+
 def test_language_id_labels_switched_text(spark):
     rng = random.Random(10)
     stems = {"en": ["the", "ing", "ship", "th", "ow"], "de": ["sch", "keit", "über", "der", "ung"], "fr": ["eau", "été", "oir", "les", "que"]}
