@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import plans
-from quire.functions import names, text
-from quire.operators import graph, usage
+from quire.functions import names, text, values
+from quire.operators import documents, graph, usage
 from quire.session import Scope
 from quire.sources import readers
 from quire.streaming import streams
@@ -52,6 +52,32 @@ def test_shingles_of_few_words(spark):
     assert [r[0] for r in v.select(text.shingles(F.col("s"))).collect()] == [["the quick brown", "quick brown fox"], ["hello world"], [], []]
 
 
+def test_transcript_gate(spark):
+    cases = {"": "empty", "short": "too_short", "I'm sorry, but there is nothing in this picture to read": "refusal", "a" * 20 + " " + "b" * 20: "too_few_words",
+             "one two three four five six seven eight nine ten eleven": "ok", "\n".join(["a b c"] * 12): "repetitive", "\x01\x02 " * 30: "garbled"}
+    v = spark.createDataFrame([(c,) for c in cases], "s string")
+    assert {r[0]: r[1] for r in v.select("s", values.transcript_gate(F.col("s"))["reason"]).collect()} == cases
+
+
+def test_redaction_is_undone_and_keeps_one_token_for_a_value():
+    text = "Patient: Ann Lee, SSN 123-45-6789 and again 123-45-6789; card 4111 1111 1111 1111 not 4111 1111 1111 1112. Pagoda Goda"
+    out, mapping = documents.Redactor((("org", "Goda"),))(text)
+    assert out.count("[SSN_1]") == 2 and "[CREDIT_CARD_1]" in out and "1112" in out and "[PERSON_1]" in out and "Pagoda [ORG_1]" in out
+    assert documents.restore(out, mapping) == text and documents.restore("[PERSON_99]", mapping) == "[PERSON_99]"
+    assert documents.Redactor()(None) == (None, {}) and documents.Redactor()("") == ("", {})
+
+
+def test_chunks_cover_their_page():
+    page = "\n\n".join(["word " * n for n in (5, 30, 400, 3, 2, 60, 61, 1)])
+    joined = " ".join(" ".join(b.split()) for b in page.split("\n\n"))
+    for target, overlap in ((1000, 150), (200, 20), (50, 49)):
+        spans = documents.pack(page, target, overlap)
+        assert all(joined[a:b] == t and len(t) <= target for t, a, b in spans)
+        assert {i for _, a, b in spans for i in range(a, b)} >= {i for i, c in enumerate(joined) if c != " "}
+    assert documents.pack("") == [] and documents.keep_first(["a b c d e", "a b c d f"], 0.5) == [0] and documents.keep_first(["a b c d e", "a b c d f"], 0.99) == [0, 1]
+    assert documents.nfkc("１２３ ﬁle\x00\t\n") == "123 file\t\n" and documents.nfkc(None) is None
+
+
 def test_traversal_counts_a_node_at_each_depth(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long")
     got = {tuple(r) for r in graph.traverse(edges, spark.createDataFrame([(1,)], "node long"), 3, "out").collect()}
