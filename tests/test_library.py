@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import plans
+from quire.engine import Engine
 from quire.functions import names, text, values
 from quire.operators import documents, graph, usage
 from quire.session import Scope
@@ -109,3 +110,13 @@ def test_stream_limit_equals_batch_limit(spark, tmp_path):
     done = streams.ingest(stream, lambda d: d.filter("event_id % 2 = 0"), f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/cp")
     done.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 50
+
+
+def test_engine_searches_in_scope_and_takes_hooks(spark):
+    engine = Engine(spark, Scope("t"))
+    docs = spark.createDataFrame([(1, "t", "red ships sail far"), (2, "t", "green hills"), (3, "u", "red ships")], "doc long, tenant_id string, text string")
+    asked = spark.createDataFrame([(7, "red ships")], "qid long, text string")
+    hits = engine.search(asked, docs).collect()
+    assert [h.doc for h in sorted(hits, key=lambda h: h.rank)] == [1, 2]
+    engine.hooks["rerank"] = lambda h: h.limit(0)
+    assert engine.search(asked, docs).count() == 0
