@@ -91,12 +91,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = [c for c in docs.columns if c != "removed_runs"]
     own = docs.select(*names).withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = own.join(runs, own["doc_id"].eqNullSafe(runs["_doc"]) & (own["_row"] == runs["_hash"]), "left")
-    lines = F.split("text", "\n")
     # Kept stretches lie between runs: after run i (or the start) up to run i+1 (or the end).
     starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last"] + 1))
-    ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(F.size(lines)))
-    pieces = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: x["a"] < x["b"])
-    kept = F.array_join(F.flatten(F.transform(pieces, lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"]))), "\n")
+
+    def rest(lines):
+        ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(F.size(lines)))
+        pieces = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: x["a"] < x["b"])
+        return F.array_join(F.flatten(F.transform(pieces, lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"]))), "\n")
+
+    kept = F.transform(F.array(F.split("text", "\n")), rest)[0]  # the array around it splits a text once
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept).alias("text")
     return joined.select(*(text if c == "text" else F.col(c) for c in names), F.col("_runs").alias("removed_runs"))
 
