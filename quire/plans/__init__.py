@@ -1,4 +1,4 @@
 """Registered queries of the library."""
 
-from . import derived, dialogue, ledger, records, saved, search, text, values  # noqa: F401
+from . import derived, dialogue, ledger, limits, records, saved, search, text, values  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
