@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows, so at most HOT_PARTS keys are hot.
 HOT_PARTS = 512
+#: Bytes of an Arrow batch handed to Python.
+BATCH = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -58,7 +60,14 @@ def text_batches(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow over one batch at a time, in slices of bounded text so that memory stays bounded."""
+    """mapInArrow over one batch at a time, in slices of bounded text so that memory stays bounded.
+
+    The session's Arrow batches are cut to BATCH bytes if they may be larger.
+    """
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(size).rstrip("b")
+    if not (now.isdigit() and int(now) <= BATCH):
+        conf.set(size, f"{BATCH}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
