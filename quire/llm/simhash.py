@@ -120,7 +120,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = LIMIT, segme
     """
     slim = materialize(fingerprints(docs, shingle), "fingerprints")
     fps = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "distinct")
-    root = materialize(components(links(fps, limit, segments, bucket)), "components")
+    return named(slim, fps, links(fps, limit, segments, bucket))
+
+
+def named(slim: DataFrame, fps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``slim``, from the distinct ``fps`` and the ``pairs`` that link them."""
+    root = materialize(components(pairs), "components")
     # One label per fingerprint: its component's least doc_id, or its own where nothing links.
     member = fps.join(root, fps["fp"] == root["node"]).select("fp", "first_id", "root")
     member = materialize(member, "members")
