@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +53,19 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc0", "licensed under cc0 1 0 universal", ("cc0 1 0",)),
 )
-#: Without one of these no template and no base phrase can match, so only such texts keep their words.
-CONTENT = ("license", "licensed", "permission", "redistribute", "redistribution", "gnu", "mozilla", "eclipse", "unencumbered")
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for t in templates for w in t.text.split()} | {w for p, _ in BASE for w in p.split()})
 
 
+def _may_match(templates) -> Column:
+    """Whether all words of one template's mandatory phrases, or of one base phrase, are among ``present``."""
+    needed = {frozenset(w for k in t.keys for w in k.split()) for t in templates} | {frozenset(p.split()) for p, _ in BASE}
+    needed = sorted(sorted(n) for n in needed if not any(other < n for other in needed))
+    return reduce(lambda a, b: a | b, (F.size(F.array_intersect("present", _strings(n))) == len(n) for n in needed))
+
+
 def _words() -> Column:
     text = F.coalesce("text", F.lit(""))
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
@@ -117,8 +123,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, anchors: int = ANCHORS, looked_up
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.array_intersect("words", _strings(vocab)).alias("present"),
-        F.when(F.arrays_overlap("words", _strings(CONTENT)), F.col("words")).alias("words"),
+        "words",
     )
+    first = first.withColumn("words", F.when(_may_match(templates), F.col("words")))
     first = materialize(first, "licence-words")
     total = 0
     seen = dict.fromkeys(vocab, 0)

@@ -216,6 +216,12 @@ def test_license_scan_matches_brute_force(spark):
     assert {m.label for m in got[len(texts) - 2].matches} == {"cc-by-nc"} and {m.label for m in got[len(texts) - 1].matches} == {"mit"}
 
 
+def test_license_scan_needs_no_word_outside_the_phrases(spark):
+    texts = ["Published under CC BY-SA 4.0", "Creative Commons Attribution 4.0 International", "CC0 1.0 Universal", "(cc by nc)", "creative commons attribution sharealike", "cc by", "cc0 1"]
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == {0: {"cc-by-sa"}, 1: {"cc-by"}, 2: {"cc0"}, 3: {"cc-by-nc"}, 4: {"cc-by-sa"}, 5: set(), 6: set()}
+
+
 def test_wand_finds_what_exhaustive_search_finds():
     rng = random.Random(6)
     index = decontam.Index([(i, words(rng, rng.randint(3, 30))) for i in range(60)] + [(99, None), (98, "")], block=4)
