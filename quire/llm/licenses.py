@@ -1,8 +1,8 @@
 """Licence scan with a positional index of rare licence words, in DataFrame operations only.
 
 The index holds, for each licence template, the positions of the rarest words of its mandatory key
-phrases, rarity being measured over all documents scanned (inverse document frequency).  A file looks up the licence words it holds,
-rarest first; a template becomes a candidate at offset o where two or more of its indexed words stand
+phrases, rarity being measured over all documents scanned (inverse document frequency).  A file looks up every indexed word it holds;
+a template becomes a candidate at offset o where two or more of its indexed words stand
 at the positions o + p the template gives them.  A candidate counts once every mandatory key phrase
 of the template stands in place.  All of it is local to a row, apart from the word frequencies.
 """
@@ -21,8 +21,8 @@ from ._common import materialize
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # on text whose A-Z are not lowered yet
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Rarest words indexed of each template, and licence words a file looks up.
-ANCHORS, LOOKED_UP = 4, 32
+#: Rarest words indexed of each template.
+ANCHORS = 4
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def _template_matches(t: Template, rarest: list[str]) -> Column:
     return F.transform(found, lambda o: F.struct(F.lit(t.label).alias("label"), o.cast("int").alias("offset"), share(o).alias("share")))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, anchors: int = ANCHORS, looked_up: int = LOOKED_UP) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, anchors: int = ANCHORS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, base (array of label and start), matches (array of
     label, offset, share).
 
@@ -136,8 +136,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, anchors: int = ANCHORS, looked_up
 
     rarest = {t: sorted({w for k in t.keys for w in k.split()}, key=lambda w: (-idf[w], w))[:anchors] for t in templates}
     words = F.col("words")
-    rank = F.create_map(*(F.lit(x) for i, w in enumerate(sorted(vocab, key=lambda w: (-idf[w], w))) for x in (w, i)))
-    own = F.slice(F.transform(F.array_sort(F.transform("present", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda x: x["w"]), 1, looked_up)
+    own = F.array_intersect("present", _strings(sorted({w for r in rarest.values() for w in r})))
     found = first.filter("words IS NOT NULL").withColumn("own", own)
     hit = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains("own", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     found = found.withColumn("hits", hit)

@@ -222,6 +222,16 @@ def test_license_scan_needs_no_word_outside_the_phrases(spark):
     assert got == {0: {"cc-by-sa"}, 1: {"cc-by"}, 2: {"cc0"}, 3: {"cc-by-nc"}, 4: {"cc-by-sa"}, 5: set(), 6: set()}
 
 
+def test_license_scan_finds_all_licences_of_one_file(spark):
+    text = "; ".join(t.text for t in licenses.TEMPLATES)
+    rows = licenses.scan(docs_of(spark, [text, "x", licenses.TEMPLATES[0].text])).collect()
+    got = {r.doc_id: r for r in rows}
+    at = 0
+    for t in licenses.TEMPLATES:
+        assert (t.label, at, 1.0) in {(m.label, m.offset, m.share) for m in got[0].matches}, t
+        at += len(t.text.split())
+
+
 def test_wand_finds_what_exhaustive_search_finds():
     rng = random.Random(6)
     index = decontam.Index([(i, words(rng, rng.randint(3, 30))) for i in range(60)] + [(99, None), (98, "")], block=4)
