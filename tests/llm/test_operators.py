@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -191,29 +192,50 @@ def test_water_fill():
     assert mixing.water_fill([0, 0], [5, 2], 1.5, 2) == [0, 0]
 
 
-BASE = [(p.split(), label) for p, label in licenses.BASE]
+def brute_licences(text, templates=licenses.TEMPLATES):
+    """(n_words, base places, template places) by plain loops over every start."""
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    base = sorted((k, label) for p, label in licenses.BASE for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split())
+    places = set()
+    for t in templates:
+        parts = licenses.words_of(t.text)
+        spots = []
+        for key in map(licenses.words_of, t.keys):
+            at = next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
+            spots.append({k - at for k in range(len(ws)) if ws[k : k + len(key)] == key})
+        places |= {(t.label, o) for o in set.intersection(*spots)}
+    return len(ws), base, places
 
 
 def test_license_scan_matches_brute_force(spark):
-    import re
-
-    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     rng = random.Random(5)
-    pool = ["MIT", "License", "license", "apache", "general", "public", "é", "x", "GNU", "version", "2.0", "under the", "cc", "by", "nc", "4.0", "Licensed"]
+    pool = ["MIT", "License", "license", "apache", "general", "public", "é", "x", "GNU", "version", "2.0", "under the", "cc", "by", "nc", "4.0", "sa", "Licensed", "\u212a", "Lesser"]
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(60)]
-    texts += [None, "", "mit-license", "x_mit license9", "Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"]
+    texts += [None, "", "mit-license", "x_mit license9", "MIT LICENSE \u212a", "cc0 1", "cc by", "Permission is hereby granted, free of charge", "Redistribution and use in source and binary forms without modification"]
+    for _ in range(40):  # whole, cut and damaged notices of several licences in one file
+        parts = []
+        for t in rng.sample(licenses.TEMPLATES, rng.randint(1, 12)):
+            ws = t.text.split()
+            if rng.random() < 0.3:
+                del ws[rng.randrange(len(ws))]
+            parts.append(" ".join(ws[rng.randint(0, 2) :]))
+        texts.append(rng.choice(["; ", " notice\n"]).join(parts))
     got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts, clash=True)).collect()}
     for i, t in enumerate(texts):
-        ws = pattern.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        hits = sorted((k, label) for p, label in BASE for k in range(len(ws)) if ws[k : k + len(p)] == p)
-        assert (got[i].n_words, [(b.start, b.label) for b in got[i].base]) == (len(ws), hits)
-        for tm in licenses.TEMPLATES:  # a whole template is always found
-            parts = tm.text.split()
-            at = [k for k in range(len(ws)) if ws[k : k + len(parts)] == parts]
-            assert {(tm.label, k) for k in at} <= {(m.label, m.offset) for m in got[i].matches}
-        for m in got[i].matches:
-            assert 0 < m.share <= 1
-    assert {m.label for m in got[len(texts) - 2].matches} == {"cc-by-nc"} and {m.label for m in got[len(texts) - 1].matches} == {"mit"}
+        n, base, places = brute_licences(t)
+        assert (got[i].n_words, [(b.start, b.label) for b in got[i].base]) == (n, base), t
+        assert {(m.label, m.offset) for m in got[i].matches} == places, t
+        assert all(0 < m.share <= 1 for m in got[i].matches)
+
+
+def test_license_scan_takes_templates_of_the_caller(spark):
+    own = (licenses.Template("one", "word of licensing word", ("licensing",)), licenses.Template("two", "a b a b", ("a b a b",)))
+    texts = ["licensing", "a b a b a b", "b a b", None]
+    got = {r.doc_id: {(m.label, m.offset) for m in r.matches} for r in licenses.scan(docs_of(spark, texts), own).collect()}
+    assert got == {i: brute_licences(t, own)[2] for i, t in enumerate(texts)} and got[0] == {("one", -2)} and len(got[1]) == 2
+    with pytest.raises(ValueError):
+        licenses.entries((licenses.Template("x", "a b", ("c",)),))
 
 
 def test_license_scan_needs_no_word_outside_the_phrases(spark):
@@ -229,7 +251,7 @@ def test_license_scan_finds_all_licences_of_one_file(spark):
     at = 0
     for t in licenses.TEMPLATES:
         assert (t.label, at, 1.0) in {(m.label, m.offset, m.share) for m in got[0].matches}, t
-        at += len(t.text.split())
+        at += len(licenses.words_of(t.text))
 
 
 def test_wand_finds_what_exhaustive_search_finds():
