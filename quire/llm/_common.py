@@ -12,33 +12,52 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows, so at most HOT_PARTS keys are hot.
 HOT_PARTS = 512
-#: Bytes of an Arrow batch handed to Python.
+#: Bytes of an Arrow batch handed to Python by the registered queries.
 BATCH = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session takes a temporary folder of the machine; a cluster has no folder
+    that all its machines share by itself, so there it must be set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, deleted when the session's file system closes."""
     path = f"{scratch_dir(spark)}/quire/{uuid.uuid4().hex}-{name}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _files(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables ``materialize`` wrote that no later step reads."""
+    for df in written:
+        remove(df.sparkSession, df._scratch)
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
@@ -62,12 +81,8 @@ def text_batches(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over one batch at a time, in slices of bounded text so that memory stays bounded.
 
-    The session's Arrow batches are cut to BATCH bytes if they may be larger.
+    Spark's batches are bounded by rows and, through spark.sql.execution.arrow.maxBytesPerBatch, bytes.
     """
-    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(size).rstrip("b")
-    if not (now.isdigit() and int(now) <= BATCH):
-        conf.set(size, f"{BATCH}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,20 +127,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = seen
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("deg"))
-        large = skew_join(both, materialize(least, "large"), ["u"], "deg", 2 * seen[0]).filter("v > u")
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("deg")), "large")
+        large = skew_join(both, least, ["u"], "deg", 2 * seen[0]).filter("v > u")
         e1 = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        release(least, e)
         least = materialize(e1.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "small")
         small = skew_join(e1, least, ["u"], "deg", e1.count()).filter("v <> m")
         e = materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(),
             "small-star",
         )
+        release(least, e1)
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(
         roots.select(F.col("root").alias("node"), "root").distinct()
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches to BATCH bytes if they may be larger; the registered queries ask for it, operators do not."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(size).rstrip("b")
+    if not (now.isdigit() and int(now) <= BATCH):
+        spark.conf.set(size, f"{BATCH}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

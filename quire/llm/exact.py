@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, materialize, skew_join, text_batches
+from ._common import arrow_map, materialize, release, skew_join, small_batches, text_batches
 
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 998244353)
 CHUNK = 1 << 13  # byte * power sums stay below 2**53, exact in doubles
 COMPARE = 1 << 16  # bytes compared at a time
 SPREAD = 256  # members of a group that share one copy of the kept text
+ROW = ("row_a", "row_b")  # hashes by which a row is known
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -65,8 +66,8 @@ def _prints(primes, bases, chunk):
         texts = text_batches(batch.column(1))
         prints = np.array([polynomial(t, primes, bases, chunk, powers) for t in texts], np.int64).reshape(-1, 2)
         return pa.record_batch(
-            [batch.column(0), batch.column(2), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-            ["doc_id", "row_hash", "h1", "h2", "n_bytes", "text_sha256"],
+            [batch.column(0), *batch.columns[2:], pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
+            ["doc_id", *ROW, "h1", "h2", "n_bytes", "text_sha256"],
         )
 
     return run
@@ -77,49 +78,55 @@ def exact_duplicates(docs: DataFrame, primes=PRIMES, bases=BASES, chunk: int = C
 
     Null texts equal empty ones.  The largest doc_id of equal texts stays (nulls are smaller than any
     id); rows repeated with that very id are the same document and all show kept.  Columns other
-    than doc_id and text are ignored.  Smaller primes only make more texts meet; they are told apart.
+    than doc_id and text are ignored.  Fingerprints that collide decide nothing: every row but the one
+    its group is compared with, null and repeated ids included, is held against that row's text, and
+    rows that differ form groups of their own.  A row is known by 128 bits of hash over id and text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    source = source.withColumns({name: F.xxhash64(F.lit(i), F.col("doc_id").isNull(), "doc_id", "text") for i, name in enumerate(ROW)})
     rows = materialize(
-        arrow_map(source, _prints(primes, bases, chunk), f"doc_id {kind}, row_hash long, h1 long, h2 long, n_bytes long, text_sha256 string"),
+        arrow_map(source, _prints(primes, bases, chunk), f"doc_id {kind}, {', '.join(f'{c} long' for c in ROW)}, h1 long, h2 long, n_bytes long, text_sha256 string"),
         "prints",
     )
     key = ["h1", "h2", "n_bytes"]
     total = rows.count()
-    groups = materialize(rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    groups = materialize(_groups(rows, key), "groups")
     grouped = skew_join(rows, groups, key, "group_size", total)
     done = grouped.filter("group_size = 1")
     open_ = materialize(grouped.filter("group_size > 1").withColumn("differs", F.lit(0)), "copies")
     key.append("differs")
-    texts = source.join(open_.select("doc_id", "row_hash").distinct().hint("merge"), ["doc_id", "row_hash"], "left_semi").distinct()
-    pieces = texts.select(
-        "doc_id", "row_hash", F.encode("text", "UTF-8").alias("raw")
-    ).select("doc_id", "row_hash", "raw", F.explode(F.sequence(F.lit(0), (F.greatest(F.octet_length("raw"), F.lit(1)) - 1).cast("int"), F.lit(COMPARE))).alias("at"))
-    pieces = materialize(pieces.select("doc_id", "row_hash", "at", F.expr(f"substring(raw, at + 1, {COMPARE})").alias("piece")), "pieces")
+    texts = source.drop("doc_id").join(open_.select(*ROW).distinct().hint("merge"), [*ROW], "left_semi").distinct()
+    pieces = texts.select(*ROW, F.encode("text", "UTF-8").alias("raw"))
+    pieces = pieces.select(*ROW, "raw", F.explode(F.sequence(F.lit(0), (F.greatest(F.octet_length("raw"), F.lit(1)) - 1).cast("int"), F.lit(COMPARE))).alias("at"))
+    pieces = materialize(pieces.select(*ROW, "at", F.expr(f"substring(raw, at + 1, {COMPARE})").alias("piece")), "pieces")
     while True:
         salts = F.ceil(F.col("group_size") / SPREAD).cast("int")
-        member = open_.filter(F.coalesce(F.col("doc_id") != F.col("keep_id"), F.col("keep_id").isNotNull()))
-        mine = member.join(pieces, ["doc_id", "row_hash"]).select(
-            *key, "row_hash", "doc_id", "at", "piece", F.pmod(F.xxhash64("doc_id", "row_hash"), salts).cast("int").alias("salt")
-        )
-        # Rows of one id with different texts can share a fingerprint: one of them, by hash, stands for the id.
-        kept = open_.filter("doc_id = keep_id").groupBy(*key, "doc_id", "group_size").agg(F.min("row_hash").alias("row_hash"))
-        theirs = kept.join(pieces, ["doc_id", "row_hash"]).select(*key, "at", F.col("piece").alias("kept_piece"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        wrong = mine.join(theirs, [*key, "salt", "at"]).filter("piece <> kept_piece").select(*key, "doc_id", "row_hash").distinct()
-        wrong = materialize(wrong, "different")
+        other = (F.col(ROW[0]) != F.col("head")[ROW[0]]) | (F.col(ROW[1]) != F.col("head")[ROW[1]])
+        mine = open_.filter(other).select(*key, *ROW, F.pmod(F.col(ROW[0]), salts).cast("int").alias("salt")).distinct().join(pieces, [*ROW])
+        heads = open_.select(*key, "head.*", "group_size").drop("doc_id").distinct()
+        theirs = heads.join(pieces, [*ROW]).select(*key, "at", F.col("piece").alias("kept_piece"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        wrong = materialize(mine.join(theirs, [*key, "salt", "at"]).filter("piece <> kept_piece").select(*key, *ROW).distinct(), "different")
         if wrong.isEmpty():
             break
-        split = open_.join(wrong.withColumn("moved", F.lit(1)), [*key, "doc_id", "row_hash"], "left")
-        split = split.withColumn("differs", F.col("differs") + F.coalesce("moved", F.lit(0))).drop("moved", "keep_id", "group_size")
+        split = open_.join(wrong.withColumn("moved", F.lit(1)), [*key, *ROW], "left")
+        split = split.withColumn("differs", F.col("differs") + F.coalesce("moved", F.lit(0))).drop("moved", "head", "keep_id", "group_size")
         split = materialize(split, "split")
-        again = split.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        open_ = materialize(skew_join(split, again, key, "group_size", split.count()), "copies")
+        before, open_ = open_, materialize(skew_join(split, _groups(split, key), key, "group_size", split.count()), "copies")
+        release(before, split, wrong)
+    release(pieces)
     cols = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), "text_sha256"]
     return done.select(*cols).unionByName(open_.select(*cols))
 
 
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Size of each group, its largest doc_id, and the row of that id all others are compared with."""
+    head = F.max(F.struct("doc_id", *ROW))  # a null id is the least
+    return rows.groupBy(*key).agg(head.alias("head"), F.count("*").alias("group_size")).withColumn("keep_id", F.col("head.doc_id"))
+
+
 def op10_exact_duplicates(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

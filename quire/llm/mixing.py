@@ -9,30 +9,49 @@ than about one long document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import materialize
+from ._common import materialize, release, skew_join
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources are few by nature; beyond this the driver refuses instead of gathering them.
-MAX_SOURCES = 1_000_000
+#: Equal rows ranked in one piece; longer runs of them are dealt out again.
+RUN = 4096
+
 
+def running(df: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """``df`` with, for each of ``sums``, its total over all rows before in ``order``.
+
+    Rows are dealt out by range; each range adds up its own, and one row per range gives its start.
+    """
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_range", *(F.coalesce(F.sum(f"_{name}").over(ahead), F.lit(0)).alias(f"_{name}") for name in sums))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.withColumns({f"_own_{name}": F.coalesce(F.sum(c).over(own), F.lit(0)) for name, c in sums.items()}).join(F.broadcast(per), "_range")
+    return joined.select(*df.columns, *((F.col(f"_own_{name}") + F.col(f"_{name}")).alias(name) for name in sums))
 
-def water_fill(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
-    """Targets in proportion to weights that add up to share x all sizes, none above cap x its size."""
-    targets = [0.0] * len(sizes)
-    order = sorted(range(len(sizes)), key=lambda i: (cap * sizes[i] / weights[i], i))
-    left, weight = share * sum(sizes), float(sum(weights))
-    while order and left > 0 and left / weight > cap * sizes[order[0]] / weights[order[0]]:
-        i = order.pop(0)
-        targets[i] = cap * sizes[i]
-        left, weight = left - targets[i], weight - weights[i]
-    for i in order:
-        targets[i] = max(0.0, left / weight * weights[i])
-    return targets
+
+def targets(sources: DataFrame, share: float, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """``sources`` (key, source_size) with ``target``: words in proportion to ``weights``, given out in turn
+    by key, that add up to ``share`` of all sizes, none above ``cap`` times its size.
+
+    Sources fill up in order of cap over weight; the first one that the words left would not fill sets
+    the level for it and all after it.  Sources may be of any number.
+    """
+    numbered = running(sources, ["key"], i=F.lit(1).cast("long"))
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("i"), F.lit(len(weights))).cast("int"))
+    rated = numbered.withColumn("w", weight).withColumn("full", cap * F.col("source_size")).withColumn("r", F.col("full") / F.col("w"))
+    filled = running(rated, ["r", "i"], given=F.col("full"), passed=F.col("w"))
+    whole = filled.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
+    level = (share * (whole.n or 0) - F.col("given")) / ((whole.w or 0.0) - F.col("passed"))
+    first = filled.withColumn("level", level).filter("level <= r").agg(F.min(F.struct("r", "i", "level")).alias("x")).first().x
+    height = F.lit(first.level if first else math.inf)
+    return filled.select("key", "source_size", F.when(height > F.col("r"), F.col("full")).otherwise(F.least("full", height * F.col("w"))).alias("target"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 7, carry: tuple[Column, ...] = ()) -> DataFrame:
@@ -41,53 +60,55 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     ``size`` is the number of words (null text: 0); sources, by code point and null last, weigh
     ``weights`` in turn; their targets add up to ``share`` of all words and none exceeds ``cap`` times
     its source.  ``copies`` is how often the mix takes the document, ``taken`` the words that makes.
-    Empty texts get copies but take no words; equal rows share one rank order, so which of them is
-    taken does not matter.  An empty table gives no rows; a source of no words has target 0 and
-    is taken not at all.  Other columns of ``docs`` are ignored, but ``carry`` (named columns) comes out too.
+    Documents stand in falling size class and there in the order of a hash of id and text, so reruns
+    agree whatever the partitions; rows equal in both, null and repeated ids included, are counted and
+    ranked as one run, and which of them is taken makes no difference.  Empty texts get copies but take
+    no words.  An empty table gives no rows; a source of no words has target 0 and is not taken at
+    all.  Other columns of ``docs`` are ignored, but ``carry`` (named columns) comes out too.
     """
     extra = [c for c in docs.select(*carry).columns] if carry else []
-    spark = docs.sparkSession
     digits = F.length(F.col("size").cast("string"))
+    text = F.coalesce("text", F.lit(""))
     sized = docs.select(
         F.col("doc_id"),
-        F.col("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("key"),  # null last
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("order"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(text.cast("binary"))).cast("binary")).alias("order"),
         *carry,
     ).withColumn("class", digits * 100 + F.expr("size div cast(pow(10, greatest(length(cast(size as string)) - 2, 0)) as bigint)").cast("int"))
-    sized = materialize(sized.withColumn("block", F.substring("order", 1, 2)), "sized")
-
-    per = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    per.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes = [r.n for r in per]
-    targets = water_fill(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share, cap)
-    schema = T.StructType([T.StructField("source", docs.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    sources = spark.createDataFrame([(r.source, n, t) for r, n, t in zip(per, sizes, targets)], schema)
-
-    # Rank within the source = rows of larger classes + rows of earlier blocks of the class + rank in the
-    # block.  Classes of a source and blocks of a class are few, and a block is 1/256 of a class.
-    blocks = sized.groupBy("source", "class", "block").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source", "class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("in_class", F.coalesce(before, F.lit(0)))
-    classes = sized.groupBy("source", "class").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1))
-    classes = classes.select("source", "class", F.coalesce(above, F.lit(0)).alias("in_source"))
-    same = lambda x, y, *on: [x[c].eqNullSafe(y[c]) for c in on]
-    starts = blocks.join(classes, same(blocks, classes, "source", "class")).select(
-        blocks["source"], blocks["class"], "block", (F.col("in_class") + F.col("in_source")).alias("start")
-    )
-    ranked = sized.withColumn("i", F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("order", "doc_id")))
-    placed = ranked.join(starts, same(ranked, starts, "source", "class", "block")).select(
-        ranked["doc_id"], ranked["source"], *extra, "size", (F.col("start") + F.col("i")).alias("rank")
-    )
-    out = placed.join(sources, same(placed, sources, "source"))
-    offset = (F.conv(F.substring(F.md5(F.concat(F.coalesce(placed["source"].cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 4), 16, 10).cast("double") + 0.5) / 65536.0
+    place = ["key", "class", "block"]
+    runs = sized.withColumn("block", F.substring("order", 1, 2)).groupBy(*place, "order", "doc_id", "size", *extra).agg(F.count("*").alias("n"))
+    runs = materialize(runs, "runs")
+
+    # Rank within the source = rows of larger classes + rows of earlier blocks of the class + rows before
+    # in the block.  Classes of a source and blocks of a class are few, and a block is 1/256 of a class.
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    blocks = runs.groupBy(*place).agg(F.sum("n").alias("n"))
+    blocks = blocks.withColumn("in_class", F.coalesce(F.sum("n").over(upto(place[:2], "block")), none))
+    classes = runs.groupBy("key", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select("key", "class", F.coalesce(F.sum("n").over(upto(["key"], F.desc("class"))), none).alias("in_source"))
+    starts = blocks.join(classes, ["key", "class"]).select(*place, (F.col("in_class") + F.col("in_source")).alias("start"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*place).orderBy("order", "doc_id", *extra).rowsBetween(Window.unboundedPreceding, -1)), none)
+    placed = runs.withColumn("before", before).join(starts, place)
+    placed = materialize(placed.select("key", "order", "doc_id", *extra, "size", "n", (F.col("start") + F.col("before")).alias("start")), "placed")
+    release(runs)
+
+    per = materialize(placed.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows")), "sources")
+    sources = materialize(targets(per.select("key", "source_size"), share, weights, cap).join(per.select("key", "rows"), "key"), "targets")
+    out = skew_join(placed, sources, ["key"], "rows", placed.count())
+    few = out.filter(F.col("n") <= RUN).withColumn("rank", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("n"))))
+    many = out.filter(F.col("n") > RUN).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long")))).repartition("order", "at")
+    upper = F.least(F.col("at") + RUN, F.col("n"))
+    many = many.withColumn("rank", F.explode(F.sequence(F.col("start") + F.col("at") + 1, F.col("start") + upper))).drop("at")
+    out = few.unionByName(many)
+
+    name = F.when(F.col("key") == "t", "null").otherwise(F.substr("key", F.lit(2)))
+    offset = (F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary")), 1, 4), 16, 10).cast("double") + 0.5) / 65536.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = lambda r: F.floor(r * rate + offset)
     copies = (crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("int")
-    return out.select(placed["doc_id"], "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), *extra)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), *extra)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -97,7 +118,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7') AS ord FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7:' || md5(coalesce(text, ''))) AS ord FROM documents),
 classed AS (
   SELECT *, length(CAST(size AS VARCHAR)) * 100 + size // CAST(pow(10, greatest(length(CAST(size AS VARCHAR)) - 2, 0)) AS BIGINT) AS class FROM sized),
 sources AS (

@@ -106,6 +106,22 @@ def test_exact_groups_even_when_fingerprints_collide(spark, messy):
         assert got == want
 
 
+def test_exact_colliding_rows_with_null_and_repeated_ids(spark):
+    texts = ["ab", "ba", "ab", "ba", "ad", "da", "ad", None, "", "c"]
+    ids = [None, None, None, 7, 5, 5, 5, None, 5, None]
+    want = Counter()
+    groups = defaultdict(list)
+    for t, i in zip(texts, ids):
+        groups[t or ""].append(i)
+    for t, i in zip(texts, ids):
+        g = groups[t or ""]
+        keep = max((x for x in g if x is not None), default=None)
+        want[i, keep, len(g), i == keep, hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    for primes, bases in ((exact.PRIMES, exact.BASES), ((2, 3), (1, 1))):
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_duplicates(docs_of(spark, texts, ids, clash=True), primes, bases).collect())
+        assert got == want
+
+
 def test_exact_fingerprints_compose():
     data = bytes(random.Random(2).randrange(256) for _ in range(5000))
     whole = exact.polynomial(data)
@@ -186,10 +202,38 @@ def test_mix_targets_and_copies(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_water_fill():
-    assert mixing.water_fill([100, 100, 100], [5, 2, 1], 1.5, 2) == pytest.approx([200, 500 / 3, 250 / 3])
-    assert mixing.water_fill([10, 1000], [5, 2], 1.5, 2) == pytest.approx([20, 1495])
-    assert mixing.water_fill([0, 0], [5, 2], 1.5, 2) == [0, 0]
+def water_fill(sizes, weights, share, cap):
+    """Targets by filling the sources one by one."""
+    targets = [0.0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: (cap * sizes[i] / weights[i], i))
+    left, weight = share * sum(sizes), float(sum(weights))
+    while order and left > 0 and left / weight > cap * sizes[order[0]] / weights[order[0]]:
+        i = order.pop(0)
+        targets[i] = cap * sizes[i]
+        left, weight = left - targets[i], weight - weights[i]
+    for i in order:
+        targets[i] = max(0.0, left / weight * weights[i])
+    return targets
+
+
+def test_targets_match_water_filling(spark):
+    assert water_fill([100, 100, 100], [5, 2, 1], 1.5, 2) == pytest.approx([200, 500 / 3, 250 / 3])
+    rng = random.Random(11)
+    for sizes, share in (([100, 100, 100], 1.5), ([10, 1000], 1.5), ([0, 0], 1.5), ([7], 1.5), ([5, 5, 5], 2.5), ([rng.randint(0, 10 ** rng.randint(1, 6)) for _ in range(700)], 1.5)):
+        df = spark.createDataFrame([(f"s{i:04}", n) for i, n in enumerate(sizes)], "key string, source_size long").repartition(7)
+        got = {r.key: r.target for r in mixing.targets(df, share, (5, 2, 1), 2.0).collect()}
+        want = water_fill(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))], share, 2.0)
+        assert [got[f"s{i:04}"] for i in range(len(sizes))] == pytest.approx(want)
+
+
+def test_mix_of_null_and_repeated_ids_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    rng = random.Random(2)
+    texts = [words(rng, 100 + k % 10) for k in range(150)] + ["same text here"] * 90 + [None] * 9
+    ids = [None if k % 3 else k % 7 for k in range(150)] + [None] * 90 + [3] * 9
+    df = docs_of(spark, texts, ids, [("a", "b", None)[k % 2] for k in range(len(texts))], clash=True)
+    found = [Counter((r.doc_id, r.size, r.target, r.taken, r.copies) for r in mixing.mix(df.repartition(n)).collect()) for n in (1, 7, 13)]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == len(texts)
 
 
 def brute_licences(text, templates=licenses.TEMPLATES):
