@@ -15,14 +15,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import arrow_map, text_batches
+from ._common import arrow_map, small_batches, text_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters; numerals such as a half or a superscript are word characters to ``re`` but no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
-#: Bounds of the training sample: documents of each language, words read of each, words of a lexicon.
-MAX_DOCS, MAX_WORDS, LEXICON = 120, 400, 200
+#: Bounds of the training sample: languages (the commonest), documents of each, words and characters
+#: read of each, words of a lexicon.
+MAX_LANGS, MAX_DOCS, MAX_WORDS, MAX_CHARS, LEXICON = 64, 120, 400, 8000, 200
 CACHE = 200_000
 
 
@@ -227,27 +231,25 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Crf:
-    """Learn from at most ``max_docs`` documents of each language, by hash of doc_id, held-out ones excluded."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("_order", F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id"), F.lit(-1))))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    unit = F.col("_order").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, 1.2 * max_docs / n)).otherwise(share)
-    bound = max_docs * max(1, len(counts)) * 2
-    sample = usable.filter(unit < share).orderBy("_order", "doc_id").limit(bound).select("text", "lang").collect()
-    taken: Counter = Counter()
-    kept = []
-    for r in sample:
-        if taken[r.lang] < max_docs:
-            taken[r.lang] += 1
-            kept.append((r.text, r.lang))
-    return fit(kept)
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> Crf:
+    """Learn from at most ``max_docs`` documents of each of the ``max_langs`` commonest languages.
+
+    Documents are taken by hash of doc_id and text, held-out ones excluded; of each the first MAX_WORDS
+    words, in its first MAX_CHARS characters, are learned from.  Languages tied in number go by name.
+    """
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    usable = usable.select("lang", "text", F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), "text").alias("order"))
+    langs = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)  # that many rows
+    unit = F.col("order").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    some = usable.join(F.broadcast(langs), "lang").filter(unit * F.col("n") < 1.5 * max_docs + 20)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    short = some.select("lang", "order", F.substring("text", 1, MAX_CHARS).alias("text"))
+    kept = short.withColumn("place", place).filter(F.col("place") <= max_docs).select("lang", "place", "text").collect()
+    return fit([(r.text, r.lang) for r in sorted(kept, key=lambda r: (r.lang, r.place))])
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
-    """(doc_id, lang_pred, score, mix) for each row of ``docs``.
+    """(doc_id, lang_pred, score, mix) for each row of ``docs``; of languages that tie the first by name wins.
 
     ``score`` is the predicted language's share of the text's expected words, ``mix`` the share of each
     language.  Null texts and texts without a letter are ``und`` with score 0, as is every text when no
@@ -283,5 +285,6 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -6,10 +6,11 @@ removed where an equal run stands earlier (by doc_id, then position).
 1. Winnow: every line starts a window, the least run of lines from it that holds ``min_words`` words,
    and ends one.  Each window selects its least line hash (the last of equals).  Equal windows select
    equal hashes, so repeated runs of ``min_words`` words always share a selected fingerprint.
-2. Join: windows whose fingerprint is selected at one position only are dropped; the others meet their
-   first equal window, found by a grouped minimum, not by pairs.
-3. Extend: windows grow runs to the right from their first line and to the left from their last, so the
-   union of a document's repeated windows is exactly its repeated runs.
+2. Join: windows whose fingerprint is selected at one position only are dropped; the others join the
+   positions of their fingerprint.  A line that stands in a third of all documents has too many
+   positions to pair up, so each window meets the first equal one, a grouped minimum.
+3. Extend: the windows that start and those that end at each line grow a match to the right and to the
+   left, so the union of a document's repeated windows is exactly its repeated runs.
 4. Delete the lines of those runs, keeping the first occurrence.
 """
 
@@ -86,11 +87,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and come out alike.  A null doc_id counts as the smallest.  Lines without words never start, end or
     break a run and go with a run around them.  Runs repeated within one document keep the first.
     """
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("removed_runs"))
-    runs = runs.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"), F.col("removed_runs").alias("_runs"))
     names = [c for c in docs.columns if c != "removed_runs"]
-    own = docs.select(*names).withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = own.join(runs, own["doc_id"].eqNullSafe(runs["_doc"]) & (own["_row"] == runs["_hash"]), "left")
+    runs = repeated_runs(docs, min_words).groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    # The row travels as one struct, so its columns may have any names.
+    own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    joined = own.join(runs, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("row_hash")), "left").select("row", F.col("runs").alias("_runs"))
     # Kept stretches lie between runs: after run i (or the start) up to run i+1 (or the end).
     starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last"] + 1))
 
@@ -99,9 +100,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pieces = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: x["a"] < x["b"])
         return F.array_join(F.flatten(F.transform(pieces, lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"]))), "\n")
 
-    kept = F.transform(F.array(F.split("text", "\n")), rest)[0]  # the array around it splits a text once
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*(text if c == "text" else F.col(c) for c in names), F.col("_runs").alias("removed_runs"))
+    kept = F.transform(F.array(F.split(F.col("row")["text"], "\n")), rest)[0]  # the array around it splits a text once
+    text = F.when(F.col("_runs").isNull(), F.col("row")["text"]).otherwise(kept).alias("text")
+    return joined.select(*(text if c == "text" else F.col("row")[c].alias(c) for c in names), F.col("_runs").alias("removed_runs"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

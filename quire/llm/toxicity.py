@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, text_batches
+from ._common import arrow_map, small_batches, text_batches
 
 BUCKETS = 1 << 18
-#: Bounds of the training sample, in documents.
-MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
+#: Bounds of the training sample: documents of either kind, buckets of each document.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_BUCKETS = 2000, 6000, 20_000
 #: Letters of a word: a-z and all bytes beyond ASCII; A-Z are lowered, all else separates.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -86,6 +86,28 @@ class Bags:
         return len(self.starts) - 1
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk_and_step(p, u, prior: float, w: np.ndarray, b: float, ridge: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, direction) of the corrected risk at weights ``w`` and bias ``b``.
+
+    ``p`` and ``u`` are (rows, columns, values, number of rows).  The risk is the positive part plus the
+    negative part where that is not below zero; the direction is the gradient of the sum then, and of
+    minus the negative part alone otherwise.  Weights are held by half ``ridge`` times their square.
+    """
+    fp, fu = (np.bincount(x[0], x[2] * w[x[1]], x[3]) + b for x in (p, u))
+    positive = prior * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    if negative >= 0:
+        gp, gu = -prior * (_sigmoid(-fp) + _sigmoid(fp)) / p[3], _sigmoid(fu) / u[3]
+    else:
+        gp, gu = prior * _sigmoid(fp) / p[3], -_sigmoid(fu) / u[3]
+    step = np.bincount(p[1], p[2] * gp[p[0]], len(w)) + np.bincount(u[1], u[2] * gu[u[0]], len(w)) + ridge * w
+    return positive, negative, np.append(step, gp.sum() + gu.sum())
+
+
 def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3, least: int = 4, surprise: float = 4.0) -> ToxicModel:
     """Train by Adam on the non-negative risk.
 
@@ -106,9 +128,6 @@ def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate:
         rows = np.repeat(np.arange(len(docs)), np.diff(docs.starts))[ok]
         return rows, cols[ok], np.minimum(docs.counts[ok], 4).astype(np.float64), len(docs)
 
-    def margin(x, w, b):
-        return np.bincount(x[0], x[2] * w[x[1]], x[3]) + b
-
     p, u = sparse(positive), sparse(unlabelled)
     # Unlabelled text holds at least prior times the positives' share of any event, so an event bounds the
     # prior: here, holding one of the buckets kept.  It matters where labels were not drawn evenly.
@@ -117,19 +136,8 @@ def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate:
         prior = min(prior, max(0.001, share(u) / share(p)))
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        fp, fu = margin(p, w, b), margin(u, w, b)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gu = -prior * sig(-fp) / p[3], np.zeros(u[3])
-        if negative >= 0:
-            gp = gp - prior * sig(fp) / p[3]
-            gu = sig(fu) / u[3]
-        else:
-            gp, gu = prior * sig(fp) / p[3], -sig(fu) / u[3]
-        grad = np.empty(len(keep) + 1)
-        grad[:-1] = np.bincount(p[1], p[2] * gp[p[0]], len(keep)) + np.bincount(u[1], u[2] * gu[u[0]], len(keep)) + ridge * w
-        grad[-1] = gp.sum() + gu.sum()
+        grad = risk_and_step(p, u, prior, w, b, ridge)[2]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -144,37 +152,39 @@ def held_out(doc_id=None):
     return F.crc32(key.cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_buckets: int = MAX_BUCKETS) -> ToxicModel:
     """Learn from at most ``max_positive`` documents marked toxic and ``max_unlabelled`` others, by hash of doc_id.
 
     Held-out documents are left out on both sides.  A document with several labels is toxic if one says
-    so.  The class prior is the share of toxic among all labelled documents that are not held out.
+    so; of rows that share a doc_id the least text is read.  The class prior is the share of toxic among
+    all labelled documents that are not held out, kept within 0.001 and 0.999.  Of each text the sample
+    keeps at most ``max_buckets`` features, those of the least hashes.
     """
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("k")).first()
-    prior = min(max(counts.k / max(1, counts.n), 0.001), 0.5)
+    prior = min(max(counts.k / max(1, counts.n), 0.001), 0.999)
     n = docs.count()
     unit = lambda c: c.bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     some = lambda df, bound, of: df.filter(unit(order) < min(1.0, 2.0 * bound / max(1, of))).orderBy(order, "doc_id").limit(bound)
     ids = some(usable.filter("toxic = 1"), max_positive, counts.k).select("doc_id")
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     others = some(docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id"), max_unlabelled, n).distinct()
-    plain = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id")
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t) for t in text_batches(batch.column(1))]
+        found = [features(t) for t in text_batches(batch.column(0))]
+        found = [f if len(f) <= max_buckets else {b: f[b] for b in sorted(f)[:max_buckets]} for f in found]
         kind = pa.list_(pa.int32())
         return pa.record_batch([pa.array([[*f] for f in found], kind), pa.array([[*f.values()] for f in found], kind)], ["b", "n"])
 
-    def read(df: DataFrame) -> Bags:
-        rows = arrow_map(df, counted, "b array<int>, n array<int>").toArrow()
+    def read(wanted: DataFrame) -> Bags:
+        texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
+        rows = arrow_map(texts, counted, "b array<int>, n array<int>").toArrow()
         b, n = rows.column("b").combine_chunks(), rows.column("n").combine_chunks()
         if not len(b):
             return Bags.of([])
         return Bags(b.offsets.to_numpy().astype(np.int64) - b.offsets[0].as_py(), b.flatten().to_numpy(), n.flatten().to_numpy())
 
-    return fit(read(marked), read(plain), prior)
+    return fit(read(ids), read(others), prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -192,6 +202,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -15,7 +15,7 @@ from quire.llm._common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns with names the operators use themselves.
-CLASH = "component_id string, fp string, size string, taken int, h1 int, key int, row_hash int, words int, score int, removed_runs int, n int"
+CLASH = "_runs int, _doc long, _hash long, _row int, _n int, block string, row int, own_id long, runs int, component_id string, fp string, size string, taken int, h1 int, key int, row_hash int, words int, score int, removed_runs int, n int"
 
 
 def docs_of(spark, texts, ids=None, sources=None, clash=False):
@@ -351,6 +351,36 @@ def test_toxicity_lowers_a_prior_that_text_refutes():
     assert [*np.flatnonzero(model.score(docs) >= 0.5)] == [*range(0, 280, 7)]
 
 
+def test_toxicity_step_is_the_gradient_of_the_corrected_risk():
+    rng = np.random.default_rng(4)
+
+    def sparse(rows, dense):
+        full = rng.integers(0, 4, (rows, 6)) * (rng.random((rows, 6)) < dense)
+        return (*np.nonzero(full), full[np.nonzero(full)].astype(float), rows), full
+
+    (p, fp), (u, fu) = sparse(9, 0.8), sparse(30, 0.2)
+    signs = set()
+    for prior in (0.1, 0.3, 0.9):
+        for scale in (0.1, 2.0):
+            w, b = abs(rng.normal(0, scale, 6)), float(rng.normal(-scale, scale))
+
+            def loss(x):
+                margin = lambda m: m @ x[:6] + x[6]
+                pos = prior * np.log1p(np.exp(-margin(fp))).mean()
+                neg = np.log1p(np.exp(margin(fu))).mean() - prior * np.log1p(np.exp(margin(fp))).mean()
+                return pos, neg
+
+            pos, neg, step = toxicity.risk_and_step(p, u, prior, w, b, 0.01)
+            assert (pos, neg) == pytest.approx(loss(np.append(w, b)))
+            signs.add(neg >= 0)
+            held = lambda x: 0.005 * (x[:6] ** 2).sum()
+            goal = (lambda x: sum(loss(x)) + held(x)) if neg >= 0 else (lambda x: -loss(x)[1] + held(x))
+            x, e = np.append(w, b), 1e-6
+            numeric = [(goal(x + e * d) - goal(x - e * d)) / (2 * e) for d in np.eye(7)]
+            assert np.allclose(step, numeric, atol=1e-6)
+    assert signs == {True, False}
+
+
 def test_language_id_labels_switched_text(spark):
     rng = random.Random(10)
     stems = {"en": ["the", "ing", "ship", "th", "ow"], "de": ["sch", "keit", "über", "der", "ung"], "fr": ["eau", "été", "oir", "les", "que"]}
@@ -370,6 +400,47 @@ def test_language_id_labels_switched_text(spark):
     assert np.allclose(model.predict(texts), one, atol=1e-3)
 
 
+def test_language_id_forward_backward_matches_enumeration():
+    rng = np.random.default_rng(3)
+    model = langid.Crf(["a", "b", "c"], {})
+    model.step, model.begin = rng.normal(size=(3, 3)), rng.normal(size=3)
+    lengths = np.array([4, 1, 0, 5, 2])
+    unary = np.exp(rng.normal(size=(lengths.sum(), 3)))
+    got = model.marginals(unary, lengths)
+    at = 0
+    for n in lengths:
+        want, total = np.zeros((n, 3)), 0.0
+        for path in product(range(3), repeat=int(n)):
+            p = np.prod([unary[at + t, y] for t, y in enumerate(path)]) if n else 1.0
+            p *= np.exp(sum(model.begin[y] if t == 0 else model.step[path[t - 1], y] for t, y in enumerate(path)))
+            total += p
+            for t, y in enumerate(path):
+                want[t, y] += p
+        assert np.allclose(got[at : at + n], want / total, atol=1e-5)
+        at += n
+    gamma, joint = langid._expectations(model, unary[:8], 4, 3)
+    assert np.allclose(gamma, model.marginals(unary[:8], np.array([4, 4])), atol=1e-5)
+    want = np.zeros((3, 3))
+    for at in (0, 4):
+        paths = {y: np.prod([unary[at + t, y[t]] for t in range(4)]) * np.exp(model.begin[y[0]] + sum(model.step[a, b] for a, b in zip(y, y[1:]))) for y in product(range(3), repeat=4)}
+        for y, p in paths.items():
+            for a, b in zip(y, y[1:]):
+                want[a, b] += p / sum(paths.values())
+    assert np.allclose(joint, want, atol=1e-5)
+
+
+def test_language_id_takes_numerals_for_no_letters_and_bounds_its_sample(spark):
+    rows = [(i, ("ein kleines haus steht hier " if i % 2 else "the small house stands here ") * 3, "de" if i % 2 else "en") for i in range(60)]
+    rows += [(100 + i, f"noise {i}", f"x{i:03}") for i in range(200)]
+    df = spark.createDataFrame(rows + [(900, "\u00b2 \u00bd \u2460 \u2167 12 _", None), (901, "\u00b2haus", None), (None, None, None)], "doc_id long, text string, lang string")
+    model = langid.train(df, max_langs=2)
+    assert model.labels == ["de", "en"]
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert (got[900].lang_pred, got[900].score, got[None].lang_pred, got[901].lang_pred) == ("und", 0.0, "und", "de")
+    tie = langid.Crf(["a", "b"], {})
+    assert {(r.lang_pred, r.score) for r in langid.identify(df.filter("doc_id = 901"), tie).collect()} == {("a", 0.5)}
+
+
 def test_token_scan_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     lengths = [0, 3, 0, 0, 5000, 1, 70000, 0]
