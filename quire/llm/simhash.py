@@ -4,8 +4,10 @@ Fingerprints are cut into an odd number of segments on a ring.  If two fingerpri
 ``limit`` bits, some segment starts a chain whose cumulative differences never exceed the
 proportional budget ``floor(l * limit / segments)`` for every chain length l.  The first budgets are
 0, so that chain's head is an equality key to join on; the later ones prune before the full check.
-A bucket with more than ``bucket`` fingerprints is not paired up: its members meet through the 65
-values within one bit of them instead, which finds every pair within two bits in linear space.
+A bucket with more than ``bucket`` fingerprints is not paired up: its chain grows by the next segment,
+which may differ in one bit, so its members meet under a longer key that each takes in all its one-bit
+forms.  What is crowded even there lies within a few bits, and meets through the 65 values within one
+bit of each member, which finds every pair within two bits in linear space.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, components, materialize, skew_join, text_batches
+from ._common import arrow_map, components, materialize, release, skew_join, small_batches, text_batches
 
 SEGMENTS, LIMIT, BUCKET = 7, 2, 64
 
@@ -76,8 +78,9 @@ def links(fps: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, bucket:
     """All pairs (a, b) that connect distinct fingerprints at ``limit`` bits or fewer.
 
     ``fps`` has one row per fingerprint in column ``fp``.  Pairs within buckets of up to ``bucket``
-    members are complete; beyond that, members link to the least member around each value one bit
-    away, which leaves the same components; that step is exact at 2 bits, the only ``limit`` taken.
+    members are complete, in longer keys as in shorter; beyond both, members link to the least member
+    around each value one bit away, which leaves the same components; that step is exact at 2 bits, the
+    only ``limit`` taken.
     """
     if limit != 2:
         raise ValueError("fingerprints link at 2 bits or fewer")
@@ -85,16 +88,7 @@ def links(fps: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, bucket:
     budget = [length * limit // segments for length in range(segments + 1)]
     head = sum(1 for x in budget[1:] if x == 0)
     chain = lambda i, n: sum(masks[(i + j) % segments] for j in range(n))
-    keyed = fps.select(
-        "fp",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(chain(i, head)))).alias("key")) for i in range(segments)))).alias("k"),
-    ).select("fp", "k.i", "k.key")
-    sizes = materialize(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    total = segments * max(1, fps.count())
-    met = materialize(skew_join(keyed, sizes, ["i", "key"], "n", total), "met")
-
-    groups = met.filter(F.col("n") <= bucket).groupBy("i", "key").agg(F.collect_list("fp").alias("m"))
-    pairs = groups.select("i", "m", F.explode("m").alias("a")).select("i", "a", F.explode("m").alias("b")).filter("a < b")
+    bits = lambda mask: [_signed(1 << b) for b in range(64) if mask >> b & 1]
     differ = F.col("a").bitwiseXOR(F.col("b"))
     within = F.lit(False)
     for i in range(segments):
@@ -103,11 +97,34 @@ def links(fps: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, bucket:
             if budget[n] < budget[n + 1] or n == segments - 1:
                 ok = ok & (F.bit_count(differ.bitwiseAND(F.lit(_signed(chain(i, n))))) <= budget[n])
         within = within | ((F.col("i") == i) & ok)
-    pairs = pairs.filter(within).filter(F.bit_count(differ) <= limit).select("a", "b")
+    checked = lambda pairs: pairs.filter(within).filter(F.bit_count(differ) <= limit).select("a", "b")
 
-    crowd = met.filter(F.col("n") > bucket).select("fp").distinct()
+    def sized(keyed: DataFrame, name: str) -> DataFrame:
+        sizes = materialize(keyed.groupBy("i", "key").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).filter("n > 1 AND owners > 0"), f"{name}-buckets")
+        met = materialize(skew_join(keyed, sizes, ["i", "key"], "n", keyed.count()), name)
+        release(sizes)
+        return met
+
+    heads = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(chain(i, head)))).alias("key")) for i in range(segments)]
+    met = sized(fps.select("fp", F.explode(F.array(*heads)).alias("k")).select("fp", "k.i", "k.key", F.lit(True).alias("own")), "met")
+    groups = met.filter(F.col("n") <= bucket).groupBy("i", "key").agg(F.collect_list("fp").alias("m"))
+    pairs = checked(groups.select("i", "m", F.explode("m").alias("a")).select("i", "a", F.explode("m").alias("b")).filter("a < b"))
+    crowd = met.filter(F.col("n") > bucket).select("i", "fp")
+    if crowd.isEmpty():
+        return pairs
+
+    # The key of the next length: own fingerprints as they are, guests with one bit of the last segment turned.
+    turned = [F.when(F.col("i") == i, F.array(F.lit(0).cast("long"), *map(F.lit, bits(masks[(i + head) % segments])))) for i in range(segments)]
+    mask = F.coalesce(*(F.when(F.col("i") == i, F.lit(_signed(chain(i, head + 1)))) for i in range(segments)))
+    longer = crowd.select("i", "fp", F.explode(F.coalesce(*turned)).alias("x"))
+    longer = sized(longer.select("i", "fp", F.col("fp").bitwiseXOR(F.col("x")).bitwiseAND(mask).alias("key"), (F.col("x") == 0).alias("own")), "longer")
+    few = longer.filter(F.col("n") <= bucket).groupBy("i", "key").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("o"), F.collect_list("fp").alias("m"))
+    more = checked(few.select("i", "m", F.explode("o").alias("a")).select("i", "a", F.explode("m").alias("b")).filter("a <> b"))
+    pairs = pairs.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    dense = longer.filter(F.col("n") > bucket).select("fp").distinct()
     near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
-    around = crowd.select("fp", F.explode(F.array(*near)).alias("z")).groupBy("z").agg(F.collect_set("fp").alias("m"))  # 65 at most
+    around = dense.select("fp", F.explode(F.array(*near)).alias("z")).groupBy("z").agg(F.collect_set("fp").alias("m"))  # 65 at most
     star = around.filter(F.size("m") > 1).select(F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a < b").distinct()
     return pairs.unionByName(star)
 
@@ -136,5 +153,6 @@ def named(slim: DataFrame, fps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op9_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

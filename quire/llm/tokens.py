@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, scratch_path, slices, text_batches
+from ._common import materialize, remove, scratch_path, slices, small_batches, text_batches
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,14 +29,20 @@ SEPARATOR, WIDTH = 50256, 2
 BLOCK = 4 << 20  # bytes of a file searched at a time
 
 
-def encoder(ranks: str):
-    """Byte-level BPE from a file of ranks; its word pattern is the vocabulary's own."""
-    import tiktoken
+def vocabulary(ranks: str) -> tuple[bytes, str]:
+    """The file of ranks and the vocabulary's word pattern, read on the driver and sent to the executors."""
     from public_tokenizers import PATTERN
 
     with open(ranks, "rb") as f:
-        found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=found, special_tokens={})
+        return f.read(), PATTERN
+
+
+def encoder(ranks: bytes, pattern: str):
+    """Byte-level BPE from ranks, one token and its rank a line."""
+    import tiktoken
+
+    found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=found, special_tokens={})
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -48,18 +54,20 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def write_token_files(docs: DataFrame, path: str, ranks: str = f"{TOKENIZERS}/{RANKS}", separator: int = SEPARATOR) -> DataFrame:
     """Tokenize ``docs`` into one flat file for each partition under ``path``; returns (file, ordinal, doc_id).
 
-    Null texts give no tokens, only a separator.  A file appears under its name once it is whole, so a
-    repeated task replaces it by the same bytes.  The table returned is written out when this returns.
+    Null texts give no tokens, only a separator.  A file appears under its name once it is whole; every
+    attempt of a task has a name of its own, and the table returned, written out by then, names only
+    the files of attempts that count, so rows of another order in a repeated task do no harm.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks))  # one vocabulary file, some 500 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}.tokens"
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.tokens"
         store, root = _open(path)
         store.create_dir(root, recursive=True)
-        draft = f"{root}/_{name}-{context.taskAttemptId()}"
-        encode, ordinal = encoder(ranks).encode_ordinary, 0
+        draft = f"{root}/_{name}"
+        encode, ordinal = encoder(*sent.value).encode_ordinary, 0
         with store.open_output_stream(draft) as out:
             for batch in batches:
                 for part in slices(batch):
@@ -118,8 +126,11 @@ def document_tokens(docs: DataFrame, ranks: str = f"{TOKENIZERS}/{RANKS}") -> Da
     manifest = write_token_files(docs, path, ranks)
     if manifest.isEmpty():
         return manifest.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    return manifest.join(count_tokens(docs.sparkSession, path), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counts = count_tokens(docs.sparkSession, path)  # from pieces written out, so the token files may go
+    remove(docs.sparkSession, path)
+    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return document_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -14,14 +14,18 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map
+from ._common import arrow_map, small_batches
 
 DATE = "1970-01-01T00:00:00Z"
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
@@ -71,26 +75,90 @@ def clean_uri(uri: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
 
 
+def unpacked(source: BinaryIO) -> BinaryIO:
+    """A stream of the records' bytes, whether the file is gzipped or plain; nothing is read ahead whole."""
+    buffered = io.BufferedReader(source)
+    return gzip.GzipFile(fileobj=buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
+
+
+def scan_records(source: BinaryIO) -> Iterator[Record | str]:
+    """Records of a WARC stream, one at a time, and a message in place of each stretch that is none.
+
+    After a broken header reading goes on at the next line that starts a record.  A stream that ends
+    within a record, or whose compression breaks, ends with a message.
+    """
+    broken = ""
+    try:
+        stream = unpacked(source)
+        while line := stream.readline():
+            if line.strip() == b"":
+                continue
+            if not line.startswith(b"WARC/"):
+                broken = broken or f"no WARC record: {line[:40]!r}"
+                continue
+            if broken:
+                yield broken
+                broken = ""
+            lines = []
+            while (line := stream.readline()).strip():
+                lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+            if not line:
+                yield "record cut short in its headers"
+                return
+            headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+            size = next((v for k, v in headers if k.lower() == "content-length"), "0")
+            if not (size.isascii() and size.isdigit()):
+                broken = f"no Content-Length: {size[:40]!r}"
+                continue
+            block = stream.read(int(size))
+            if len(block) < int(size):
+                yield f"record cut short: {len(block)} of {size} bytes"
+                return
+            yield Record(headers, block)
+    except (OSError, EOFError, zlib.error) as e:
+        broken = f"{type(e).__name__}: {e}"[:200]
+    if broken:
+        yield broken
+
+
 def read_records(data: bytes) -> Iterator[Record]:
-    """Records of a WARC file, plain or gzipped; raises ValueError where a record is cut short."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
-            at += 2
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        at = end + 4
-        if at + size > len(data):
-            raise ValueError("record cut short")
-        yield Record(headers, data[at : at + size])
-        at += size
+    """Records of a WARC file, plain or gzipped; raises ValueError where a record is broken."""
+    for r in scan_records(io.BytesIO(data)):
+        if isinstance(r, str):
+            raise ValueError(r)
+        yield r
+
+
+def body_of(lines: list[str], payload: bytes) -> tuple[bytes, list[str]]:
+    """The payload without transfer and content encodings, and what could not be taken off."""
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in lines)}
+    trouble = []
+    if fields.get("transfer-encoding", "").endswith("chunked"):
+        out, rest = [], payload
+        while rest:
+            size, _, tail = rest.partition(b"\r\n")
+            size = size.split(b";")[0].strip()
+            n = int(size, 16) if re.fullmatch(rb"[0-9a-fA-F]+", size) else -1
+            if n < 0 or len(tail) < n:
+                trouble.append("transfer-encoding: chunked")
+                break
+            if n == 0:
+                break
+            out.append(tail[:n])
+            rest = tail[n:].removeprefix(b"\r\n")
+        payload = payload if trouble else b"".join(out)
+    for name in reversed([x.strip() for x in fields.get("content-encoding", "").split(",") if x.strip() not in ("", "identity")]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload)
+            elif name == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+            else:
+                raise ValueError(name)
+        except (OSError, EOFError, ValueError, zlib.error):
+            trouble.append(f"content-encoding: {name}")
+            break
+    return payload, trouble
 
 
 def write_records(records: list[Record], compress: bool = True) -> bytes:
@@ -114,16 +182,20 @@ def derive(source: Record) -> list[Record]:
         return []
     head, cut, payload = source.block.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
+    body, trouble = body_of(lines[1:], payload)
     kind = next((x.partition(":")[2].strip() for x in lines[1:] if x.lower().startswith("content-type:")), "")
     charset = re.search(r"charset=[\"']?([\w-]+)", kind)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
+    if trouble:  # what stays encoded is no text
+        page = ""
     title = TITLE.search(page)
     links = list(dict.fromkeys(clean_uri(html.unescape(a or b or c).strip()) for a, b, c in LINK.findall(HIDDEN.sub(" ", page))))
     fields = [("http-status", lines[0])] + [("http-header", x) for x in lines[1:] if x]
     fields += [("source-block-digest", source.get("WARC-Block-Digest") or sha1(source.block)), ("source-payload-digest", source.get("WARC-Payload-Digest") or sha1(payload))]
+    fields += [("not-decoded", x) for x in trouble]
     fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
     fields += [("outlink", f"{x} L a/@href") for x in links if x]
     metadata = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
@@ -170,17 +242,48 @@ def page_derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
     return arrow_map(pages.select("page_id", "url", "html"), run, f"page_id {kind}, {SCHEMA}")
 
 
-def file_derivatives(files: DataFrame) -> DataFrame:
-    """The same for WARC files as read by Spark's ``binaryFile`` source (columns path and content)."""
+def file_derivatives(files: DataFrame, part: int = 256) -> DataFrame:
+    """The same for WARC files, with a last column ``error``; ``files`` has a row for each file.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [(p, _row(d)) for p, c in zip(*(x.to_pylist() for x in batch.columns)) if c for r in read_records(c) for d in derive(r)]
-        return _batch([m[0] for m in made], "path", pa.string(), [m[1] for m in made])
-
-    return arrow_map(files.select("path", "content"), run, f"path string, {SCHEMA}")
+    With a column ``content`` (as from Spark's ``binaryFile`` source) a file's bytes are taken from
+    there; otherwise it is opened by its ``path`` and streamed, record by record, so files may be of
+    any size.  Records that are no responses give nothing.  A broken stretch gives one row with its
+    path and ``error`` alone, and reading goes on behind it where it can; an empty file or a null
+    content gives no rows.
+    """
+    packed = "content" in files.columns
+
+    def opened(path: str, content: bytes | None) -> BinaryIO:
+        if packed:
+            return io.BytesIO(content or b"")
+        store, name = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+        return store.open_input_stream(name, compression=None)
+
+    def derived(path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            for r in scan_records(opened(path, content)):
+                if isinstance(r, str):
+                    yield (None,) * 9, r
+                else:
+                    for d in derive(r):
+                        yield _row(d), None
+        except OSError as e:
+            yield (None,) * 9, f"{type(e).__name__}: {e}"[:200]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(1).to_pylist() if packed else [None] * batch.num_rows
+            for path, content in zip(batch.column(0).to_pylist(), contents):
+                found = derived(path, content)
+                while made := list(islice(found, part)):
+                    out = _batch([path] * len(made), "path", pa.string(), [m[0] for m in made])
+                    yield pa.record_batch([*out.columns, pa.array([m[1] for m in made], pa.string())], [*out.schema.names, "error"])
+
+    return files.select("path", *(["content"] if packed else [])).mapInArrow(run, f"path string, {SCHEMA}, error string")
 
 
 def op4_warc_derivatives(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = page_derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select(
         "page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "block_digest", "source_payload_digest",

@@ -1,8 +1,11 @@
 """Operators of quire.llm against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, product
 
@@ -68,7 +71,7 @@ def test_simhash_links_chains_and_crowds(spark):
     others = [rng.getrandbits(64) for _ in range(300)]
     values = sorted({simhash._signed(v) for v in chain + others})
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
-    for bucket in (1000, 8):
+    for bucket in (1000, 8, 2):
         edges = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(fps, bucket=bucket).collect()}
         assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in edges)
         true = {(a, b) for a, b in combinations(values, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
@@ -88,6 +91,38 @@ def test_simhash_links_chains_and_crowds(spark):
         assert roots["got"] == roots["true"]
 
 
+def test_simhash_grows_chains_in_crowded_buckets(spark):
+    """Fingerprints that share 27 bits or more meet under longer keys, and the densest around values one bit away."""
+    rng = random.Random(21)
+    values = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(60):  # far from each other, but equal in one head
+            values.add((base & ((1 << 27) - 1)) | rng.getrandbits(37) << 27)
+        for _ in range(25):  # within a few bits
+            values.add(base ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}))
+    values = sorted(map(simhash._signed, values))
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    true = {(a, b) for a, b in combinations(values, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+    for bucket in (30, 5):
+        edges = {(r.a, r.b) for r in simhash.links(fps, bucket=bucket).collect()}
+        assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 and a < b for a, b in edges)
+        for e in (edges, true):
+            parent = {v: v for v in values}
+
+            def find(v):
+                while parent[v] != v:
+                    v = parent[v]
+                return v
+
+            for a, b in sorted(e):
+                p, q = sorted((find(a), find(b)))
+                parent[q] = p
+            if e is edges:
+                found = {v: find(v) for v in values}
+        assert found == {v: find(v) for v in values}
+
+
 def test_components_of_a_star_a_path_and_nothing(spark):
     edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(25)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -298,20 +333,34 @@ def test_license_scan_finds_all_licences_of_one_file(spark):
         at += len(licenses.words_of(t.text))
 
 
-def test_wand_finds_what_exhaustive_search_finds():
+def weighed_items(texts):
+    bags = [decontam.words((t or "").encode()) for t in texts]
+    df = Counter(w for bag in bags for w in set(bag))
+    terms = [[(w, n, df[w]) for w, n in sorted(Counter(bag).items())] for bag in bags]
+    lengths = [len(bag) for bag in bags if bag]
+    return terms, len(lengths), sum(lengths) / len(lengths)
+
+
+def test_wand_finds_what_exhaustive_search_finds(monkeypatch):
     rng = random.Random(6)
-    index = decontam.Index([(i, words(rng, rng.randint(3, 30))) for i in range(60)] + [(99, None), (98, "")], block=4)
-    for _ in range(200):
-        terms = set(rng.sample(range(len(index.terms)), rng.randint(1, min(25, len(index.terms)))))
-        for threshold in (0.05, 0.3, 0.7):
-            assert index.search(terms, threshold) == pytest.approx(index.exhaustive(terms, threshold))
+    texts = [words(rng, rng.randint(3, 30)) for _ in range(60)] + [None, ""]
+    terms, total, mean = weighed_items(texts)
+    for spans in (512, 5):
+        monkeypatch.setattr(decontam, "SPANS", spans)
+        index = decontam.Items([t or "" for t in texts], terms, total, mean).indexes[0]
+        for _ in range(100):
+            asked = set(rng.sample(range(len(index.terms)), rng.randint(1, min(25, len(index.terms)))))
+            high = index.ceilings(np.array([0]), np.array([len(asked)]), np.array(sorted(asked)))[0]
+            assert high >= max(index.exhaustive(asked, 0.0).values()) - 1e-5
+            for threshold in (0.05, 0.3, 0.7):
+                assert index.search(asked, threshold) == pytest.approx(index.exhaustive(asked, threshold))
 
 
 def test_leaks_are_found_at_any_place(spark):
     rng = random.Random(7)
     alphabet = [words(rng, 1) + str(i) for i in range(3000)]
     make = lambda n: " ".join(rng.choice(alphabet) for _ in range(n))
-    items = [(i, f"{make(rng.randint(8, 40))}? {make(rng.randint(3, 12))}.") for i in range(20)] + [(50, None)]
+    items = [(f"item-{i}", f"{make(rng.randint(8, 40))}? {make(rng.randint(3, 12))}.") for i in range(19)] + [("long", f"{make(500)}? {make(30)}."), ("null", None)]
     texts, want = [], set()
     for k in range(60):
         i, item = items[k % 20]
@@ -320,12 +369,26 @@ def test_leaks_are_found_at_any_place(spark):
         if k % 3:
             want.add((k, i))
     texts += [None, "", "?"]
-    df, bench = docs_of(spark, texts, clash=True), spark.createDataFrame(items, "item_id long, text string")
-    for shard in (2000, 7):
-        assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench, shard=shard).collect()} == want
+    df, bench = docs_of(spark, texts, clash=True), spark.createDataFrame(items, "item_id string, text string")
+    found = decontam.find_leaks(df, bench.withColumn("row", F.lit(1)))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_how_the_benchmark_is_cut(spark):
+    rng = random.Random(17)
+    items = [(i, f"{words(rng, rng.randint(6, 30))}? {words(rng, rng.randint(2, 9))}.") for i in range(60)]
+    texts = [f"{words(rng, 30)} {items[k % 60][1]}" if k % 2 else words(rng, 150) for k in range(80)]
+    df, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id int, text string")
+    terms, total, mean = weighed_items([t for _, t in items])
+    whole = decontam.Items([t for _, t in items], terms, total, mean)
+    for threshold, overlap in ((0.6, 0.0), (0.9, 0.0), (0.6, 0.8)):
+        want = {(k, i): row for k, i, *row in whole.leaks([t.encode() for t in texts], threshold, overlap)}
+        for size in (600, 1 << 24):
+            got = {(r.doc_id, r.item_id): [r.score, r.question_overlap, r.answer_overlap] for r in decontam.find_leaks(df, bench, threshold, overlap, size).collect()}
+            assert got == want, (threshold, overlap, size)
+
+
 def test_toxicity_learns_without_negatives(spark):
     rng = random.Random(9)
     texts, labels = [], []
@@ -454,7 +517,7 @@ def test_token_scan_round_trip(spark, tmp_path):
 
 
 def test_document_tokens_match_the_tokenizer(spark, messy):
-    encode = tokens.encoder(f"{tokens.TOKENIZERS}/{tokens.RANKS}").encode_ordinary
+    encode = tokens.encoder(*tokens.vocabulary(f"{tokens.TOKENIZERS}/{tokens.RANKS}")).encode_ordinary
     got = {r.doc_id: r.n_tokens for r in tokens.document_tokens(messy).collect()}
     assert got == {r.doc_id: len(encode(r.text or "")) for r in messy.collect()}
     assert tokens.document_tokens(messy.limit(0)).count() == 0
@@ -478,3 +541,54 @@ def test_warc_round_trip_and_links(spark, tmp_path):
     assert Counter(r.record_id for r in files.collect()) == Counter(r.record_id for r in rows)
     with pytest.raises(ValueError):
         list(warc.read_records(records[0].to_bytes()[:-30]))
+
+
+def independent_records(data):
+    """(headers, block) of plain WARC bytes, split by hand."""
+    found = []
+    while data.strip():
+        head, data = data.lstrip(b"\r\n").split(b"\r\n\r\n", 1)
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        n = int(fields["Content-Length"])
+        found.append((fields, data[:n]))
+        data = data[n:]
+    return found
+
+
+def test_warc_files_with_broken_records(spark, tmp_path):
+    good = [warc.response(i, f"http://h/{i}", f"<p>page {i}</p>") for i in range(4)]
+    raw = [r.to_bytes() for r in good]
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx\r\n\r\n"
+    files = {"a.warc": raw[0] + bad + raw[1], "b.warc": raw[2][:-30], "c.warc": b"no warc at all", "d.warc": b"", "e.warc.gz": warc.write_records(good[3:])[:-9], "f.warc.gz": warc.write_records(good)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    read = spark.read.format("binaryFile").load(f"file://{tmp_path}")
+    seen = [sorted((r.path[-9:], r.refers_to or "", r.warc_type or "", bool(r.error)) for r in warc.file_derivatives(f).collect()) for f in (read, read.select("path"))]
+    assert seen[0] == seen[1]
+    per = Counter((p.split("/")[-1], e) for p, _, _, e in seen[0])
+    assert per == Counter({("a.warc", False): 4, ("a.warc", True): 1, ("b.warc", True): 1, ("c.warc", True): 1, ("e.warc.gz", True): 1, ("e.warc.gz", False): per["e.warc.gz", False], ("f.warc.gz", False): 8})
+    for fields, block in independent_records(b"".join(raw)):
+        assert fields["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
+def test_warc_bodies_are_decoded():
+    page = "<title>é</title><p>text \u4e2d</p>"
+
+    def conversion(body, *headers):
+        block = "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html", *headers, "", ""]).encode() + body
+        source = warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("Content-Length", str(len(block)))], block)
+        meta, text = warc.derive(source)
+        assert text.get("WARC-Refers-To") == meta.get("WARC-Refers-To") == "<urn:x>"
+        return text.block.decode(), b"not-decoded" in meta.block
+
+    raw = page.encode()
+    chunked = b"".join(b"%x;q=1\r\n%s\r\n" % (len(raw[i : i + 7]), raw[i : i + 7]) for i in range(0, len(raw), 7)) + b"0\r\n\r\n"
+    packed = gzip.compress(raw)
+    want = ("é\ntext \u4e2d", False)
+    assert conversion(raw) == want
+    assert conversion(chunked, "Transfer-Encoding: chunked") == want
+    assert conversion(packed, "Content-Encoding: gzip") == want
+    assert conversion(zlib.compress(raw), "Content-Encoding: deflate") == conversion(zlib.compress(raw)[2:-4], "content-encoding: deflate") == want
+    assert conversion(b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed), packed), "Transfer-Encoding: chunked", "Content-Encoding: gzip") == want
+    for body, header in ((packed[:9], "Content-Encoding: gzip"), (b"zz\r\n", "Transfer-Encoding: chunked"), (raw, "Content-Encoding: br")):
+        assert conversion(body, header) == ("", True)
