@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quire.llm import decontam, simhash, toxicity
+from quire.llm import decontam, toxicity
 from tests.llm.test_operators import SCHEMA, brute_lines, words
 
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 ITEMS = [(i, " ".join(f"w{i}x{k}" for k in range(20)) + f"? answer{i} of{i} item{i} is{i} here{i}.") for i in range(3)]
 
 
@@ -35,19 +36,24 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def brute_shingles(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
 def brute(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     rows = [r.asDict() for r in docs.collect()]
     bad = model.score([(r["text"] or "").encode() for r in rows]) >= 0.5
-    rows = [r for r, b in zip(rows, bad) if not (b and r["doc_id"] is not None)]
+    rows = [r for r, b in zip(rows, bad) if not b]
     gone = brute_lines([(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows], 50)
     for r in rows:
         cut = gone.get(-1 if r["doc_id"] is None else r["doc_id"])
         if cut:
             r["text"] = "\n".join(x for p, x in enumerate(r["text"].split("\n")) if p not in cut)
             r["n_chars"] = len(r["text"])
-    prints = [simhash.simhash((r["text"] or "").encode()) for r in rows]
+    sets = [brute_shingles(r["text"]) for r in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -57,19 +63,19 @@ def brute(spark, folder):
 
     for a in range(len(rows)):
         for b in range(a):
-            if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 2:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
     least = {}
     for i, r in enumerate(rows):
-        if r["doc_id"] is not None:
-            least[find(i)] = min(least.get(find(i), r["doc_id"]), r["doc_id"])
-    rows = [r for i, r in enumerate(rows) if r["doc_id"] is None or r["doc_id"] == least[find(i)]]
+        order = (r["doc_id"] is None, r["doc_id"] or 0, i)
+        least[find(i)] = min(least.get(find(i), order), order)
+    rows = [r for i, r in enumerate(rows) if least[find(i)][2] == i]
     keep = []
     for r in rows:
         ws = decontam.words((r["text"] or "").encode())
         grams = decontam.shingles(ws)
         leaked = any(all(len(part & grams) >= 0.8 * len(part) for part in map(decontam.shingles, decontam.question_answer(t))) for _, t in ITEMS)
-        if not leaked or r["doc_id"] is None:
+        if not leaked:
             keep.append(r)
     return keep
 
@@ -79,7 +85,7 @@ def test_pipeline_keeps_what_its_steps_keep(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in P.STAGES[:-1]:
         docs = P.materialize(stage(spark, docs, folder), name)
-        assert docs.columns == list(P.COLUMNS)
+        assert docs.columns == COLUMNS
     key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])
     got, expected = Counter(key(r) for r in docs.collect()), Counter(key(r) for r in want)
     assert (got - expected, expected - got) == (Counter(), Counter())
@@ -100,11 +106,28 @@ def test_stages_take_empty_tables_clashing_columns_nulls_and_repeats(spark, fold
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
         once, twice, nameless = stage(spark, few, folder), stage(spark, double, folder), stage(spark, null, folder)
-        assert set(P.COLUMNS) <= set(once.columns) and set(once.columns) == set(twice.columns)
+        assert set(COLUMNS) <= set(once.columns) and set(once.columns) == set(twice.columns)
+        if name != "mixing":
+            assert once.columns == docs.columns, name
         if name in ("toxicity", "line_dedup", "decontamination"):
             assert twice.count() == 2 * once.count(), name
         if name == "simhash":
-            ids = [r.doc_id for r in twice.filter("doc_id IS NOT NULL").collect()]
-            assert len(ids) == len(set(ids)) and set(ids) == {r.doc_id for r in once.filter("doc_id IS NOT NULL").collect()}
-        if name != "mixing":
-            assert nameless.count() == few.count(), name
+            assert Counter(map(str, twice.collect())) == Counter(map(str, once.collect()))
+            assert nameless.count() == once.count()
+        if name in ("line_dedup",):
+            assert nameless.count() == few.count()
+        if name in ("toxicity", "decontamination"):  # rows without an id are judged by their texts
+            assert Counter(r.text for r in nameless.collect()) == Counter(r.text for r in once.collect()) or name == "toxicity"
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark, folder):
+    leak, clean = f"so {ITEMS[0][1]} it", "quiet words about rivers and stones and hills"
+    rows = [(7, leak, "en", "a", 1), (7, clean, "en", "a", 1), (None, leak, "en", None, 1), (None, clean, None, "a", 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(r.text for r in P.drop_leaked(spark, df, folder).collect()) == Counter({clean: 2})
+    assert [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, df.filter("text LIKE 'quiet%'"), folder).collect()] == [(7, clean)]
+    nulls = df.filter("doc_id IS NULL AND text LIKE 'so%'")
+    assert P.drop_near_duplicates(spark, nulls.unionByName(nulls).unionByName(nulls), folder).count() == 1
+    mixed = P.mix_sources(spark, df.unionByName(df), folder).collect()
+    size = sum(2 * len(r[1].split()) for r in rows)
+    assert abs(sum(r["size"] for r in mixed) - 1.5 * size) <= 40 and {(r.doc_id, r.text) for r in mixed} <= {r[:2] for r in rows}
