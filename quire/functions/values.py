@@ -118,3 +118,8 @@ def transcript_gate(c: Column) -> Column:
         .when(words < 10, said(False, F.lit(0.2), "too_few_words")).when(readable < 0.75, said(False, readable, "garbled")).when(repeats, said(False, F.lit(0.3), "repetitive"))
         .otherwise(said(True, 0.5 * readable + 0.5 * F.least(words / 200.0, F.lit(1.0)), "ok"))
     )
+
+
+def quality_level(score: Column) -> Column:
+    """good from 0.85, fair from 0.70, else poor."""
+    return F.when(score >= 0.85, "good").when(score >= 0.70, "fair").otherwise("poor")

@@ -47,38 +47,42 @@ def related_documents(mentions: DataFrame, doc: str, names: int = 3) -> DataFram
 def cluster(mentions: DataFrame) -> DataFrame:
     """(id, root): transitive closure of ``same_identity`` among mentions (id, kind, canonical).
 
-    Candidates meet on a shared token or, as one form may lie inside the other, on shared characters: five
-    in a row, or for forms of nine characters or fewer any one to four.  No other pair can be the same.
+    Equal forms are one.  Two others can only be the same if they share a token, or if the shorter lies in
+    the longer and has 55 % of its length or more; so forms meet on tokens, and on the substrings of that
+    length which a longer form holds and the shorter form is.
     """
-
-    def grams(n: int):
-        size = F.length("canonical")
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("canonical").substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    short = F.flatten(F.array(*(grams(n) for n in range(1, 5))))
-    inside = F.concat(grams(5), F.when(F.length("canonical") <= 9, short).otherwise(F.array().cast("array<string>")))
-    named = F.when(F.col("kind").isin("person", "org"), inside).otherwise(F.array().cast("array<string>"))
-    keys = F.array_distinct(F.concat(F.transform(tokens(F.col("canonical")), lambda t: F.concat(F.lit("="), t)), named, F.array(F.concat(F.lit("=="), "canonical"))))
-    blocked = mentions.select("id", "kind", "canonical", F.explode(keys).alias("block"))
-    a, b = blocked.alias("a"), blocked.alias("b")
-    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")))
-    linked = pairs.filter(same_identity(F.col("a.kind"), F.col("a.canonical"), F.col("b.canonical"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    return label_components(mentions.select("id"), linked)
-
-
-def label_components(nodes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, root) by smallest label, each round joining labels along links and jumping to the label's label."""
+    forms = mentions.groupBy("kind", "canonical").agg(F.min("id").alias("id"))
+    size = F.length("canonical")
+    least = F.greatest(F.ceil(size * 0.55).cast("int"), F.lit(1))
+    parts = F.flatten(F.transform(F.sequence(least, size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("canonical").substr(i, n))))
+    named = F.col("kind").isin("person", "org") & (size > 0)
+    token = forms.select("id", "kind", "canonical", F.explode(F.transform(tokens(F.col("canonical")), lambda t: F.concat(F.lit("="), t))).alias("block"))
+    whole = forms.filter(named).select("id", "kind", "canonical", F.col("canonical").alias("block"))
+    inner = forms.filter(named).select("id", "kind", "canonical", F.explode(F.array_distinct(parts)).alias("block"))
+
+    def met(x: DataFrame, y: DataFrame, other) -> DataFrame:
+        a, b = x.alias("a"), y.alias("b")
+        pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.block") == F.col("b.block")) & other)
+        return pairs.filter(same_identity(F.col("a.kind"), F.col("a.canonical"), F.col("b.canonical"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+    linked = met(token, token, F.col("a.id") < F.col("b.id")).unionByName(met(whole, inner, F.col("a.id") != F.col("b.id"))).distinct()
+    roots = label_components(forms.select("id"), linked).withColumnRenamed("id", "form")
+    of = mentions.join(forms.withColumnRenamed("id", "form"), ["kind", "canonical"]).select("id", "form")
+    return of.join(roots, "form").select("id", "root")
+
+
+def label_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root) by smallest label, each round joining labels along links and jumping to the label's label, until none changes."""
     links = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
     labels = nodes.select("id", F.col("id").alias("root"))
-    for _ in range(rounds):
+    while True:
         near = links.join(labels, links["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["id"] == near["x"], "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
         step = step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")).checkpoint()
         labels = step.select("id", "root")
         if step.filter("was <> root").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def best_name(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import watch_date
+
 # Name parts that hint at a field's kind, tried in this order.
 HINTS = (
     ("email", ("email", "e-mail")),
@@ -111,3 +113,18 @@ def urgency(days: Column) -> Column:
 def export(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Flat table of scalar fields, one column each."""
     return unpivot(docs).groupBy("doc_id").pivot("name", columns).agg(F.first("value"))
+
+
+def watched(docs: DataFrame, as_of: str, back: int = 45) -> DataFrame:
+    """(doc_id, name, kind, days, urgency) of the dated fields worth watching, up to ``back`` days past."""
+    f = unpivot(docs.filter("status = 'ready'").select("doc_id", "fields"))
+    days = F.datediff(watch_date(F.col("value")), F.lit(as_of))
+    kind = F.when(F.col("name").rlike("expir|valid_until|valid_to|expires"), "expiry").when(F.col("name").rlike("payment_due|due_date"), "payment").when(F.col("name").contains("renew"), "renewal")
+    w = f.select("doc_id", "name", kind.alias("kind"), days.alias("days")).filter(F.col("kind").isNotNull() & (F.col("days") >= -back))
+    return w.withColumn("urgency", urgency(F.col("days")))
+
+
+def merged_alerts(watch: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, type): watch-list entries in place of their document's own date alerts, and all other alerts."""
+    dated = found.filter("days IS NOT NULL").join(watch.select("doc_id").distinct(), "doc_id", "left_anti")
+    return watch.select("doc_id", F.col("kind").alias("type")).unionByName(dated.select("doc_id", "type")).unionByName(found.filter("days IS NULL").select("doc_id", "type"))

@@ -51,6 +51,12 @@ def view_metrics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("count"), F.count_if(F.col("flag") == "past").alias("past"), F.count_if(F.col("flag") == "soon").alias("soon"))
 
 
+def feed(alerts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most pressing alerts: by severity, then days left, then document and type."""
+    order = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+    return alerts.orderBy(order, F.coalesce("days", F.lit(10**6)), "doc_id", "type").limit(k).select("doc_id", "type", "severity")
+
+
 def donut(rows: DataFrame, key: str, amount: str, k: int = 8) -> DataFrame:
     """Largest ``k`` groups by sum, texts that are no number counting 1, with their share of everything."""
     per = rows.groupBy(key).agg(F.sum(F.coalesce(F.col(amount).try_cast("double"), F.lit(1.0))).alias("total"))

@@ -47,72 +47,141 @@ def dup_related(spark, sf):
     return G.related_documents(m, 1).select("other", F.col("shared").cast("long").alias("shared"))
 
 
-MENTIONS = [(1, "person", "alder quinn", "Alder Quinn", 1), (2, "person", "quinn alder", "Quinn Alder", 2), (3, "person", "alder j quinn", "Mr. Alder J Quinn", 3), (4, "person", "mara voss", "Mara Voss", 1), (5, "person", "mara vos", "Mara Vos", 4),
-            (6, "org", "acme trading", "Acme Trading", 5), (7, "org", "acme trading house", "Acme Trading House", 6), (8, "money", "1.00 USD", "$1", 7), (9, "money", "1.00 SGD", "S$1", 8), (10, "person", "quinn", "Quinn", 9)]
+# Three spellings of one name for every three customers; names of different threes share no word.
+_FIRST, _LAST = "substr(md5(CAST((c_custkey - c_custkey % 3) AS STRING)), 1, 8)", "substr(md5(CAST((c_custkey - c_custkey % 3 + 1000000000) AS STRING)), 1, 8)"
+_FORM = f"CASE c_custkey % 3 WHEN 0 THEN {_FIRST} || ' ' || {_LAST} WHEN 1 THEN {_LAST} || ' ' || {_FIRST} ELSE {_FIRST} || ' j ' || {_LAST} END"
+MENTIONS = f"SELECT c_custkey AS id, c_custkey % 3 AS k, {_FORM} AS canonical, c_nationkey AS doc FROM customer".replace("STRING", "VARCHAR")
 
 
-def _mentions(spark):
-    return spark.createDataFrame(MENTIONS, "id long, kind string, canonical string, text string, doc long")
+def _mentions(spark, sf):
+    kind = F.lit("person").alias("kind")
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), kind, F.expr(_FORM).alias("canonical"), F.initcap(F.expr(_FORM)).alias("text"), F.col("c_nationkey").alias("doc"))
 
 
-@query("res_cluster", "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 9), (10, 1)) t(id, root)")
+@query("res_cluster", f"WITH m AS ({MENTIONS}) SELECT id, min(id) OVER (PARTITION BY id - k) AS root FROM m")
 def res_cluster(spark, sf):
     _checkpoints(spark)
-    return G.cluster(_mentions(spark).select("id", "kind", "canonical"))
+    return G.cluster(_mentions(spark, sf).select("id", "kind", "canonical"))
 
 
-@query("agg_identity_rebuild", "SELECT * FROM (VALUES (1, 'Mr. Alder J Quinn', 'alder j quinn|alder quinn|quinn|quinn alder', 4, 4), (4, 'Mara Voss', 'mara vos|mara voss', 2, 2), (6, 'Acme Trading House', 'acme trading|acme trading house', 2, 2), (8, '$1', '1.00 USD', 1, 1), (9, 'S$1', '1.00 SGD', 1, 1)) t(root, name, aliases, docs, mentions)")
+@query("agg_identity_rebuild", f"""WITH m AS ({MENTIONS}) SELECT min(id) AS root, string_agg(canonical, '|' ORDER BY canonical) AS aliases, max(length(canonical)) AS name_length,
+ count(DISTINCT doc) AS docs, count(*) AS mentions FROM m GROUP BY id - k""")
 def agg_identity_rebuild(spark, sf):
     _checkpoints(spark)
-    return G.identities(_mentions(spark)).withColumn("aliases", F.array_join("aliases", "|"))
+    found = G.identities(_mentions(spark, sf))
+    return found.select("root", F.array_join("aliases", "|").alias("aliases"), F.length("name").cast("long").alias("name_length"), "docs", "mentions")
 
 
 def _checkpoints(spark):
-    """A checkpoint folder of our own where the session names none."""
+    """A checkpoint folder where the context has none: spark.checkpoint.dir, or one of its own on a single machine."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
-DOCS = """SELECT * FROM (VALUES
- (1, 'ready', 'invoice', 0.9, 0, '{"due_date": "2026-06-10", "total": "12.50", "vendor_email": "a@b.co"}'),
- (2, 'ready', 'passport', 0.5, 2, '{"expiry_date": "01/07/2026", "holder": "Alder Quinn"}'),
- (3, 'failed', NULL, NULL, 0, '{}'), (4, 'ready', 'unclassified', NULL, 0, '{"valid_until": "soon"}'),
- (5, 'pending', 'invoice', 0.9, 0, '{"due_date": "2020-01-01"}'), (6, 'ready', 'policy', 0.8, 0, '{"end_date": "2027-01-01", "rate": "four", "items": [1, 2]}')) t(doc_id, status, doc_type, confidence, low_pages, fields)"""
-
-
-@query("al_doc", "SELECT * FROM (VALUES (1, 'overdue', 'high', -5), (2, 'expiring_soon', 'warn', 16), (2, 'low_confidence', 'review', NULL), (2, 'low_ocr_confidence', 'review', NULL), (3, 'ingestion_failed', 'high', NULL), (4, 'unclassified', 'review', NULL)) t(doc_id, type, severity, days)")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or "/tmp/checkpoints")
+
+
+#: Extracted records of all orders: what the database side sees of them.
+RECORDS = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'ready' END AS status, o_custkey % 5 AS k,
+ CASE o_custkey % 5 WHEN 0 THEN 'invoice' WHEN 1 THEN 'passport' WHEN 2 THEN 'policy' WHEN 3 THEN 'unclassified' END AS doc_type,
+ CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 100) / 100.0 END AS confidence, o_orderkey % 3 AS low_pages, CAST(o_orderdate AS DATE) AS day, o_totalprice AS total, o_custkey AS cust FROM orders"""
+AS_OF = "1996-06-15"
+SINCE = f"CAST(day - DATE '{AS_OF}' AS INTEGER)"
+
+
+def records(spark, sf):
+    """The same orders as records: status, type, confidence, low pages, and fields as JSON."""
+    k, day = F.col("o_custkey") % 5, F.to_date("o_orderdate")
+    money, cust = F.format_string("%.2f", "o_totalprice"), F.col("o_custkey").cast("string")
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    fields = (
+        F.when(k == 0, said('{"due_date": "', day.cast("string"), '", "total": "', money, '", "vendor_email": "c', cust, '@b.co"}'))
+        .when(k == 1, said('{"expiry_date": "', F.date_format(day, "dd/MM/yyyy"), '", "holder": "Holder ', cust, '"}'))
+        .when(k == 2, said('{"end_date": "', F.date_format(day, "d MMM yyyy"), '", "rate": "four", "items": [1, 2]}'))
+        .when(k == 3, F.lit('{"valid_until": "soon"}')).otherwise(F.lit("{}"))
+    )
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 11 == 0, "failed").when(F.col("o_orderstatus") == "P", "pending").otherwise("ready").alias("status"),
+        F.when(k == 0, "invoice").when(k == 1, "passport").when(k == 2, "policy").when(k == 3, "unclassified").alias("doc_type"),
+        F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 100) / 100.0).alias("confidence"), (F.col("o_orderkey") % 3).alias("low_pages"), fields.alias("fields"),
+    )
+
+
+ALERTS = f"""WITH r AS (SELECT *, CASE WHEN k <= 2 THEN {SINCE} END AS days FROM ({RECORDS})), a AS (
+ SELECT doc_id, 'ingestion_failed' AS type, 'high' AS severity, CAST(NULL AS INTEGER) AS days FROM r WHERE status = 'failed'
+ UNION ALL SELECT doc_id, CASE WHEN k = 0 THEN 'overdue' ELSE 'expired' END, 'high', days FROM r WHERE status = 'ready' AND days < 0
+ UNION ALL SELECT doc_id, CASE WHEN k = 0 THEN 'due_soon' ELSE 'expiring_soon' END, 'warn', days FROM r WHERE status = 'ready' AND days BETWEEN 0 AND 30
+ UNION ALL SELECT doc_id, 'unclassified', 'review', NULL FROM r WHERE status = 'ready' AND k >= 3
+ UNION ALL SELECT doc_id, 'low_confidence', 'review', NULL FROM r WHERE status = 'ready' AND k < 3 AND confidence < 0.6
+ UNION ALL SELECT doc_id, 'low_ocr_confidence', 'review', NULL FROM r WHERE status = 'ready' AND low_pages > 0) """
+WATCHED = f"""WITH w AS (SELECT doc_id, CASE k WHEN 0 THEN 'due_date' ELSE 'expiry_date' END AS name, CASE k WHEN 0 THEN 'payment' ELSE 'expiry' END AS kind, {SINCE} AS days
+ FROM ({RECORDS}) WHERE status = 'ready' AND k <= 1 AND {SINCE} >= -45)"""
+PAIRS = f"""WITH r AS ({RECORDS}), f AS (SELECT doc_id, unnest(CASE k
+ WHEN 0 THEN [{{'name': 'due_date', 'value': CAST(day AS VARCHAR), 'score': 0.95}}, {{'name': 'total', 'value': printf('%.2f', total), 'score': 0.8}}, {{'name': 'vendor_email', 'value': 'c' || cust || '@b.co', 'score': 0.8}}]
+ WHEN 1 THEN [{{'name': 'expiry_date', 'value': strftime(day, '%d/%m/%Y'), 'score': 0.95}}, {{'name': 'holder', 'value': 'Holder ' || cust, 'score': 0.7}}]
+ WHEN 2 THEN [{{'name': 'end_date', 'value': strftime(day, '%-d %b %Y'), 'score': 0.8}}, {{'name': 'rate', 'value': 'four', 'score': 0.4}}]
+ WHEN 3 THEN [{{'name': 'valid_until', 'value': 'soon', 'score': 0.4}}] ELSE [] END, recursive := true) FROM r) """
+
+
+@query("al_doc", ALERTS + "SELECT * FROM a")
 def al_doc(spark, sf):
-    return X.alerts(spark.sql(DOCS), "2026-06-15")
+    return X.alerts(records(spark, sf), AS_OF)
 
 
-@query("al_deadline", "SELECT * FROM (VALUES (1, DATE '2026-06-10', 'due_date'), (2, DATE '2026-07-01', 'expiry_date'), (3, NULL, NULL), (4, NULL, NULL), (5, DATE '2020-01-01', 'due_date'), (6, DATE '2027-01-01', 'end_date')) t(doc_id, date, key)")
+@query("al_deadline", f"SELECT doc_id, CASE WHEN k <= 2 THEN day END AS date, CASE k WHEN 0 THEN 'due_date' WHEN 1 THEN 'expiry_date' WHEN 2 THEN 'end_date' END AS key FROM ({RECORDS})")
 def al_deadline(spark, sf):
-    return spark.sql(DOCS).select("doc_id", X.deadline(F.col("fields")).alias("d")).select("doc_id", "d.date", "d.key")
+    return records(spark, sf).select("doc_id", X.deadline(F.col("fields")).alias("d")).select("doc_id", "d.date", "d.key")
 
 
-@query("prj_unpivot", "SELECT * FROM (VALUES (1, 'due_date', '2026-06-10'), (1, 'total', '12.50'), (1, 'vendor_email', 'a@b.co'), (2, 'expiry_date', '01/07/2026'), (2, 'holder', 'Alder Quinn'), (4, 'valid_until', 'soon'), (5, 'due_date', '2020-01-01'), (6, 'end_date', '2027-01-01'), (6, 'rate', 'four')) t(doc_id, name, value)")
+@query("prj_unpivot", PAIRS + "SELECT doc_id, name, value FROM f")
 def prj_unpivot(spark, sf):
-    return X.unpivot(spark.sql(DOCS))
+    return X.unpivot(records(spark, sf))
 
 
-@query("sink_extract", "SELECT * FROM (VALUES (1, '2026-06-10', '12.50'), (2, NULL, NULL), (4, NULL, NULL), (5, '2020-01-01', NULL), (6, NULL, NULL)) t(doc_id, due_date, total)")
+@query("sink_extract", f"SELECT doc_id, CASE WHEN k = 0 THEN CAST(day AS VARCHAR) END AS due_date, CASE WHEN k = 0 THEN printf('%.2f', total) END AS total FROM ({RECORDS}) WHERE k <= 3")
 def sink_extract(spark, sf):
-    return X.export(spark.sql(DOCS), ["due_date", "total"])
+    return X.export(records(spark, sf), ["due_date", "total"])
 
 
-@query("q_field_score", "SELECT * FROM (VALUES (1, 'due_date', 0.95), (1, 'total', 0.8), (1, 'vendor_email', 0.8), (2, 'expiry_date', 0.95), (2, 'holder', 0.7), (4, 'valid_until', 0.4), (5, 'due_date', 0.95), (6, 'end_date', 0.8), (6, 'rate', 0.4)) t(doc_id, name, score)")
+@query("q_field_score", PAIRS + "SELECT doc_id, name, CAST(score AS DOUBLE) AS score FROM f")
 def q_field_score(spark, sf):
-    f = X.unpivot(spark.sql(DOCS))
+    f = X.unpivot(records(spark, sf))
     return f.select("doc_id", "name", F.round(X.field_score(F.col("name"), F.col("value"), F.col("name").isin("due_date", "expiry_date"), F.lit(0.7)), 3).alias("score"))
 
 
-@query("q_trust", "SELECT * FROM (VALUES (1, 0.9, 'high', 'trusted'), (2, 0.25, 'low', 'needs_review'), (3, 0.0, 'low', 'unprocessed'), (4, 0.4, 'low', 'needs_review'), (5, 0.0, 'low', 'unprocessed'), (6, 0.75, 'medium', 'review')) t(doc_id, score, level, state)")
+@query("q_low", PAIRS + "SELECT doc_id, name, CAST(score AS DOUBLE) AS score FROM f WHERE score < 0.6")
+def q_low(spark, sf):
+    return q_field_score(spark, sf).filter("score > 0 AND score < 0.6")
+
+
+@query("q_trust", f"""WITH s AS (SELECT doc_id, status, k, CASE WHEN status <> 'ready' THEN 0.0 WHEN doc_id % 13 = 0 THEN 1.0 ELSE round(CAST(greatest(0.0, least(1.0, coalesce(confidence, 0.7) - CASE WHEN k >= 3 THEN 0.25 ELSE 0 END
+ - CASE WHEN low_pages > 0 THEN least(0.3, 0.1 + 0.05 * low_pages) ELSE 0 END - CASE WHEN k IN (1, 2) THEN 0.05 ELSE 0 END)) AS DOUBLE), 3) END AS score FROM ({RECORDS})),
+ l AS (SELECT *, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM s)
+SELECT doc_id, CAST(score AS DOUBLE) AS score, level, CASE WHEN status <> 'ready' THEN 'unprocessed' WHEN doc_id % 13 = 0 THEN 'verified' WHEN k = 4 THEN 'unstructured' WHEN level = 'high' THEN 'trusted' WHEN level = 'medium' THEN 'review' ELSE 'needs_review' END AS state FROM l""")
 def q_trust(spark, sf):
-    d = spark.sql(DOCS).withColumns({"review": F.lit(None).cast("string"), "n_fields": F.size(F.from_json("fields", "map<string,string>")), "uncertain": F.when(F.col("doc_id").isin(2, 4, 6), 1).otherwise(0)})
+    uncertain = F.when(F.col("doc_type").isin("passport", "policy"), 1).otherwise(0)
+    review = F.when(F.col("doc_id") % 13 == 0, "reviewed")
+    d = records(spark, sf).withColumns({"review": review, "n_fields": F.size(F.from_json("fields", "map<string,string>")), "uncertain": uncertain})
     return X.trust(d).select("doc_id", "score", "level", "state")
 
 
-@query("al_urgency", "SELECT d, CASE WHEN d < 0 THEN 'overdue' WHEN d <= 7 THEN 'urgent' WHEN d <= 30 THEN 'soon' WHEN d <= 90 THEN 'upcoming' ELSE 'info' END AS bucket FROM (VALUES (-46), (-1), (0), (7), (8), (30), (31), (90), (91)) t(d)")
+@query("al_urgency", f"SELECT doc_id, CASE WHEN {SINCE} < 0 THEN 'overdue' WHEN {SINCE} <= 7 THEN 'urgent' WHEN {SINCE} <= 30 THEN 'soon' WHEN {SINCE} <= 90 THEN 'upcoming' ELSE 'info' END AS bucket FROM ({RECORDS})")
 def al_urgency(spark, sf):
-    return spark.sql("SELECT * FROM (VALUES (-46), (-1), (0), (7), (8), (30), (31), (90), (91)) t(d)").select("d", X.urgency(F.col("d")).alias("bucket"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), X.urgency(F.datediff(F.to_date("o_orderdate"), F.lit(AS_OF))).alias("bucket"))
+
+
+@query("al_watch", WATCHED + " SELECT *, CASE WHEN days < 0 THEN 'overdue' WHEN days <= 7 THEN 'urgent' WHEN days <= 30 THEN 'soon' WHEN days <= 90 THEN 'upcoming' ELSE 'info' END AS urgency FROM w")
+def al_watch(spark, sf):
+    return X.watched(records(spark, sf), AS_OF)
+
+
+@query("al_merge", ALERTS.replace("WITH r", WATCHED + ", r", 1) + "SELECT doc_id, kind AS type FROM w UNION ALL SELECT doc_id, type FROM a WHERE days IS NULL OR doc_id NOT IN (SELECT doc_id FROM w)")
+def al_merge(spark, sf):
+    d = records(spark, sf)
+    return X.merged_alerts(X.watched(d, AS_OF), X.alerts(d, AS_OF))
+
+
+@query("al_unified", ALERTS + "SELECT severity, count(*) AS n FROM a GROUP BY 1")
+def al_unified(spark, sf):
+    return X.alerts(records(spark, sf), AS_OF).groupBy("severity").agg(F.count("*").alias("n"))

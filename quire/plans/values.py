@@ -1,4 +1,4 @@
-"""Queries over values of records, watch lists, caches and small rule ladders, on fixed cases."""
+"""Queries over values of records, written in several ways, and over caches and small rule ladders."""
 
 from __future__ import annotations
 
@@ -7,44 +7,50 @@ from pyspark.sql import functions as F
 from ..functions import names, values as V
 from ..operators import records as X
 from ..operators import retrieval as R
+from ..operators import views as W
 from ..session import table
 from .registry import query
 
 
-def _cases(name, column, rows, fn, kind="double"):
-    """A query over fixed inputs whose SQL is the list of expected results."""
-    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else repr(x)
-    quoted = [(s.replace("'", "''") if isinstance(s, str) else s, x) for s, x in rows]
-    cast = {"double": "CAST(v AS DOUBLE)", "date": "CAST(v AS DATE)"}.get(kind, "v")
-    sql = f"SELECT s, {cast} AS {column} FROM (VALUES " + ", ".join(f"({lit(s)}, {lit(x)})" for s, x in quoted) + ") t(s, v)"
+def _shaped(name, column, pairs, fn, kind="double"):
+    """A query over all orders: values written in turn in several ways (Spark SQL), read back by ``fn``, beside what each says (SQL)."""
+    cases = lambda i: " ".join(f"WHEN {n} THEN {pair[i]}" for n, pair in enumerate(pairs))
+    cast = {"double": "DOUBLE", "date": "DATE", "string": "VARCHAR", "boolean": "BOOLEAN"}[kind]
 
-    @query(name, sql)
+    @query(name, f"SELECT o_orderkey, CAST(CASE o_orderkey % {len(pairs)} {cases(1)} END AS {cast}) AS {column} FROM orders")
     def run(spark, sf):
-        return spark.createDataFrame([(s,) for s, _ in rows], "s string").select("s", fn(F.col("s")).alias(column))
+        written = F.expr(f"CASE o_orderkey % {len(pairs)} {cases(0)} END")
+        return table(spark, sf, "orders").select("o_orderkey", written.alias("s")).select("o_orderkey", fn(F.col("s")).alias(column))
 
     return run
 
 
-_cases("fn_parse_money", "amount", [("4,320.40SGD", 4320.4), ("(38.50)", -38.5), ("S$1,200", 1200.0), ("-", None), ("", None), (None, None)], V.theme_money)
-_cases("fn_money_float", "amount", [("USD 1,234.56", 1234.56), ("$1234", 1234.0), ("x", None), ("1-2", None), (None, None)], V.plain_money)
-_cases("fn_parse_amount_max", "amount", [("4,080.00 (VAT 8%)", 4080.0), ("$100 x 2", 100.0), ("SGD 4,080.00", 4080.0), ("none", None), (None, None)], V.largest_amount)
-_cases("fn_doc_amount", "amount", [('{"total": "12.50", "amount": "99"}', 12.5), ('{"amount": "7"}', 7.0), ("{}", None)], V.document_amount)
-_cases("fn_doc_currency", "currency", [("total 12 sgd", "SGD"), ("£4", "GBP"), ("12", None), ("$5 EUR", "EUR")], V.currency, "string")
-_cases("fn_parse_date_theme", "day", [("05/12/2026 x", "2026-12-05"), ("2026/3/4", "2026-03-04"), ("12/25/2026", "2026-12-25"), ("soon", None), (None, None)], V.theme_date, "date")
-_cases("fn_parse_date_facts", "day", [("5 May 2026", "2026-05-05"), ("05/06/2026", "2026-06-05"), ("May 3, 2026", "2026-05-03"), ("x", None)], V.fact_date, "date")
-_cases("fn_parse_date_watch", "day", [("2026-6-5", "2026-06-05"), ("05/06/2026", "2026-06-05"), ("1826-06-05", None), ("31-02-2026", None), (None, None)], V.watch_date, "date")
-_cases("fn_parse_date_alert", "day", [("03/04/2026", "2026-04-03"), ("12/25/2026", "2026-12-25"), ("3 Jan 2026", "2026-01-03"), ("?", None)], lambda c: V.dates(c, *X.DEADLINE_FORMATS), "date")
-_cases("fn_canon_label", "label", [("The Int. Rate", "interest_rate"), ("Amt", "amount"), (" Ref No ", "reference_number"), ("Vendor-Name", "vendor_name"), ("!!", None), (None, None)], V.label, "string")
-_cases("fn_value_kind", "kind", [("yes", "boolean"), ("$5", "money"), ("12 May 2026", "date"), ("1,200.5%", "number"), ("abc", "string"), ("", "string"), ("12 EUR", "money")], V.kind, "string")
-_cases("fn_person_key", "key", [("MR. B H Goda", "b goda h"), ("Mr. Dr. Ann Lee", "ann lee"), ("Lee, Ann", "ann lee")], V.person_key, "string")
-_cases("val_dates", "ok", [('{"effective_date": "2026-05-01", "expiry_date": "2026-04-01"}', False), ('{"effective_date": "2026-03-01", "expiry_date": "2026-04-01"}', True), ("{}", True)],
-       lambda c: ~F.coalesce(V.fact_date(F.get_json_object(c, "$.effective_date")) > V.fact_date(F.get_json_object(c, "$.expiry_date")), F.lit(False)), "boolean")
-_cases("val_expired", "expired", [('{"expiry_date": "2026-06-14"}', True), ('{"expiry_date": "2026-06-15"}', False), ('{"valid_until": "01/01/2020"}', True), ("{}", False)],
-       lambda c: F.coalesce(V.fact_date(F.coalesce(F.get_json_object(c, "$.expiry_date"), F.get_json_object(c, "$.valid_until"))) < F.lit("2026-06-15").cast("date"), F.lit(False)), "boolean")
-_cases("prj_cells", "cell", [('{"vendor": "", "vendor_name": "Acme"}', "Acme"), ('{"key_facts": [{"label": "Vendor name", "value": "Foo"}]}', "Foo"), ("{}", None)],
-       lambda c: F.coalesce(*(F.when(F.trim(x) != "", x) for x in (F.get_json_object(c, "$.vendor"), F.get_json_object(c, "$.vendor_name"))),
-                            F.filter(F.from_json(F.get_json_object(c, "$.key_facts"), "array<struct<label:string,value:string>>"), lambda f: F.lower(f["label"]).contains("vendor"))[0]["value"]), "string")
-_cases("agg_quality_level", "level", [("0.9", "good"), ("0.85", "good"), ("0.7", "fair"), ("0.69", "poor")], lambda c: F.when(c.cast("double") >= 0.85, "good").when(c.cast("double") >= 0.70, "fair").otherwise("poor"), "string")
+_N, _C, _K = "format_number(o_totalprice, 2)", "CAST(o_custkey AS STRING)", "CAST(o_custkey AS DOUBLE)"
+_DAY = "CAST(o_orderdate AS DATE)"
+_as = lambda form: f"date_format(o_orderdate, '{form}')"
+_first = lambda form, sql: (_as(form), sql)
+#: A day past the twelfth can only be a day, so month-first dates are read as such.
+_late = f"CASE WHEN day(o_orderdate) > 12 THEN {_DAY} ELSE make_date(CAST(year(o_orderdate) AS INTEGER), CAST(day(o_orderdate) AS INTEGER), CAST(month(o_orderdate) AS INTEGER)) END"
+
+_shaped("fn_parse_money", "amount", [(f"{_N} || 'SGD'", "o_totalprice"), (f"'(' || {_N} || ')'", "-o_totalprice"), (f"'S$' || {_C}", _K), ("'-'", "NULL"), ("''", "NULL"), ("CAST(NULL AS STRING)", "NULL")], V.theme_money)
+_shaped("fn_money_float", "amount", [(f"'USD ' || {_N}", "o_totalprice"), (f"'$' || {_C}", _K), ("'x'", "NULL"), (f"{_C} || '-2'", "NULL"), (f"'-' || {_N}", "-o_totalprice")], V.plain_money)
+_shaped("fn_parse_amount_max", "amount", [(f"{_N} || ' (VAT 8%)'", "greatest(o_totalprice, CASE WHEN o_totalprice < 0 THEN 8 ELSE 0 END)"), (f"'$' || {_C} || ' x 2'", "greatest(o_custkey, 2)"), (f"'SGD ' || {_N}", "o_totalprice"), ("'none'", "NULL")], V.largest_amount)
+_shaped("fn_doc_amount", "amount", [(f"'{{\"total\": \"' || {_N} || '\", \"amount\": \"99\"}}'", "o_totalprice"), (f"'{{\"amount\": \"' || {_C} || '\"}}'", _K), ("'{}'", "NULL")], V.document_amount)
+_shaped("fn_doc_currency", "currency", [(f"'total ' || {_C} || ' sgd'", "'SGD'"), (f"'£' || {_C}", "'GBP'"), (_C, "NULL"), (f"'$' || {_C} || ' EUR'", "'EUR'")], V.currency, "string")
+_shaped("fn_parse_date_theme", "day", [(f"{_as('dd/MM/yyyy')} || ' x'", _DAY), _first("yyyy/M/d", _DAY), _first("d-M-yyyy", _DAY), _first("MM/dd/yyyy", _late), ("'soon'", "NULL")], V.theme_date, "date")
+_shaped("fn_parse_date_facts", "day", [_first("d MMM yyyy", _DAY), _first("dd/MM/yyyy", _DAY), _first("MMM d, yyyy", _DAY), _first("d MMMM yyyy", _DAY), ("'x'", "NULL")], V.fact_date, "date")
+_shaped("fn_parse_date_watch", "day", [_first("yyyy-M-d", _DAY), _first("dd/MM/yyyy", _DAY), (f"'1826' || {_as('-MM-dd')}", "NULL"), ("'31-02-2026'", "NULL"), _first("d-M-yyyy", _DAY)], V.watch_date, "date")
+_shaped("fn_parse_date_alert", "day", [_first("dd/MM/yyyy", _DAY), _first("MM/dd/yyyy", _late), _first("d MMM yyyy", _DAY), ("'?'", "NULL"), _first("MMMM d, yyyy", _DAY)], lambda c: V.dates(c, *X.DEADLINE_FORMATS), "date")
+_shaped("fn_canon_label", "label", [("'The Int. Rate'", "'interest_rate'"), ("'Amt'", "'amount'"), ("' Ref No '", "'reference_number'"), (f"'Vendor-Name ' || {_C}", "'vendor_name_' || o_custkey"), ("'!!'", "NULL"), (f"{_C} || ' an ' || {_C}", "o_custkey || '_an_' || o_custkey")], V.label, "string")
+_shaped("fn_value_kind", "kind", [("'yes'", "'boolean'"), (f"'$' || {_C}", "'money'"), (_as("d MMM yyyy"), "'date'"), (f"{_N} || '%'", "'number'"), (f"'abc' || {_C}", "'string'"), ("''", "'string'"), (f"{_C} || ' EUR'", "'money'")], V.kind, "string")
+_shaped("fn_person_key", "key", [("'MR. B H Goda' || o_custkey", "'b goda' || o_custkey || ' h'"), ("'Mr. Dr. Ann Lee'", "'ann lee'"), ("'Lee' || o_custkey || ', Ann'", "'ann lee' || o_custkey")], V.person_key, "string")
+_shaped("val_dates", "ok", [(f"'{{\"effective_date\": \"' || {_as('yyyy-MM-dd')} || '\", \"expiry_date\": \"1995-07-01\"}}'", f"{_DAY} <= DATE '1995-07-01'"), (f"'{{\"effective_date\": \"1990-01-01\", \"expiry_date\": \"' || {_as('dd/MM/yyyy')} || '\"}}'", f"{_DAY} >= DATE '1990-01-01'"), ("'{}'", "true")],
+        lambda c: ~F.coalesce(V.fact_date(F.get_json_object(c, "$.effective_date")) > V.fact_date(F.get_json_object(c, "$.expiry_date")), F.lit(False)), "boolean")
+_shaped("val_expired", "expired", [(f"'{{\"expiry_date\": \"' || {_as('yyyy-MM-dd')} || '\"}}'", f"{_DAY} < DATE '1995-06-15'"), (f"'{{\"valid_until\": \"' || {_as('dd/MM/yyyy')} || '\"}}'", f"{_DAY} < DATE '1995-06-15'"), ("'{}'", "false")],
+        lambda c: F.coalesce(V.fact_date(F.coalesce(F.get_json_object(c, "$.expiry_date"), F.get_json_object(c, "$.valid_until"))) < F.lit("1995-06-15").cast("date"), F.lit(False)), "boolean")
+_shaped("prj_cells", "cell", [(f"'{{\"vendor\": \"\", \"vendor_name\": \"Acme ' || {_C} || '\"}}'", "'Acme ' || o_custkey"), (f"'{{\"key_facts\": [{{\"label\": \"Vendor name\", \"value\": \"Foo ' || {_C} || '\"}}]}}'", "'Foo ' || o_custkey"), ("'{}'", "NULL")],
+        lambda c: W.cell(c, ["vendor", "vendor_name"]), "string")
+_shaped("agg_quality_level", "level", [("CAST((o_custkey % 101) / 100.0 AS STRING)", "CASE WHEN o_custkey % 101 >= 85 THEN 'good' WHEN o_custkey % 101 >= 70 THEN 'fair' ELSE 'poor' END")], lambda c: V.quality_level(c.cast("double")), "string")
 
 
 @query("fn_vision_gate")
@@ -53,42 +59,6 @@ def fn_vision_gate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", g["ok"].alias("ok"), F.round(g["score"], 4).alias("score"), g["reason"].alias("reason"))
 
 
-@query("al_watch", "SELECT * FROM (VALUES (1, 'due_date', 'payment', -5, 'overdue'), (2, 'expiry_date', 'expiry', 16, 'soon')) t(doc_id, name, kind, days, urgency)")
-def al_watch(spark, sf):
-    from .records import DOCS
-
-    f = X.unpivot(spark.sql(DOCS).filter("status = 'ready'").select("doc_id", "fields"))
-    days = F.datediff(V.watch_date(F.col("value")), F.lit("2026-06-15"))
-    kind = F.when(F.col("name").rlike("expir|valid_until|valid_to|expires"), "expiry").when(F.col("name").rlike("payment_due|due_date"), "payment").when(F.col("name").contains("renew"), "renewal")
-    w = f.select("doc_id", "name", kind.alias("kind"), days.alias("days")).filter("kind IS NOT NULL AND days >= -45")
-    return w.withColumn("urgency", X.urgency(F.col("days")))
-
-
-@query("al_merge", "SELECT * FROM (VALUES (1, 'payment'), (2, 'expiry'), (2, 'low_confidence'), (2, 'low_ocr_confidence'), (3, 'ingestion_failed'), (4, 'unclassified')) t(doc_id, type)")
-def al_merge(spark, sf):
-    """Watch-list entries take the place of a document's own date alerts."""
-    from .records import DOCS
-
-    watch = al_watch(spark, sf).select("doc_id", F.col("kind").alias("type"))
-    alerts = X.alerts(spark.sql(DOCS), "2026-06-15")
-    dated = alerts.filter("days IS NOT NULL").join(watch.select("doc_id").distinct(), "doc_id", "left_anti")
-    return watch.unionByName(dated.select("doc_id", "type")).unionByName(alerts.filter("days IS NULL").select("doc_id", "type"))
-
-
-@query("al_unified", "SELECT * FROM (VALUES ('high', 2), ('review', 3), ('warn', 1)) t(severity, n)")
-def al_unified(spark, sf):
-    from .records import DOCS
-
-    return X.alerts(spark.sql(DOCS), "2026-06-15").groupBy("severity").agg(F.count("*").alias("n"))
-
-
-@query("q_low", "SELECT * FROM (VALUES (4, 'valid_until', 0.4), (6, 'rate', 0.4)) t(doc_id, name, score)")
-def q_low(spark, sf):
-    from .records import q_field_score
-
-    return q_field_score(spark, sf).filter("score > 0 AND score < 0.6")
-
-
 @query("vec_cache_lookup", """WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS hit, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q, embeddings v
  WHERE q.vec_id % 50 = 0 AND v.vec_id % 3 >= 1 AND v.vec_id % 3 >= v.label % 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, hit) AS k FROM s WHERE sim >= 0.3) SELECT qid, hit, sim FROM r WHERE k = 1""")
 def vec_cache_lookup(spark, sf):
