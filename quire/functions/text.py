@@ -184,3 +184,23 @@ def safe_filename(c: Column, fallback: str = "upload.bin") -> Column:
     last = F.regexp_extract(F.replace(c, F.lit("\\"), F.lit("/")), "[^/]*$", 0)
     name = F.regexp_replace(F.regexp_replace(last, r"[\p{Cntrl}\"\r\n;]", ""), r"^[ .]+|[ .]+$", "")
     return F.when(F.coalesce(name, F.lit("")) == "", fallback).otherwise(F.substring(name, 1, 200))
+
+
+def strip_empty_rows(c: Column) -> Column:
+    """A Markdown text without table rows whose cells are all empty."""
+    return F.array_join(F.filter(F.split(c, "\n"), lambda r: ~r.rlike(r"^\|(\s*\|)+\s*$")), "\n")
+
+
+def reference_range(c: Column) -> Column:
+    """struct(low, high) of a written range: a - b, > a, < b or up to b."""
+    number = lambda rx: F.regexp_extract(c, rx, 1).try_cast("double")
+    both = c.rlike(r"^\s*[0-9.]+\s*-\s*[0-9.]+")
+    low = F.when(both, number(r"([0-9.]+)\s*-")).when(c.rlike(r"^\s*>"), number("([0-9.]+)"))
+    high = F.when(both, number(r"-\s*([0-9.]+)")).when(F.lower(c).rlike(r"^\s*(<|up to)"), number("([0-9.]+)"))
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def relative_day(days: Column) -> Column:
+    """A number of days from today in words."""
+    ahead = F.when(days < 60, F.concat(F.lit("in "), days.cast("string"), F.lit(" days"))).otherwise(F.concat(F.lit("in "), F.floor(days / 30).cast("string"), F.lit(" months")))
+    return F.when(days < 0, F.concat((-days).cast("string"), F.lit(" days ago"))).when(days == 0, "today").otherwise(ahead)

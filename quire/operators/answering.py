@@ -110,3 +110,10 @@ def score_cases(cases: DataFrame) -> DataFrame:
         "citation_recall": recall,
         "abstention": F.when(should & did, "correct_abstain").when(should, "missed_abstain").when(did, "over_abstain").otherwise("answered"),
     })
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    """Mean scores of evaluation cases, and how often they abstained rightly, too seldom or too often."""
+    mean = lambda c: F.round(F.avg(c), 4)
+    n = lambda v: F.count_if(F.col("abstention") == v).alias(v)
+    return scored.agg(mean("faithfulness_proxy").alias("faithfulness"), mean("answer_correctness_proxy").alias("correctness"), mean("citation_recall").alias("citation"), n("correct_abstain"), n("missed_abstain"), n("over_abstain"))

@@ -128,3 +128,9 @@ def merged_alerts(watch: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, type): watch-list entries in place of their document's own date alerts, and all other alerts."""
     dated = found.filter("days IS NOT NULL").join(watch.select("doc_id").distinct(), "doc_id", "left_anti")
     return watch.select("doc_id", F.col("kind").alias("type")).unionByName(dated.select("doc_id", "type")).unionByName(found.filter("days IS NULL").select("doc_id", "type"))
+
+
+def balanced(statements: DataFrame) -> DataFrame:
+    """Adds expected (opening and net) and ok: within 1 % of the closing balance, or 1."""
+    expected = F.col("opening") + F.col("net")
+    return statements.select("*", expected.alias("expected"), (F.abs(expected - F.col("closing")) <= F.greatest(F.abs("closing") * 0.01, F.lit(1.0))).alias("ok"))

@@ -29,9 +29,14 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise Spark's own choice of join stands."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, vid, sim, rank) for a stated, small set of queries against all vectors; nulls are skipped."""
-    q = F.broadcast(queries.select("qid", F.col("vec").alias("qv")))
+    q = few(queries.select("qid", F.col("vec").alias("qv")))
     v = vectors.filter("vec IS NOT NULL").select("vid", "vec")
     sims = v.crossJoin(q).select("qid", "vid", F.round(cosine(F.col("vec"), F.col("qv")), 6).alias("sim"))
     return top(sims, ["qid"], [F.desc("sim"), F.asc("vid")], k)
@@ -48,20 +53,17 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc, term, tf, len) of ``docs`` (doc, text)."""
-    terms = docs.select("doc", words(F.col("text")).alias("w")).select("doc", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return terms.groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc, score, rank) by Okapi BM25; documents that share no term with a query do not appear.
 
-    Only postings of query terms take part, and each query sees the documents its terms lead to.
+    Words that no query has go before anything is counted or shuffled, so what moves follows the
+    queries, and counts combine on the map side.
     """
     terms = queries.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("mean"))
-    lists = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = few(terms.select("term").distinct(), 200_000)
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]{2,}"))).alias("mean"))
+    each = docs.select("doc", words(F.col("text")).alias("w")).select("doc", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
+    lists = each.groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
     df = lists.groupBy("term").agg(F.count("*").alias("df"))
     scored = lists.join(df, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -81,6 +83,14 @@ def fused_top(fused: DataFrame, k: int) -> DataFrame:
     return top(fused, ["qid"], [F.desc("score"), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("cos_rank"), F.asc("doc")], k)
 
 
+def merged(lists: list[DataFrame], k: int) -> DataFrame:
+    """The ``k`` best (chunk, score) of several hit lists; a chunk found twice keeps its better score."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("chunk").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk").limit(k)
+
+
 def recency(age_days: Column, half_life: float = 180.0, floor: float = 0.5) -> Column:
     """Decay factor of an age; 1 where it is unknown."""
     return F.when(age_days.isNull(), 1.0).otherwise(floor + (1 - floor) * F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0)) / max(1.0, half_life)))

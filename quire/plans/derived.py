@@ -89,9 +89,11 @@ def txt_toc(spark, sf):
     return first.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).filter("k <= 40").select("doc_id", F.col("k").cast("long").alias("k"), "title")
 
 
-@query("fn_mixed_script", "SELECT * FROM (VALUES ('abc', false), ('abcд', true), ('', false), ('漢字kana', true)) t(s, mixed)")
+@query("fn_mixed_script", "SELECT doc_id, doc_id % 4 IN (1, 3) AND regexp_matches(text, '[A-Za-z]') AS mixed FROM (SELECT doc_id, substr(text, 1, 40) AS text FROM documents)")
 def fn_mixed_script(spark, sf):
-    return _v(spark, "(VALUES ('abc'), ('abcд'), (''), ('漢字kana')) t(s)").select("s", T.mixed_script(F.col("s")).alias("mixed"))
+    """Latin openings of all texts, half of them followed by as much Cyrillic or Han."""
+    more = F.when(F.col("doc_id") % 4 == 1, F.repeat(F.lit("д"), 40)).when(F.col("doc_id") % 4 == 3, F.repeat(F.lit("漢"), 40)).otherwise("")
+    return _docs(spark, sf).select("doc_id", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 40), more).alias("s")).select("doc_id", T.mixed_script(F.col("s")).alias("mixed"))
 
 
 @query("fn_best_transcript")
@@ -108,36 +110,44 @@ def sink_markdown(spark, sf):
     return joined.select("conv_id", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"), 256).alias("h"))
 
 
-@query("sink_strip_empty_rows", r"SELECT * FROM (VALUES ('| a | b |' || chr(10) || '|  |  |' || chr(10) || '| 1 | 2 |', '| a | b |' || chr(10) || '| 1 | 2 |'), ('x', 'x')) t(s, cleaned)")
+@query("sink_strip_empty_rows", r"SELECT p_partkey, '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || '| --- | --- |' || CASE WHEN p_partkey % 3 = 2 THEN chr(10) || '| 1 |  |' ELSE '' END AS cleaned FROM part")
 def sink_strip_empty_rows(spark, sf):
-    v = spark.createDataFrame([("| a | b |\n|  |  |\n| 1 | 2 |",), ("x",)], "s string")
-    return v.select("s", F.array_join(F.filter(F.split("s", "\n"), lambda r: ~r.rlike(r"^\|(\s*\|)+\s*$")), "\n").alias("cleaned"))
+    last = F.when(F.col("p_partkey") % 3 == 2, F.lit("\n| 1 |  |")).when(F.col("p_partkey") % 3 == 1, F.lit("\n|   |  |\n||  |")).otherwise("")
+    v = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("| "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |\n| --- | --- |\n|  |  |"), last).alias("s"))
+    return v.select("p_partkey", T.strip_empty_rows(F.col("s")).alias("cleaned"))
 
 
-@query("win_islands", "SELECT * FROM (VALUES (1, 1, 2, 2), (1, 3, 5, 3), (2, 1, 1, 1)) t(doc, first, last, pages)")
+@query("win_islands", """WITH r AS (SELECT *, sum(CASE WHEN role = 'user' AND turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
+SELECT conv_id AS doc, min(turn) AS first, max(turn) AS last, count(*) AS pages FROM r GROUP BY conv_id, run""")
 def win_islands(spark, sf):
-    v = _v(spark, "(VALUES (1, 1, true), (1, 2, false), (1, 3, true), (1, 4, false), (1, 5, false), (2, 1, false)) t(doc, page, starts)")
+    """Turns stand in for pages; every third turn, where the user speaks, starts a part."""
+    v = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), ((F.col("role") == "user") & (F.col("turn") % 3 == 0)).alias("starts"))
     return readers.segments(v, "doc", "page", F.col("starts"))
 
 
-@query("src_sniff", "SELECT * FROM (VALUES ('a', 'application/pdf'), ('b', 'image/png'), ('c', NULL)) t(k, kind)")
+@query("src_sniff", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/gzip' END AS kind FROM documents")
 def src_sniff(spark, sf):
-    v = spark.createDataFrame([("a", bytearray(b"%PDF-1.7")), ("b", bytearray(b"\x89PNG\r\n")), ("c", bytearray(b"hello"))], "k string, content binary")
-    return v.select("k", readers.sniff(F.col("content")).alias("kind"))
+    """All texts as bytes, three quarters of them behind the first bytes of a known type."""
+    head = F.when(F.col("doc_id") % 4 == 0, F.lit(bytearray(b"%PDF-1.7"))).when(F.col("doc_id") % 4 == 1, F.lit(bytearray(b"\x89PNG\r\n\x1a\n"))).when(F.col("doc_id") % 4 == 2, F.lit(bytearray(b"\x1f\x8b\x08"))).otherwise(F.lit(bytearray(b" ")))
+    return _docs(spark, sf).select("doc_id", readers.sniff(F.concat(head, F.encode("text", "UTF-8"))).alias("kind"))
 
 
-@query("q_kind_expected", "SELECT * FROM (VALUES ('vendor_email', 'email'), ('due_date', 'date'), ('interest_rate', 'percent'), ('total', 'money'), ('holder', NULL), ('fee', 'money')) t(name, kind)")
+@query("q_kind_expected", """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'date' WHEN 2 THEN 'percent' WHEN 3 THEN 'money' WHEN 5 THEN 'money' WHEN 6 THEN 'date' END AS kind FROM part""")
 def q_kind_expected(spark, sf):
-    return _v(spark, "(VALUES ('vendor_email'), ('due_date'), ('interest_rate'), ('total'), ('holder'), ('fee')) t(name)").select("name", X.kind_expected(F.col("name")).alias("kind"))
+    stem = F.element_at(F.array(*map(F.lit, ("vendor_email_", "due_date_", "interest_rate_", "total_", "holder_", "fee_", "Valid_Until_"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", X.kind_expected(F.concat(stem, "p_size")).alias("kind"))
 
 
-@query("val_balance", "SELECT * FROM (VALUES (1, 110.0, true), (2, 80.0, false)) t(id, expected, ok)")
+@query("val_balance", """WITH t AS (SELECT l_orderkey AS id, sum(CAST(CASE l_returnflag WHEN 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2))) AS net FROM lineitem GROUP BY 1),
+ b AS (SELECT id, 100 + CAST(net AS DOUBLE) AS expected, CASE WHEN id % 3 = 0 THEN 2 * (100 + CAST(net AS DOUBLE)) + 50 ELSE 100 + CAST(net AS DOUBLE) + 0.5 END AS closing FROM t)
+SELECT id, round(expected, 2) AS expected, abs(expected - closing) <= greatest(abs(closing) * 0.01, 1.0) AS ok FROM b""")
 def val_balance(spark, sf):
-    v = spark.sql("""SELECT * FROM (VALUES (1, 100.0, 110.5, array(named_struct('amount', 20.0, 'direction', 'credit'), named_struct('amount', 10.0, 'direction', 'debit'))),
-     (2, 100.0, 120.0, array(named_struct('amount', 20.0, 'direction', 'debit')))) t(id, opening, closing, txns)""")
-    net = F.aggregate("txns", F.lit(0.0), lambda a, t: a + F.when(t["direction"] == "debit", -t["amount"]).otherwise(t["amount"]).cast("double"))
-    e = F.col("opening").cast("double") + net
-    return v.select("id", e.alias("expected"), (F.abs(e - F.col("closing")) <= F.greatest(F.abs("closing") * 0.01, F.lit(1.0))).alias("ok"))
+    """Lines of an order as transactions, returned ones going out; every third closing balance is off."""
+    amount = F.col("l_extendedprice").cast("decimal(18,2)")
+    net = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.when(F.col("l_returnflag") == "R", -amount).otherwise(amount)).cast("double").alias("net"))
+    off = F.when(F.col("id") % 3 == 0, 2 * (100 + F.col("net")) + 50).otherwise(100 + F.col("net") + 0.5)
+    v = X.balanced(net.select("id", F.lit(100.0).alias("opening"), "net", off.alias("closing")))
+    return v.select("id", F.round("expected", 2).alias("expected"), "ok")
 
 
 @query("db_compare", """WITH t AS (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) AS assets, sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderstatus = 'F') AS liabilities, sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderstatus = 'O') AS equity FROM orders)
@@ -162,16 +172,12 @@ def fn_health_status(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(v > 50, "High").when(v < 10, "Low").otherwise("Normal").alias("status"))
 
 
-@query("fn_range", r"""SELECT s, CASE WHEN regexp_matches(s, '^\s*[0-9.]+\s*-\s*[0-9.]+') THEN TRY_CAST(regexp_extract(s, '([0-9.]+)\s*-', 1) AS DOUBLE) WHEN regexp_matches(s, '^\s*>') THEN TRY_CAST(regexp_extract(s, '([0-9.]+)', 1) AS DOUBLE) END AS low,
- CASE WHEN regexp_matches(s, '^\s*[0-9.]+\s*-\s*[0-9.]+') THEN TRY_CAST(regexp_extract(s, '-\s*([0-9.]+)', 1) AS DOUBLE) WHEN regexp_matches(lower(s), '^\s*(<|up to)') THEN TRY_CAST(regexp_extract(s, '([0-9.]+)', 1) AS DOUBLE) END AS high
- FROM (VALUES ('3.5-5.1'), ('up to 40'), ('> 60'), ('< 5'), ('n/a')) t(s)""")
+@query("fn_range", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN value WHEN 2 THEN value END AS low, CASE event_id % 5 WHEN 0 THEN round(value + 1, 2) WHEN 1 THEN value WHEN 3 THEN value END AS high FROM events""")
 def fn_range(spark, sf):
-    s = F.col("s")
-    number = lambda rx: F.regexp_extract(s, rx, 1).try_cast("double")
-    both = s.rlike(r"^\s*[0-9.]+\s*-\s*[0-9.]+")
-    return _v(spark, "(VALUES ('3.5-5.1'), ('up to 40'), ('> 60'), ('< 5'), ('n/a')) t(s)").select(
-        "s", F.when(both, number(r"([0-9.]+)\s*-")).when(s.rlike(r"^\s*>"), number("([0-9.]+)")).alias("low"), F.when(both, number(r"-\s*([0-9.]+)")).when(F.lower(s).rlike(r"^\s*(<|up to)"), number("([0-9.]+)")).alias("high")
-    )
+    v, k = F.format_string("%.2f", "value"), F.col("event_id") % 5
+    said = F.when(k == 0, F.concat(v, F.lit(" - "), F.format_string("%.2f", F.col("value") + 1))).when(k == 1, F.concat(F.lit("up to "), v)).when(k == 2, F.concat(F.lit("> "), v)).when(k == 3, F.concat(F.lit("<"), v)).otherwise("n/a")
+    found = table(spark, sf, "events").select("event_id", T.reference_range(said).alias("r"))
+    return found.select("event_id", "r.low", F.round("r.high", 2).alias("high"))
 
 
 @query("fn_walk_path", "SELECT event_id, json_extract_string(props, '$.k') AS v, json_extract_string(props, '$.a.b') AS missing FROM events")
@@ -200,10 +206,9 @@ def srt_multi(spark, sf):
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"))
 
 
-@query("agg_dominant_currency", "SELECT o_custkey, mode(o_orderpriority ORDER BY o_orderpriority) AS currency FROM orders WHERE o_custkey < 200 GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1")
+@query("agg_dominant_currency", "SELECT o_custkey, mode(o_orderpriority ORDER BY o_orderpriority) AS currency FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1")
 def agg_dominant_currency(spark, sf):
-    o = table(spark, sf, "orders").filter("o_custkey < 200")
-    return o.groupBy("o_custkey").agg(F.mode("o_orderpriority").alias("currency"), F.countDistinct("o_orderpriority").alias("n")).filter("n = 1").drop("n")
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.mode("o_orderpriority").alias("currency"), F.countDistinct("o_orderpriority").alias("n")).filter("n = 1").drop("n")
 
 
 @query("agg_corpus_profile", "SELECT lang, count(*) AS n, array_to_string(list_sort(list_distinct(list(source)))[1:5], '|') AS sources FROM documents GROUP BY 1")
@@ -240,10 +245,10 @@ def flt_point_in_bbox(spark, sf):
     return s.filter("4 BETWEEN b.x0 AND b.x1 AND 5 BETWEEN b.y0 AND b.y1").select("s_suppkey")
 
 
-@query("dup_upload_sha", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AND doc_id % 2 = 1")
+@query("dup_upload_sha", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(coalesce(text, ''))")
 def dup_upload_sha(spark, sf):
-    d = _docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha"))
-    return d.filter("doc_id % 2 = 1").join(d.filter("doc_id % 2 = 0").select("sha"), "sha", "left_anti").select("doc_id")
+    """Uploads taken in: those whose content no earlier id has."""
+    return _docs(spark, sf).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("dup_identifier", """WITH i AS (SELECT DISTINCT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}'))) AS id FROM documents)
@@ -283,11 +288,9 @@ def dc_excerpt(spark, sf):
     return parts.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").substr(1, 200).alias("excerpt"))
 
 
-@query("fn_rel_when", "SELECT d, CASE WHEN d < 0 THEN (-d) || ' days ago' WHEN d = 0 THEN 'today' WHEN d < 60 THEN 'in ' || d || ' days' ELSE 'in ' || (d // 30) || ' months' END AS said FROM (VALUES (-3), (0), (5), (59), (90), (200)) t(d)")
+@query("fn_rel_when", "WITH o AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - DATE '1996-06-15' AS INTEGER) AS d FROM orders) SELECT o_orderkey, CASE WHEN d < 0 THEN (-d) || ' days ago' WHEN d = 0 THEN 'today' WHEN d < 60 THEN 'in ' || d || ' days' ELSE 'in ' || (d // 30) || ' months' END AS said FROM o")
 def fn_rel_when(spark, sf):
-    d = F.col("d")
-    said = F.when(d < 0, F.concat((-d).cast("string"), F.lit(" days ago"))).when(d == 0, "today").when(d < 60, F.concat(F.lit("in "), d.cast("string"), F.lit(" days"))).otherwise(F.concat(F.lit("in "), F.floor(d / 30).cast("string"), F.lit(" months")))
-    return _v(spark, "(VALUES (-3), (0), (5), (59), (90), (200)) t(d)").select("d", said.alias("said"))
+    return table(spark, sf, "orders").select("o_orderkey", T.relative_day(F.datediff(F.to_date("o_orderdate"), F.lit("1996-06-15"))).alias("said"))
 
 
 @query("th_health", "WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type AS marker, value AS latest, CASE WHEN value > 50 THEN 'High' WHEN value < 10 THEN 'Low' ELSE 'Normal' END AS status FROM r WHERE k = 1")
@@ -301,8 +304,10 @@ def qa_types(spark, sf):
     return _docs(spark, sf).filter(F.lower("lang").isin("de", "fr")).select(F.col("lang").alias("type"), "doc_id")
 
 
-@query("qa_compare", "SELECT a.o_orderkey AS a, b.o_orderkey AS b, CAST(a.o_orderstatus <> b.o_orderstatus AS INT) + CAST(a.o_orderpriority <> b.o_orderpriority AS INT) AS differing FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey < 500")
+@query("qa_compare", "WITH o AS (SELECT *, lead(o_orderkey) OVER w AS b, lead(o_orderstatus) OVER w AS status, lead(o_orderpriority) OVER w AS priority FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_orderkey AS a, b, CAST(o_orderstatus <> status AS INT) + CAST(o_orderpriority <> priority AS INT) AS differing FROM o WHERE b IS NOT NULL")
 def qa_compare(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey <= 500").select("o_orderkey", F.explode(F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")).alias("key", "value"))
-    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), "key", F.col("value").alias("other"))
-    return o.join(b, ["o_orderkey", "key"]).groupBy(F.col("o_orderkey").alias("a")).agg(F.count_if(F.col("value") != F.col("other")).cast("int").alias("differing")).select("a", (F.col("a") + 1).alias("b"), "differing").filter("a < 500")
+    """Each order beside its customer's next one, field by field."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    fields = ("o_orderstatus", "o_orderpriority")
+    o = table(spark, sf, "orders").select("o_orderkey", *fields, F.lead("o_orderkey").over(w).alias("b"), *(F.lead(f).over(w).alias(f"next_{f}") for f in fields))
+    return o.filter("b IS NOT NULL").select(F.col("o_orderkey").alias("a"), "b", sum((F.col(f) != F.col(f"next_{f}")).cast("int") for f in fields).alias("differing"))
\ No newline at end of file

@@ -34,23 +34,29 @@ def qa_unsupported(spark, sf):
     return _turns(spark, sf).filter(F.col("text").rlike(A.DESTRUCTIVE)).select("conv_id", "turn")
 
 
-QUESTIONS = ["Compare both invoices", "list all passports I have", "what is the total due?", "who is the applicant?", "hello!", "delete all my files", "what can you do", "and the second one?", "Tell me a story of ships and seas", ""]
-_Q = "(VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + ") t(q)"
+# Questions of many kinds about all parts.
+QUESTION = """CASE p_partkey % 12 WHEN 0 THEN 'Compare both ' || p_name WHEN 1 THEN 'list all ' || p_type || ' I have' WHEN 2 THEN 'what is the total of ' || p_name || '?' WHEN 3 THEN 'who is the applicant for ' || p_brand || '?'
+ WHEN 4 THEN 'hello!' WHEN 5 THEN 'delete all my ' || p_type WHEN 6 THEN 'what can you do' WHEN 7 THEN 'and the second ' || p_brand || '?' WHEN 8 THEN 'Tell me a story of ' || p_name || ' and seas' WHEN 9 THEN 'how many ' || p_type || ' documents' WHEN 10 THEN 'difference between ' || p_brand || ' and ' || p_name ELSE '' END"""
+_Q = f"(SELECT p_partkey, {QUESTION} AS q FROM part) t"
 
 
-@query("qa_fragments", f"SELECT q, concat_ws('|', CASE WHEN regexp_matches(q, '{_sq(A.COMPARE)}') THEN 'compare' END, CASE WHEN regexp_matches(q, '{_sq(A.OF_KIND)}') THEN 'of_kind' END, CASE WHEN regexp_matches(q, '{_sq(A.SINGLE)}') AND NOT regexp_matches(q, '{_sq(A.COMPARE)}') THEN 'single' END, CASE WHEN regexp_matches(q, '{_sq(A.ATTRIBUTE)}') THEN 'attribute' END) AS picks FROM {_Q}")
+def _asked(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey", f"{QUESTION} AS q")
+
+
+@query("qa_fragments", f"SELECT p_partkey, concat_ws('|', CASE WHEN regexp_matches(q, '{_sq(A.COMPARE)}') THEN 'compare' END, CASE WHEN regexp_matches(q, '{_sq(A.OF_KIND)}') THEN 'of_kind' END, CASE WHEN regexp_matches(q, '{_sq(A.SINGLE)}') AND NOT regexp_matches(q, '{_sq(A.COMPARE)}') THEN 'single' END, CASE WHEN regexp_matches(q, '{_sq(A.ATTRIBUTE)}') THEN 'attribute' END) AS picks FROM {_Q}")
 def qa_fragments(spark, sf):
-    return spark.sql(f"SELECT * FROM {_Q}").select("q", F.array_join(A.fragments(F.col("q")), "|").alias("picks"))
+    return _asked(spark, sf).select("p_partkey", F.array_join(A.fragments(F.col("q")), "|").alias("picks"))
 
 
-@query("qa_format", f"SELECT q, CASE WHEN regexp_matches(q, '{_sq(A.COMPARE)}') THEN 'table' WHEN regexp_matches(q, '{_sq(A.OF_KIND)}') THEN 'filtered-list' WHEN regexp_matches(q, '{_sq(A.SINGLE)}') THEN 'one-line' WHEN regexp_matches(q, '{_sq(A.ATTRIBUTE)}') THEN 'attribute' ELSE 'free' END AS format FROM {_Q}")
+@query("qa_format", f"SELECT p_partkey, CASE WHEN regexp_matches(q, '{_sq(A.COMPARE)}') THEN 'table' WHEN regexp_matches(q, '{_sq(A.OF_KIND)}') THEN 'filtered-list' WHEN regexp_matches(q, '{_sq(A.SINGLE)}') THEN 'one-line' WHEN regexp_matches(q, '{_sq(A.ATTRIBUTE)}') THEN 'attribute' ELSE 'free' END AS format FROM {_Q}")
 def qa_format(spark, sf):
-    return spark.sql(f"SELECT * FROM {_Q}").select("q", A.expected_format(F.col("q")).alias("format"))
+    return _asked(spark, sf).select("p_partkey", A.expected_format(F.col("q")).alias("format"))
 
 
-@query("qa_route_cases", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{r}', {u})" for q, r, u in zip(QUESTIONS, ["multi_hop", "single_hop", "single_hop", "single_hop", "no_retrieval", "single_hop", "no_retrieval", "single_hop", "single_hop", "no_retrieval"], ["true", "false", "false", "false", "true", "false", "false", "true", "false", "false"])) + ") t(q, route, followup)")
+@query("qa_route_cases", f"SELECT p_partkey, CASE WHEN trim(q) = '' OR regexp_matches(trim(q), '{_sq(A.GREETING)}') OR regexp_matches(q, '{_sq(A.META)}') THEN 'no_retrieval' WHEN regexp_matches(q, '{_sq(A.MULTI)}') THEN 'multi_hop' ELSE 'single_hop' END AS route, trim(q) <> '' AND (len(string_split_regex(trim(q), '\\s+')) <= 3 OR regexp_matches(q, '{_sq(A.FOLLOWUP)}')) AS followup FROM {_Q}")
 def qa_route_cases(spark, sf):
-    return spark.sql(f"SELECT * FROM {_Q}").select("q", A.route(F.col("q")).alias("route"), A.followup(F.col("q")).alias("followup"))
+    return _asked(spark, sf).select("p_partkey", A.route(F.col("q")).alias("route"), A.followup(F.col("q")).alias("followup"))
 
 
 @query("qa_is_abst", "SELECT conv_id, turn, starts_with(ltrim(text), 'INSUFFICIENT_EVIDENCE') AS abstained FROM conversations")
@@ -88,24 +94,32 @@ def cit_attribute(spark, sf):
     return A.attribute(answers, passages)
 
 
-CASES = """SELECT * FROM (VALUES
- (1, 'The fee is 40 USD.', array('fee: 40 USD a month'), array('40 USD'), array('d1'), array('d1', 'd2'), false),
- (2, 'It is not stated.', array('nothing here'), array('Alder Quinn'), array(), array(), true),
- (3, 'Mara Voss signed', array('signed by Mara Voss on 2 May'), array('Mara Voss', '2 May'), array('d3'), array('d3'), true),
- (4, 'No information found', array(), array(), array(), array(), false)) t(id, answer, contexts, expected, citations, must_cite, should_abstain)"""
+# Evaluation cases of all documents: what was answered, seen, expected and cited, by the id's remainder.
+CASE_SQL = """SELECT doc_id AS id, CAST(CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END AS DOUBLE) AS faithfulness_proxy, CAST(CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 END AS DOUBLE) AS answer_correctness_proxy,
+ CAST(CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 2 THEN 1.0 END AS DOUBLE) AS citation_recall, CASE doc_id % 4 WHEN 0 THEN 'answered' WHEN 1 THEN 'correct_abstain' WHEN 2 THEN 'missed_abstain' ELSE 'over_abstain' END AS abstention FROM documents"""
+
+
+def _evaluated(spark, sf):
+    k, i = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    texts = lambda *x: F.array(*(F.lit(t) if isinstance(t, str) else t for t in x)).cast("array<string>")
+    pick = lambda *values: F.coalesce(*(F.when(k == n, v) for n, v in enumerate(values)))
+    fee, none = F.concat(F.lit("fee: "), i, F.lit(" USD a month")), texts()
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), pick(F.concat(F.lit("The fee is "), i, F.lit(" USD.")), F.lit("It is not stated."), F.lit("Mara Voss signed"), F.lit("No information found")).alias("answer"),
+        pick(texts(fee), texts("nothing here"), texts("signed by Mara Voss on 2 May"), none).alias("contexts"), pick(texts(F.concat(i, F.lit(" USD"))), texts("Alder Quinn"), texts("Mara Voss", "2 May"), none).alias("expected"),
+        pick(texts("d1"), none, texts("d3"), none).alias("citations"), pick(texts("d1", "d2"), none, texts("d3"), none).alias("must_cite"), k.isin(1, 2).alias("should_abstain"),
+    )
 
 
-@query("ev_case", "SELECT * FROM (VALUES (1, 1.0, 1.0, 0.5, 'answered'), (2, 0.0, 0.0, NULL, 'correct_abstain'), (3, 1.0, 0.5, 1.0, 'missed_abstain'), (4, NULL, NULL, NULL, 'over_abstain')) t(id, faithfulness_proxy, answer_correctness_proxy, citation_recall, abstention)")
+@query("ev_case", CASE_SQL)
 def ev_case(spark, sf):
-    return A.score_cases(spark.sql(CASES)).select("id", "faithfulness_proxy", "answer_correctness_proxy", "citation_recall", "abstention")
+    return A.score_cases(_evaluated(spark, sf)).select("id", "faithfulness_proxy", "answer_correctness_proxy", "citation_recall", "abstention")
 
 
-@query("agg_eval", "SELECT 0.6667 AS faithfulness, 0.5 AS correctness, 0.75 AS citation, 1 AS correct_abstain, 1 AS missed_abstain, 1 AS over_abstain")
+@query("agg_eval", f"""SELECT round(avg(faithfulness_proxy), 4) AS faithfulness, round(avg(answer_correctness_proxy), 4) AS correctness, round(avg(citation_recall), 4) AS citation, count(*) FILTER (WHERE abstention = 'correct_abstain') AS correct_abstain,
+ count(*) FILTER (WHERE abstention = 'missed_abstain') AS missed_abstain, count(*) FILTER (WHERE abstention = 'over_abstain') AS over_abstain FROM ({CASE_SQL})""")
 def agg_eval(spark, sf):
-    s = A.score_cases(spark.sql(CASES))
-    mean = lambda c: F.round(F.avg(c), 4)
-    n = lambda v: F.count_if(F.col("abstention") == v).alias(v)
-    return s.agg(mean("faithfulness_proxy").alias("faithfulness"), mean("answer_correctness_proxy").alias("correctness"), mean("citation_recall").alias("citation"), n("correct_abstain"), n("missed_abstain"), n("over_abstain"))
+    return A.summary(A.score_cases(_evaluated(spark, sf)))
 
 
 def _events(spark, sf):

@@ -102,12 +102,12 @@ def rec_dup(spark, sf):
 
 
 @query("rec_dup_signals", """
-WITH v AS (SELECT * FROM (VALUES (0, 'x'), (1, 'x'), (3, NULL), (4, 'x'), (NULL, NULL)) t(gap, claimant))
-SELECT gap, 'vendor_match|amount_match|' || CASE WHEN claimant IS NULL THEN 'no_claimant_on_either' ELSE 'claimant_match' END || '|' ||
+WITH v AS (SELECT o_orderkey, o_orderkey % 5 AS gap, CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END AS claimant FROM orders)
+SELECT o_orderkey, 'vendor_match|amount_match|' || CASE WHEN claimant IS NULL THEN 'no_claimant_on_either' ELSE 'claimant_match' END || '|' ||
  CASE WHEN gap = 0 THEN 'date_match' WHEN gap <= 3 THEN 'date_within_' || gap || 'd' ELSE 'date_unknown' END AS signals FROM v""")
 def rec_dup_signals(spark, sf):
-    v = spark.sql("SELECT * FROM (VALUES (0, 'x'), (1, 'x'), (3, NULL), (4, 'x'), (NULL, NULL)) t(gap, claimant)")
-    return v.select("gap", F.array_join(reconcile.signals(F.col("gap"), F.col("claimant")), "|").alias("signals"))
+    claimant = F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(reconcile.signals(F.col("o_orderkey") % 5, claimant), "|").alias("signals"))
 
 
 @query("rec_pay", """

@@ -8,36 +8,51 @@ from ..functions import names, text
 from ..session import table
 from .registry import query
 
-NAMES = "(VALUES ('Mr. Alder Quinn'), ('[PERSON_1] Alder Quinn'), ('Mara Voss (Primary)'), ('N/A'), ('12345'), ('A'), ('Acme Corp Inc'), ('Foo LLC'), ('Quinn  Alder'), ('. Kalo Rim;'), (NULL), ('one two three four five six seven eight'), ('X 12')) t(s)"
+# Names in many shapes, over all customers.
+NAME_OF = """CASE c_custkey % 13 WHEN 0 THEN 'Mr. Alder ' || c_mktsegment WHEN 1 THEN '[PERSON_1] ' || c_name WHEN 2 THEN 'Mara Voss' || c_custkey || ' (Primary)' WHEN 3 THEN 'N/A' WHEN 4 THEN CAST(c_custkey + 10000 AS STRING)
+ WHEN 5 THEN 'A' WHEN 6 THEN c_mktsegment || ' Corp Inc' WHEN 7 THEN c_mktsegment || ' LLC' WHEN 8 THEN 'Quinn  ' || c_mktsegment WHEN 9 THEN '. Kalo ' || c_name || ';' WHEN 10 THEN CAST(NULL AS STRING)
+ WHEN 11 THEN 'one two three four five six seven ' || c_mktsegment ELSE 'X ' || c_custkey END"""
+NAMES = f"(SELECT c_custkey, {NAME_OF} AS s FROM customer) t".replace("STRING", "VARCHAR")
 CLEAN = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(s, '(?i)\[[a-z][a-z_]*\d*\]', ' ', 'g'))),
  '^(mr|mrs|ms|miss|dr|prof|sir|madam|mx|mr\.|mrs\.|ms\.|dr\.|prof\.)\s+', ''), '\s+', ' ', 'g'), '\([^)]*\)\s*$', '')), '^[^\p{L}\p{N}_]+', ''), '[.,;:]+$', ''))"""
 VALID = """(length(c) >= 2 AND regexp_matches(c, '[a-z]') AND NOT (regexp_full_match(c, '[a-z]?\\d[\\d\\W a-z]*') AND len(regexp_extract_all(c, '[a-z]{2,}')) < 2)
  AND len(string_split_regex(trim(c), '\\s+')) <= 7 AND c NOT IN ('na','n/a','none','null','nil','unknown','tbd','not applicable','category','ategory','name','self','applicant','holder','customer'))"""
-CANON = f"WITH v AS (SELECT s, {CLEAN} AS c FROM {NAMES}), k AS (SELECT s, CASE WHEN {VALID} THEN c ELSE '' END AS c FROM v) "
+CANON = f"WITH v AS (SELECT c_custkey, {CLEAN} AS c FROM {NAMES}), k AS (SELECT c_custkey, CASE WHEN {VALID} THEN c ELSE '' END AS c FROM v) "
 
 
-def _values(spark, values):
-    return spark.sql(f"SELECT * FROM {values}")
+def _named(spark, sf):
+    return table(spark, sf, "customer").selectExpr("c_custkey", f"{NAME_OF} AS s")
 
 
-@query("fn_canon_name", CANON + "SELECT s, c AS canonical FROM k")
+def _either(name, column, pairs, fn, base="customer", key="c_custkey", cast="VARCHAR"):
+    """A query over a whole table: texts written in turn in several ways (the same in both dialects), beside what each becomes."""
+    cases = lambda i: " ".join(f"WHEN {n} THEN {pair[i]}" for n, pair in enumerate(pairs))
+
+    @query(name, f"SELECT {key}, CAST(CASE {key} % {len(pairs)} {cases(1)} END AS {cast}) AS {column} FROM {base}")
+    def run(spark, sf):
+        return table(spark, sf, base).selectExpr(key, f"CASE {key} % {len(pairs)} {cases(0)} END AS s").select(key, fn(F.col("s")).alias(column))
+
+    return run
+
+
+@query("fn_canon_name", CANON + "SELECT c_custkey, c AS canonical FROM k")
 def fn_canon_name(spark, sf):
-    return _values(spark, NAMES).select("s", names.canon_name(F.col("s")).alias("canonical"))
+    return _named(spark, sf).select("c_custkey", names.canon_name(F.col("s")).alias("canonical"))
 
 
-@query("fn_valid_name", f"WITH v AS (SELECT s, lower(s) AS c FROM {NAMES}) SELECT s, coalesce({VALID}, false) AS valid FROM v")
+@query("fn_valid_name", f"WITH v AS (SELECT c_custkey, lower(s) AS c FROM {NAMES}) SELECT c_custkey, coalesce({VALID}, false) AS valid FROM v")
 def fn_valid_name(spark, sf):
-    return _values(spark, NAMES).select("s", names.valid_name(F.lower("s")).alias("valid"))
+    return _named(spark, sf).select("c_custkey", names.valid_name(F.lower("s")).alias("valid"))
 
 
-@query("fn_canon_name_sorted", CANON + "SELECT s, array_to_string(list_sort(string_split(c, ' ')), ' ') AS canonical FROM k")
+@query("fn_canon_name_sorted", CANON + "SELECT c_custkey, array_to_string(list_sort(string_split(c, ' ')), ' ') AS canonical FROM k")
 def fn_canon_name_sorted(spark, sf):
-    return _values(spark, NAMES).select("s", names.canon_name_sorted(F.col("s")).alias("canonical"))
+    return _named(spark, sf).select("c_custkey", names.canon_name_sorted(F.col("s")).alias("canonical"))
 
 
-@query("fn_canon_org", CANON + r"SELECT s, trim(regexp_replace(c, '\s+(pte ltd|pvt ltd|ltd|inc|llc|gmbh|sa|bv|pte|plc|corp|co)\.?$', '')) AS canonical FROM k")
+@query("fn_canon_org", CANON + r"SELECT c_custkey, trim(regexp_replace(c, '\s+(pte ltd|pvt ltd|ltd|inc|llc|gmbh|sa|bv|pte|plc|corp|co)\.?$', '')) AS canonical FROM k")
 def fn_canon_org(spark, sf):
-    return _values(spark, NAMES).select("s", names.canon_org(F.col("s")).alias("canonical"))
+    return _named(spark, sf).select("c_custkey", names.canon_org(F.col("s")).alias("canonical"))
 
 
 @query("fn_canon_org_suppliers", r"SELECT s_name, trim(regexp_replace(lower(s_name), '\s+(pte ltd|pvt ltd|ltd|inc|llc|gmbh|sa|bv|pte|plc|corp|co)\.?$', '')) AS canonical FROM supplier")
@@ -45,19 +60,18 @@ def fn_canon_org_suppliers(spark, sf):
     return table(spark, sf, "supplier").select("s_name", names.canon_org(F.col("s_name")).alias("canonical"))
 
 
-PEOPLE = "(VALUES ('Alder Quinn / Mara Voss'), ('Alder Quinn & Mara Voss'), ('Alder Quinn and Mara Voss'), ('Alder Quinn and/or Mara Voss'), ('Jack and Jill Party'), ('Anderson'), ('Alder Quinn and Bo'), (NULL), ('  ')) t(s)"
+_both = "'Alder ' || c_custkey || 'x{}Mara Voss'"
+_either("fn_split_people", "people", [(_both.format(sep), "'Alder ' || c_custkey || 'x|Mara Voss'") for sep in (" / ", " & ", " and ", " and/or ")]
+        + [("'Jack and Jill Party ' || c_custkey",) * 2, ("'Anderson'",) * 2, ("'Alder Quinn and Bo'",) * 2, ("''", "''")], lambda c: F.array_join(names.split_people(c), "|"))
 
+_AMOUNTS = [("'S$' || {n}", "o_totalprice", "'SGD'"), ("'$' || {n}", "o_totalprice", "'USD'"), ("'-$' || {n}", "o_totalprice", "NULL"), ("'$-' || {n}", "-o_totalprice", "'USD'"), ("'not money'", "NULL", "NULL"), ("{n} || ' EUR'", "o_totalprice", "'EUR'"), ("'US$ ' || {n}", "o_totalprice", "'USD'")]
+_case = lambda i: "CASE o_orderkey % 7 " + " ".join(f"WHEN {n} THEN {a[i]}" for n, a in enumerate(_AMOUNTS)) + " END"
 
-@query("fn_split_people", """SELECT * FROM (VALUES ('Alder Quinn / Mara Voss', 'Alder Quinn|Mara Voss'), ('Alder Quinn & Mara Voss', 'Alder Quinn|Mara Voss'), ('Alder Quinn and Mara Voss', 'Alder Quinn|Mara Voss'),
- ('Alder Quinn and/or Mara Voss', 'Alder Quinn|Mara Voss'), ('Jack and Jill Party', 'Jack and Jill Party'), ('Anderson', 'Anderson'), ('Alder Quinn and Bo', 'Alder Quinn and Bo'), (NULL, ''), ('  ', '')) t(s, people)""")
-def fn_split_people(spark, sf):
-    return _values(spark, PEOPLE).select("s", F.array_join(names.split_people(F.col("s")), "|").alias("people"))
 
-
-@query("fn_canon_money", """SELECT * FROM (VALUES ('S$1,420.00', 1420.0, 'SGD'), ('$1,420.00', 1420.0, 'USD'), ('-$500.00', 500.0, NULL), ('$-500.00', -500.0, 'USD'), (NULL, NULL, NULL), ('not money', NULL, NULL), ('12 EUR', 12.0, 'EUR'), ('US$ 3.5', 3.5, 'USD')) t(s, amount, currency)""")
+@query("fn_canon_money", f"SELECT o_orderkey, CAST({_case(1)} AS DOUBLE) AS amount, {_case(2)} AS currency FROM orders")
 def fn_canon_money(spark, sf):
-    v = _values(spark, "(VALUES ('S$1,420.00'), ('$1,420.00'), ('-$500.00'), ('$-500.00'), (NULL), ('not money'), ('12 EUR'), ('US$ 3.5')) t(s)")
-    return v.select("s", names.money(F.col("s"))["amount"].alias("amount"), names.money(F.col("s"))["currency"].alias("currency"))
+    v = table(spark, sf, "orders").selectExpr("o_orderkey", _case(0).replace("{n}", "format_number(o_totalprice, 2)") + " AS s")
+    return v.select("o_orderkey", names.money(F.col("s"))["amount"].alias("amount"), names.money(F.col("s"))["currency"].alias("currency"))
 
 
 @query("fn_money_canonical", """SELECT o_orderkey, printf('%.2f USD', o_totalprice) AS canonical FROM orders""")
@@ -66,10 +80,16 @@ def fn_money_canonical(spark, sf):
     return o.select("o_orderkey", names.money_canonical(F.col("s")).alias("canonical"))
 
 
-@query("fn_canon_date", """SELECT * FROM (VALUES ('12/05/2026', '2026-12-05'), ('12-05-2026', '2026-05-12'), ('12 May 2026', '2026-05-12'), ('[2026-05-12]', '2026-05-12'), ('', ''), ('May 3, 2026', '2026-05-03'), ('2026-99-99', '2026-99-99'), ('25/12/2026', '2026-12-25'), ('nope', '')) t(s, iso)""")
+_DATES = ("MM/dd/yyyy", "dd-MM-yyyy", "d MMM yyyy", "'['yyyy-MM-dd']'", "MMM d, yyyy", "dd/MM/yyyy", "'nope'", "yyyy'-99-99'")
+
+
+@query("fn_canon_date", """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey,
+ CASE k WHEN 5 THEN CASE WHEN day(d) > 12 THEN CAST(d AS VARCHAR) ELSE strftime(d, '%Y-%d-%m') END WHEN 6 THEN '' WHEN 7 THEN year(d) || '-99-99' ELSE CAST(d AS VARCHAR) END AS iso FROM o""")
 def fn_canon_date(spark, sf):
-    v = _values(spark, "(VALUES ('12/05/2026'), ('12-05-2026'), ('12 May 2026'), ('[2026-05-12]'), (''), ('May 3, 2026'), ('2026-99-99'), ('25/12/2026'), ('nope')) t(s)")
-    return v.select("s", names.canon_date(F.col("s")).alias("iso"))
+    """Dates of all orders in eight forms; slashed ones are read months first where they can be."""
+    k = F.col("o_orderkey") % len(_DATES)
+    written = F.coalesce(*(F.when(k == i, F.date_format("o_orderdate", form)) for i, form in enumerate(_DATES)))
+    return table(spark, sf, "orders").select("o_orderkey", written.alias("s")).select("o_orderkey", names.canon_date(F.col("s")).alias("iso"))
 
 
 @query("fn_lev_le", "SELECT a.s_name AS a, b.s_name AS b, levenshtein(a.s_name, b.s_name) <= 1 AS near FROM supplier a JOIN supplier b ON a.s_suppkey + 1 = b.s_suppkey OR a.s_suppkey + 10 = b.s_suppkey")
@@ -86,26 +106,30 @@ def fn_levenshtein(spark, sf):
     return a.join(s.select("s_suppkey", F.col("s_name").alias("b")), "s_suppkey").select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
 
 
-IDENTITIES = [("person", "alder quinn", "quinn alder", True), ("person", "alder quinn", "mara quinn", False), ("person", "alder mara voss", "quinn alder mara", False), ("person", "alder quinn voss", "alder quinn", True), ("person", "quinn", "quinm", False), ("person", "alder quinn", "alder quinm", True), ("money", "1.00 USD", "1.00 SGD", False), ("money", "1.00 USD", "1.00 USD", True), ("org", "", "", True), ("org", "acme", "", False), ("org", "acme trading", "acme trading house berlin branch", True)]
+# Pairs of canonical forms and whether they name the same thing; w and v are words of eight letters and digits.
+_w, _v = "substr(md5(CAST(c_custkey AS STRING)), 1, 8)", "substr(md5(CAST(c_custkey + 500000 AS STRING)), 1, 8)"
+IDENTITIES = [("person", "{w} || ' ' || {v}", "{v} || ' ' || {w}", True), ("person", "{w} || ' quinn'", "{v} || ' quinn'", False), ("person", "{w} || ' mara voss'", "{v} || ' mara voss'", False), ("person", "{w} || ' quinn ' || {v}", "{w} || ' quinn'", True),
+              ("person", "{w}", "{v}", False), ("person", "{w} || ' quinn'", "{w} || ' quinm'", True), ("money", "{w} || ' USD'", "{w} || ' SGD'", False), ("money", "{w}", "{w}", True), ("org", "''", "''", True), ("org", "''", "{w}", False),
+              ("org", "{w} || ' trading'", "{w} || ' trading house berlin branch'", True), ("person", "{w} || '11111111'", "{w} || '11111111222'", True)]
+_said = lambda i: "CASE c_custkey % 12 " + " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(IDENTITIES)) + " END"
 
 
-@query("res_same", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}', {str(x).lower()})" for k, a, b, x in IDENTITIES) + ") t(kind, a, b, same)")
+@query("res_same", "SELECT c_custkey, c_custkey % 12 IN (" + ", ".join(str(n) for n, x in enumerate(IDENTITIES) if x[3]) + ") AS same FROM customer")
 def res_same(spark, sf):
-    v = spark.createDataFrame([x[:3] for x in IDENTITIES], "kind string, a string, b string")
-    return v.select("kind", "a", "b", names.same_identity(F.col("kind"), F.col("a"), F.col("b")).alias("same"))
+    kind = "CASE c_custkey % 12 " + " ".join(f"WHEN {n} THEN '{x[0]}'" for n, x in enumerate(IDENTITIES)) + " END"
+    v = table(spark, sf, "customer").selectExpr("c_custkey", f"{kind} AS kind", *(_said(i).replace("{w}", _w).replace("{v}", _v) + f" AS {c}" for i, c in ((1, "a"), (2, "b"))))
+    return v.select("c_custkey", names.same_identity(F.col("kind"), F.col("a"), F.col("b")).alias("same"))
 
 
-@query("res_canon_for", "SELECT * FROM (VALUES ('org', 'Acme Corp Inc', NULL, 'acme corp'), ('person', 'Dr. Mara Voss', '', 'mara voss'), ('money', ' 12 USD ', NULL, '12 usd'), ('org', 'x', 'kept', 'kept')) t(kind, txt, canonical, best)")
+@query("res_canon_for", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) || ' corp' WHEN 1 THEN 'mara ' || lower(c_mktsegment) WHEN 2 THEN c_custkey || ' usd' WHEN 3 THEN 'kept ' || c_custkey ELSE '' END AS best FROM customer""")
 def res_canon_for(spark, sf):
-    v = _values(spark, "(VALUES ('org', 'Acme Corp Inc', NULL), ('person', 'Dr. Mara Voss', ''), ('money', ' 12 USD ', NULL), ('org', 'x', 'kept')) t(kind, txt, canonical)")
-    return v.withColumn("best", names.canon_for(F.col("kind"), F.col("txt"), F.col("canonical")))
+    kind = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'org' WHEN 1 THEN 'person' WHEN 2 THEN 'money' WHEN 3 THEN 'org' ELSE 'person' END")
+    said = F.expr("CASE c_custkey % 5 WHEN 0 THEN c_mktsegment || ' Corp Inc' WHEN 1 THEN 'Dr. Mara ' || c_mktsegment WHEN 2 THEN ' ' || c_custkey || ' USD ' ELSE 'x' END")
+    stored = F.expr("CASE c_custkey % 5 WHEN 1 THEN '' WHEN 3 THEN 'kept ' || c_custkey END")
+    return table(spark, sf, "customer").select("c_custkey", names.canon_for(kind, said, stored).alias("best"))
 
 
-@query("fn_merchant_canon", r"""SELECT s, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(trim(s)), '[*#].*$', ''), '\b\d{4,}\b', '', 'g'), '\s+(SG|US|IE|UK|IN|MY|AU|CA|HK|JP|TH|PH)$', ''), '\s+', ' ', 'g')) AS merchant
-FROM (VALUES ('apple.com/bill 8001861087 IE'), ('Simba*125448734'), ('Grab  Ride SG'), (''), ('Shop 123')) t(s)""")
-def fn_merchant_canon(spark, sf):
-    v = _values(spark, "(VALUES ('apple.com/bill 8001861087 IE'), ('Simba*125448734'), ('Grab  Ride SG'), (''), ('Shop 123')) t(s)")
-    return v.select("s", names.merchant(F.col("s")).alias("merchant"))
+_either("fn_merchant_canon", "merchant", [("lower(p_brand) || '.com/bill 8001861087 IE'", "upper(split_part(p_brand, '#', 1))"), ("'Simba*' || p_partkey", "'SIMBA'"), ("'Grab  ' || p_type || ' SG'", "regexp_replace('GRAB ' || upper(p_type), ' +', ' ', 'g')"), ("''", "''"), ("'Shop 123'", "'SHOP 123'"), ("'Store #' || p_partkey", "'STORE'")], names.merchant, "part", "p_partkey")
 
 
 @query("fn_clean_merchant", r"""SELECT p_partkey, CASE WHEN c = '' THEN trim(p_name) ELSE c END AS cleaned FROM (
@@ -279,7 +303,5 @@ def prj_snippet(spark, sf):
     return d.select("doc_id", F.expr("substring(text, greatest(1, p - 30), 117)").alias("snippet"))
 
 
-@query("flt_regex_date", r"SELECT s, TRY_CAST(CASE WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}') THEN s END AS DATE) AS d FROM (VALUES ('2026-01-02'), ('2026-13-02'), ('x'), (NULL)) t(s)")
-def flt_regex_date(spark, sf):
-    v = _values(spark, "(VALUES ('2026-01-02'), ('2026-13-02'), ('x'), (NULL)) t(s)")
-    return v.select("s", F.when(F.col("s").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("s", "yyyy-MM-dd")).alias("d"))
+_either("flt_regex_date", "d", [("substr(CAST(o_orderdate AS STRING), 1, 10)", "CAST(o_orderdate AS DATE)"), ("substr(CAST(o_orderdate AS STRING), 1, 4) || '-13-02'", "NULL"), ("'x' || o_orderkey", "NULL"), ("substr(CAST(o_orderdate AS STRING), 1, 7) || '-31'", "CASE WHEN month(o_orderdate) IN (1, 3, 5, 7, 8, 10, 12) THEN make_date(CAST(year(o_orderdate) AS INTEGER), CAST(month(o_orderdate) AS INTEGER), 31) END")],
+        lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd")), "orders", "o_orderkey", "DATE")

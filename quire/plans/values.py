@@ -81,12 +81,12 @@ def ret_pool_union(spark, sf):
     return pools.groupBy("doc_id").agg(F.min("src").alias("src"))
 
 
-@query("ret_merge", "WITH h AS (SELECT o_custkey AS chunk, o_totalprice AS score FROM orders UNION ALL SELECT o_custkey, o_totalprice * 1.1 FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT chunk, max(score) AS score FROM h GROUP BY 1) SELECT chunk, round(score, 4) AS score FROM b ORDER BY score DESC, chunk LIMIT 12")
+@query("ret_merge", "WITH h AS (SELECT o_custkey AS chunk, o_totalprice AS score FROM orders UNION ALL SELECT l_suppkey, l_extendedprice * 1.1 FROM lineitem), b AS (SELECT chunk, max(score) AS score FROM h GROUP BY 1) SELECT chunk, round(score, 4) AS score FROM b ORDER BY score DESC, chunk LIMIT 12")
 def ret_merge(spark, sf):
-    o = table(spark, sf, "orders")
-    first = o.select(F.col("o_custkey").alias("chunk"), F.col("o_totalprice").alias("score"))
-    again = o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("chunk"), (F.col("o_totalprice") * 1.1).alias("score"))
-    return first.unionByName(again).groupBy("chunk").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk").limit(12).withColumn("score", F.round("score", 4))
+    """The best of two ranked lists, each chunk with its better score: orders and lines stand in for hits."""
+    first = table(spark, sf, "orders").select(F.col("o_custkey").alias("chunk"), F.col("o_totalprice").alias("score"))
+    again = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("chunk"), (F.col("l_extendedprice") * 1.1).alias("score"))
+    return R.merged([first, again], 12).withColumn("score", F.round("score", 4))
 
 
 @query("ret_evidence_block", "SELECT conv_id, string_agg('[E' || (turn + 1) || ' · ' || role || '] ' || substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 240), chr(10) ORDER BY turn) AS block FROM conversations GROUP BY 1")
