@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_PARTS = 512
 #: Bytes of an Arrow batch handed to Python by the registered queries.
 BATCH = 16 << 20
+#: Rows of a narrow table that a task may write by itself.
+TASK_ROWS = 1 << 17
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,9 +46,15 @@ def remove(spark: SparkSession, path: str) -> None:
     _files(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Where ``df`` and what it is made from are known to have at most about ``rows`` rows, each task
+    writes TASK_ROWS of them, so that small tables take few tasks however many shuffle partitions there are.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // TASK_ROWS)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -125,17 +133,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             break
-        before = seen
+        before, ends = seen, 2 * seen[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("deg")), "large")
-        large = skew_join(both, least, ["u"], "deg", 2 * seen[0]).filter("v > u")
-        e1 = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("deg")), "large", ends)
+        large = skew_join(both, least, ["u"], "deg", ends).filter("v > u")
+        e1 = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", ends)
         release(least, e)
-        least = materialize(e1.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "small")
+        least = materialize(e1.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "small", ends)
         small = skew_join(e1, least, ["u"], "deg", e1.count()).filter("v <> m")
         e = materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(),
             "small-star",
+            ends,
         )
         release(least, e1)
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
