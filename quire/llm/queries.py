@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontam, exact, langid, licenses, lines, lm, mixing, simhash, tokens, toxicity, warc
+from . import align, decontam, exact, langid, licenses, lines, lm, mixing, negatives, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_near_duplicates": simhash.op9_simhash_near_duplicates,
     "op10_exact_duplicates": exact.op10_exact_duplicates,
     "op11_lm_scores": lm.op11_lm_scores,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_token_alignment": align.op13_token_alignment,
 }
-SQL = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_exact_duplicates": exact.ORACLE}
+SQL = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_exact_duplicates": exact.ORACLE, "op12_hard_negatives": negatives.ORACLE}
