@@ -145,8 +145,16 @@ def _matches(found: list[Entry], anchors: dict[int, list[str]]) -> Column:
 
     indexed = _once(F.array_intersect("present", _strings(sorted(postings))), lambda own: F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(own, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()))
     starts = F.array_sort(F.flatten(F.transform(indexed, lambda x: F.transform(index[x["w"]], lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("o"))))))
-    # In the sorted starts, those that two words agree on stand next to each other.
-    agreed = _once(starts, lambda s: F.array_distinct(F.filter(s, lambda x, j: (F.get(need, x["t"]) < 2) | ((j > 0) & (x == F.get(s, j - 1))))))
+    # In the sorted starts equal ones stand next to each other, so one look back tells whether two words
+    # agree on a start, and one more whether it has been taken already.
+    def taken(s: Column):
+        def once(x: Column, j: Column) -> Column:
+            second = (j > 0) & (x == F.get(s, j - 1))
+            return F.when(F.get(need, x["t"]) < 2, ~second).otherwise(second & ~((j > 1) & (x == F.get(s, j - 2))))
+
+        return F.filter(s, lambda x, j: F.coalesce(once(x, j), F.lit(False)))
+
+    agreed = _once(starts, taken)
 
     def in_place(x: Column) -> Column:
         return F.forall(F.get(keys, x["t"]), lambda k: (x["o"] + k["at"] >= 0) & (F.slice(words, F.greatest(x["o"] + k["at"] + 1, F.lit(1)), F.size(k["k"])) == k["k"]))
