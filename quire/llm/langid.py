@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_map, small_batches, text_batches
+from ._common import arrow_map, materialize, release, small_batches, text_batches
 
-#: Runs of letters; numerals such as a half or a superscript are word characters to ``re`` but no letters.
+#: Runs of letters and of the marks that combine with them; numerals such as a half or a superscript are
+#: word characters to ``re`` but no letters.
 NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+MARKS = "".join(c for c in map(chr, range(0x110000)) if category(c)[0] == "M")
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+(?:[{MARKS}]+[^\W\d_{NUMERALS}]*)*")
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: Bounds of the training sample: languages (the commonest), documents of each, words and characters
@@ -234,17 +237,22 @@ def held_out():
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> Crf:
     """Learn from at most ``max_docs`` documents of each of the ``max_langs`` commonest languages.
 
-    Documents are taken by hash of doc_id and text, held-out ones excluded; of each the first MAX_WORDS
-    words, in its first MAX_CHARS characters, are learned from.  Languages tied in number go by name.
+    Documents are taken by hash of doc_id and text, held-out ones excluded; rows equal in language, doc_id
+    and text count once.  Of each the first MAX_WORDS words, in its first MAX_CHARS characters, are learned
+    from.  Languages tied in number go by name.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     usable = usable.select("lang", "text", F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), "text").alias("order"))
-    langs = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)  # that many rows
+    distinct = materialize(usable.select("lang", "order").distinct(), "sample")
+    langs = distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)  # that many rows
     unit = F.col("order").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    some = usable.join(F.broadcast(langs), "lang").filter(unit * F.col("n") < 1.5 * max_docs + 20)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    short = some.select("lang", "order", F.substring("text", 1, MAX_CHARS).alias("text"))
-    kept = short.withColumn("place", place).filter(F.col("place") <= max_docs).select("lang", "place", "text").collect()
+    # Of n hashes so many fall below the bound that max_docs of them are there, or all are.
+    some = distinct.join(F.broadcast(langs), "lang").filter(unit * F.col("n") < 1.5 * max_docs + 20)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(unit, "order"))
+    picked = some.select("lang", "order", place.alias("place")).filter(F.col("place") <= max_docs)  # max_langs * max_docs rows
+    short = usable.select("lang", "order", F.substring("text", 1, MAX_CHARS).alias("text"))
+    kept = short.join(F.broadcast(picked), ["lang", "order"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
+    release(distinct)
     return fit([(r.text, r.lang) for r in sorted(kept, key=lambda r: (r.lang, r.place))])
 
 
