@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, small_batches, text_batches
+from ._common import arrow_map, materialize, release, small_batches, text_batches
 
 BUCKETS = 1 << 18
-#: Bounds of the training sample: documents of either kind, buckets of each document.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_BUCKETS = 2000, 6000, 20_000
+#: Bounds of the training sample: documents of either kind, and buckets that weigh anything.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_KEPT = 2000, 6000, 4096
 #: Letters of a word: a-z and all bytes beyond ASCII; A-Z are lowered, all else separates.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -108,17 +108,27 @@ def risk_and_step(p, u, prior: float, w: np.ndarray, b: float, ridge: float) ->
     return positive, negative, np.append(step, gp.sum() + gu.sum())
 
 
-def fit(positive: Bags, unlabelled: Bags, prior: float, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3, least: int = 4, surprise: float = 4.0) -> ToxicModel:
-    """Train by Adam on the non-negative risk.
+def telling(seen: np.ndarray, held: np.ndarray, positives: int, unlabelled: int, most: int = MAX_KEPT, least: int = 4, surprise: float = 4.0) -> np.ndarray:
+    """The buckets that weigh anything, from the numbers of positives and of unlabelled texts that hold each.
 
-    Only buckets seen in ``least`` positives, and there ``surprise`` standard deviations more often than
-    in unlabelled text, weigh anything.  A ``prior`` above what the unlabelled text allows is lowered.  Without positives every text scores near 0.
+    They stand in ``least`` positives, and there ``surprise`` standard deviations more often than in
+    unlabelled text; of more than ``most`` the most surprising stay.
+    """
+    usual = (held + 0.5) * positives / max(1, unlabelled)
+    excess = (seen - usual) / np.sqrt(np.maximum(usual, 1e-9))
+    keep = np.flatnonzero((seen >= min(least, positives)) & (excess >= surprise))
+    return np.sort(keep[np.argsort(-excess[keep], kind="stable")[:most]])
+
+
+def fit(positive: Bags, unlabelled: Bags, prior: float, keep: np.ndarray | None = None, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> ToxicModel:
+    """Train by Adam on the non-negative risk, on the buckets of ``keep`` alone (else those that ``telling`` finds).
+
+    A ``prior`` above what the unlabelled text allows is lowered.  Without positives every text scores near 0.
     """
     if not len(positive) or not len(unlabelled):
         return ToxicModel(np.zeros(BUCKETS, np.float32), -30.0 if not len(positive) else 0.0, prior)
-    seen = np.bincount(positive.buckets, minlength=BUCKETS)
-    usual = (np.bincount(unlabelled.buckets, minlength=BUCKETS) + 0.5) * len(positive) / len(unlabelled)
-    keep = np.flatnonzero((seen >= min(least, len(positive))) & (seen - usual >= surprise * np.sqrt(usual)))
+    if keep is None:
+        keep = telling(*(np.bincount(x.buckets, minlength=BUCKETS) for x in (positive, unlabelled)), len(positive), len(unlabelled))
     place = np.full(BUCKETS, -1, np.int32)
     place[keep] = np.arange(len(keep))
 
@@ -152,13 +162,14 @@ def held_out(doc_id=None):
     return F.crc32(key.cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_buckets: int = MAX_BUCKETS) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, most: int = MAX_KEPT) -> ToxicModel:
     """Learn from at most ``max_positive`` documents marked toxic and ``max_unlabelled`` others, by hash of doc_id.
 
     Held-out documents are left out on both sides.  A document with several labels is toxic if one says
     so; of rows that share a doc_id the least text is read.  The class prior is the share of toxic among
-    all labelled documents that are not held out, kept within 0.001 and 0.999.  Of each text the sample
-    keeps at most ``max_buckets`` features, those of the least hashes.
+    all labelled documents that are not held out, kept within 0.001 and 0.999.  Texts are read whole.
+    What comes to the driver is how many texts hold each bucket, and of each text the buckets that weigh
+    anything, ``most`` at most.
     """
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -169,22 +180,39 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     some = lambda df, bound, of: df.filter(unit(order) < min(1.0, 2.0 * bound / max(1, of))).orderBy(order, "doc_id").limit(bound)
     ids = some(usable.filter("toxic = 1"), max_positive, counts.k).select("doc_id")
     others = some(docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id"), max_unlabelled, n).distinct()
-
-    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t) for t in text_batches(batch.column(0))]
-        found = [f if len(f) <= max_buckets else {b: f[b] for b in sorted(f)[:max_buckets]} for f in found]
-        kind = pa.list_(pa.int32())
-        return pa.record_batch([pa.array([[*f] for f in found], kind), pa.array([[*f.values()] for f in found], kind)], ["b", "n"])
-
-    def read(wanted: DataFrame) -> Bags:
-        texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
-        rows = arrow_map(texts, counted, "b array<int>, n array<int>").toArrow()
+    wanted = ids.withColumn("toxic", F.lit(True)).unionByName(others.withColumn("toxic", F.lit(False)))  # max_positive + max_unlabelled rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kind, each = pa.list_(pa.int32()), [features(t) for t in text_batches(batch.column(1))]
+        return pa.record_batch([batch.column(0), pa.array([[*f] for f in each], kind), pa.array([[*f.values()] for f in each], kind)], ["toxic", "b", "n"])
+
+    bags = materialize(arrow_map(texts.select("toxic", "text"), found, "toxic boolean, b array<int>, n array<int>"), "bags")
+    sizes = {r.toxic: r["count"] for r in bags.groupBy("toxic").count().collect()}
+    by_bucket = bags.select("toxic", F.explode("b").alias("b")).groupBy("b").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")).toArrow()  # BUCKETS rows at most
+    held = np.zeros((2, BUCKETS), np.int64)
+    for row, c in enumerate(("p", "u")):
+        held[row, by_bucket.column("b").to_numpy()] = by_bucket.column(c).to_numpy()
+    keep = telling(*held, sizes.get(True, 0), sizes.get(False, 0), most)
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(0)
+        b, n = lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        ok = np.isin(b, keep)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[ok], minlength=len(lists)))])
+        return pa.record_batch([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[ok])) for x in (b, n)], ["b", "n"])
+
+    def read(toxic: bool) -> Bags:
+        rows = arrow_map(bags.filter(F.col("toxic") == toxic).select("b", "n"), kept, "b array<int>, n array<int>").toArrow()
         b, n = rows.column("b").combine_chunks(), rows.column("n").combine_chunks()
         if not len(b):
             return Bags.of([])
         return Bags(b.offsets.to_numpy().astype(np.int64) - b.offsets[0].as_py(), b.flatten().to_numpy(), n.flatten().to_numpy())
 
-    return fit(read(ids), read(others), prior)
+    model = fit(read(True), read(False), prior, keep)
+    release(bags)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
