@@ -592,3 +592,50 @@ def test_warc_bodies_are_decoded():
     assert conversion(b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed), packed), "Transfer-Encoding: chunked", "Content-Encoding: gzip") == want
     for body, header in ((packed[:9], "Content-Encoding: gzip"), (b"zz\r\n", "Transfer-Encoding: chunked"), (raw, "Content-Encoding: br")):
         assert conversion(body, header) == ("", True)
+
+
+def test_license_scan_of_a_text_with_very_many_phrases(spark):
+    """Work follows the number of matches, not its square."""
+    n = 200_000
+    text = "mit license " * n + "general public license"
+    row = licenses.scan(docs_of(spark, [text, "mit license mit"])).filter("doc_id = 0").selectExpr("n_words", "size(base) AS n", "base[0] AS first", "base[size(base) - 1] AS last", "size(matches) AS m").first()
+    assert (row.n_words, row.n, row.first.start, row.last.start, row.last.label) == (2 * n + 3, n + 1, 0, 2 * n, "gpl")
+
+
+def test_language_id_learns_from_repeated_rows(spark):
+    """Equal rows count once in the sample, so no language is lost or floods it."""
+    rng = random.Random(31)
+    names = [f"l{i:02}" for i in range(12)]
+    stems = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(5)] for x in names}
+    say = lambda x, n: " ".join("".join(rng.choices(stems[x], k=2)) for _ in range(n))
+    whole = [(i, say(x, 40), x) for i, x in enumerate(names)]
+    df = spark.createDataFrame(whole, "doc_id long, text string, lang string").crossJoin(spark.range(1500).select(F.lit(0).alias("n"))).drop("n")
+    learned = {r.lang for r in df.filter(~langid.held_out()).select("lang").distinct().collect()}
+    model = langid.train(df)
+    assert set(model.labels) == learned and 6 <= len(learned) < 12
+    more = spark.createDataFrame([(100 + i, say(x, 40), x) for i in range(50) for x in names], "doc_id long, text string, lang string")
+    assert set(langid.train(df.unionByName(more)).labels) == set(names)
+
+
+def test_language_id_keeps_marks_with_their_letters():
+    assert langid.LETTERS.findall("हिन्दी में été ́x 12") == ["हिन्दी", "में", "été", "x"]
+
+
+def test_toxicity_brings_only_telling_buckets(spark):
+    """Very long texts are read whole, and ``most`` bounds what is learned from them."""
+    rng = random.Random(13)
+    vocabulary = [f"w{''.join(rng.choices('abcdefghijklmnop', k=7))}" for _ in range(30_000)]
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 5 == 0
+        ws = rng.sample(vocabulary, 20_000 if i % 60 == 7 or i % 60 == 10 else 30)
+        rows.append(" ".join(ws + (["zzgrumph", "qqvile"] if bad else [])))
+        labels.append((i, int(bad)))
+    df, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for most in (4096, 2):
+        model = toxicity.train(df, lab, most=most)
+        assert 0 < np.count_nonzero(model.weights) <= most
+        got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, model).collect()}
+        assert np.mean([got[i] == y for i, y in labels]) > 0.97
+    seen, held = np.array([9, 9, 3, 9, 9]), np.array([0, 9, 0, 2, 1])
+    assert [*toxicity.telling(seen, held, 10, 10)] == [0, 3, 4] and [*toxicity.telling(seen, held, 10, 10, most=2)] == [0, 4]
