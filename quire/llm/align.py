@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, materialize, release, small_batches
-from .shards import SHARD, blob, one_list, pack, pack_sorted, sharded, unpack, unpack_sorted
+from .shards import blob, one_list, pack, pack_sorted, sharded, unpack, unpack_sorted
 
 TOKENIZERS = "/opt/tokenizers"
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pieces kept aligned by a worker; when there are more, it starts anew.
-KEPT = 300_000
+KEPT = 200_000
+#: Bytes of text in a shard.
+SHARD = 8 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, materialize, release, small_batches, text_batches
-from .shards import SHARD, blob, one_list, pack, pack_sorted, sharded, unpack, unpack_sorted
+from .shards import ASKED, asked_rows, blob, dealt, one_list, pack, sharded, told, unpack
 
 ORDER = 2
-#: N-grams counted in one task at a time, about, and the least number of such parts.
-PART, PARTS = 4 << 20, 64
+#: Bytes of text in a shard, n-grams counted in one task at a time, about, and the least number of such parts.
+SHARD, PART, PARTS = 8 << 20, 2 << 20, 64
 #: What is added to the count of every token.
 ADDED = 0.5
 END = b""
@@ -55,15 +55,15 @@ class Windows:
     """The n-grams of a shard: of each order the distinct hashes, and which of them starts at each place.
 
     Documents are laid end to end in ``sequence`` behind one more end, so an end stands before each.  A
-    window of k tokens that starts at a place in ``at[k]`` holds no end but as its first or last token;
-    ``gram[k]`` has the number of its hash among ``hashes[k]``, or -1 at other places.
+    window of k tokens holds no end but as its first or last token; ``gram[k]`` has the number of its hash
+    among ``hashes[k]`` where one starts, and -1 at other places.
     """
 
     def __init__(self, tokens: np.ndarray, hashes: np.ndarray, order: int):
-        self.sequence = np.concatenate([np.zeros(1, np.int64), tokens])
+        self.sequence = np.concatenate([np.zeros(1, np.int32), tokens.astype(np.int32)])
         end = self.sequence == 0
         h = single = hashes[self.sequence]
-        self.at, self.hashes, self.gram = {}, {}, {}
+        self.hashes, self.gram = {}, {}
         for k in range(1, order + 1):
             if k > 1:
                 h = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + single[k - 1 :] + np.uint64(k))
@@ -71,10 +71,9 @@ class Windows:
             ok[0] = k > 1
             for j in range(1, k - 1):
                 ok &= ~end[j : j + len(h)]
-            self.at[k] = np.flatnonzero(ok)
-            self.hashes[k], gram = np.unique(h[self.at[k]], return_inverse=True)
-            self.gram[k] = np.full(len(h), -1, np.int64)
-            self.gram[k][self.at[k]] = gram
+            self.hashes[k], gram = np.unique(h[ok], return_inverse=True)
+            self.gram[k] = np.full(len(h), -1, np.int32)
+            self.gram[k][ok] = gram
         self.gram[1][0] = self.gram[1][np.flatnonzero(end)[1]]  # no token of a document, but a context
 
 
@@ -100,7 +99,7 @@ def _shard(rows: pa.Table) -> dict[str, pa.Array]:
 def _windows(x: dict, order: int) -> tuple[Windows, np.ndarray]:
     lengths = unpack(x["lengths"].as_py()).astype(np.int64)
     hashes = np.frombuffer(x["vocab"].as_py(), np.uint64)
-    return Windows(unpack(x["seq"].as_py()).astype(np.int64), hashes, order), lengths
+    return Windows(unpack(x["seq"].as_py()), hashes, order), lengths
 
 
 def _rows(batch: pa.RecordBatch):
@@ -109,7 +108,7 @@ def _rows(batch: pa.RecordBatch):
 
 
 def _asked(order: int, bits: int):
-    """Rows (part, shard, ngram, hashes, counts): of each part of the hash range the shard's n-grams and how often its training texts hold them."""
+    """Of each part of the hash range a shard's n-grams of each order and how often its training texts hold them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -117,51 +116,14 @@ def _asked(order: int, bits: int):
             held, lengths = _windows(x, order)
             learn = np.concatenate([[False], np.repeat(x["learn"].values.to_numpy(zero_copy_only=False).astype(bool), lengths)])
             for k in range(1, order + 1):
-                last = held.at[k] + k - 1  # a window belongs to the document of its last token
-                n = np.bincount(held.gram[k][held.at[k]][learn[last]], minlength=len(held.hashes[k]))
-                found = held.hashes[k]
-                parts = found >> np.uint64(64 - bits)
-                cuts = np.searchsorted(parts, np.arange((1 << bits) + 1, dtype=np.uint64))
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[p], cuts[p + 1]
-                    out.append((p, x["shard"].as_py(), k, pack_sorted(found[a:b], p << (64 - bits)), pack(n[a:b])))
-        columns = [*zip(*out)] or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "shard", "ngram", "hashes", "counts"])
+                # A window belongs to the document of its last token.
+                n = np.bincount(held.gram[k][(held.gram[k] >= 0) & learn[k - 1 :]], minlength=len(held.hashes[k]))
+                out += [(p, x["shard"].as_py(), k, hashes, counts) for p, hashes, counts in dealt(held.hashes[k], n, bits)]
+        return asked_rows(out)
 
     return run
 
 
-def _told(bits: int):
-    """Of one part: (shard, ngram, part, counts) in the order each shard asked, and in a first row what all its n-grams say."""
-
-    def run(table: pa.Table) -> pa.Table:
-        part, out = table["part"][0].as_py(), []
-        orders = table["ngram"].to_numpy()
-        for k in np.unique(orders).tolist():
-            rows = table.filter(pa.array(orders == k))
-            held = [unpack_sorted(h, part << (64 - bits)) for h in rows["hashes"].to_pylist()]
-            sizes = [len(h) for h in held]
-            flat = np.concatenate(held)
-            order = np.argsort(flat, kind="stable")
-            new = np.concatenate([[True], np.diff(flat[order]) > 0])
-            total = np.add.reduceat(np.concatenate([unpack(n) for n in rows["counts"].to_pylist()])[order].astype(np.int64), np.flatnonzero(new))
-            back = np.empty(len(flat), np.int64)
-            back[order] = total[np.cumsum(new) - 1]
-            known = total[total > 0]
-            size = np.log2(known).astype(int)
-            stats = (len(known), int((known == 1).sum()), np.bincount(size, minlength=64).tolist(), np.bincount(size, known, 64).astype(np.int64).tolist())
-            for i, (shard, counts) in enumerate(zip(rows["shard"].to_pylist(), np.split(back, np.cumsum(sizes)[:-1]))):
-                out.append((shard, k, part, pack(counts), *(stats if i == 0 else (None,) * 4)))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["shard", "ngram", "part", "counts", "known", "once", "numbers", "sizes"])
-
-    return run
-
-
-TOLD = "shard long, ngram int, part long, counts binary, known long, once long, numbers array<long>, sizes array<long>"
-
-
 def backoff_mass(numbers, sizes, once: int) -> float:
     """The m of one order: contexts of mean count sizes[i] / numbers[i], numbers[i] of each, give ``once`` of their uses to failure arcs."""
     n, c = np.array(numbers, float), np.array(sizes, float)
@@ -177,59 +139,45 @@ def backoff_mass(numbers, sizes, once: int) -> float:
 
 
 class Automaton:
-    """States, arcs and failure arcs; state 0 is the empty context."""
+    """States, arcs and failure arcs over the n-grams of a shard.
+
+    A state is an n-gram shorter than the order, the empty context among them.  ``arcs[k]`` has the weight
+    of the arc to each n-gram of order k from the one without its last token, NaN where there is none;
+    ``fails[k]`` that of the failure arc from each n-gram of order k to the one without its first token, 0
+    where the n-gram is unknown, which makes it as good as the shorter one.  Both are looked up by the
+    number an n-gram has in the shard, so the text's own window finds the arc.
+    """
 
-    def __init__(self, held: Windows, counts: dict[int, np.ndarray], single: np.ndarray, mass: dict[int, float], words: int):
+    def __init__(self, held: Windows, counts: dict[int, np.ndarray], single: np.ndarray, mass: dict[int, float]):
         """``single`` holds the probability of each distinct token, ``counts`` the counts of each order's n-grams."""
-        order = max(held.at)
-        self.words = words
-        first = {}  # a place where each n-gram stands
-        for k in range(1, order + 1):
-            first[k] = np.empty(len(held.hashes[k]), np.int64)
-            first[k][held.gram[k][held.at[k]]] = held.at[k]
-        state, n_states = {0: np.zeros(1, np.int64)}, 1
-        for k in range(1, order):
-            known = counts[k] > 0
-            state[k] = np.where(known, n_states + np.cumsum(known) - 1, 0)
-            n_states += int(known.sum())
-        self.fail, self.back = np.zeros(n_states), np.zeros(n_states, np.int64)
-        keys, weights, nexts = [], [], []
+        self.held, self.order = held, max(held.hashes)
+        self.arcs, self.fails = {1: np.log10(single)}, {}  # the empty context has an arc for every token
         below = single
-        for k in range(1, order + 1):
-            place, known = first[k], counts[k] > 0
-            if k == 1:
-                p, source = single, np.zeros(len(place), np.int64)
-            else:
-                prefix, suffix, m = held.gram[k - 1][place], held.gram[k - 1][place + 1], mass[k]
-                p = (counts[k] + m * below[suffix]) / (counts[k - 1][prefix] + m)
-                source = state[k - 1][prefix]
-            if k < order:
-                target, own = state[k], state[k][known]
-                self.back[own] = state[k - 1][suffix[known]] if k > 1 else 0
-                self.fail[own] = np.log10(mass[k + 1] / (counts[k][known] + mass[k + 1]))
-            else:
-                target = state[k - 1][suffix] if k > 1 else np.zeros(len(place), np.int64)
-            arcs = known if k > 1 else np.ones(len(place), bool)  # the empty context has an arc for every token
-            keys.append((source * words + held.sequence[place + k - 1])[arcs])
-            weights.append(np.log10(p)[arcs])
-            nexts.append(target[arcs])
-            below = p
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), zip(np.concatenate(weights).tolist(), np.concatenate(nexts).tolist())))
-        self.start = int(state[1][held.gram[1][0]]) if order > 1 else 0
-        self.fail, self.back = self.fail.tolist(), self.back.tolist()
-
-    def walk(self, tokens: list[int]) -> float:
-        """log10 probability of a document's tokens, its end last."""
-        arcs, fail, back, words = self.arcs, self.fail, self.back, self.words
-        state, total = self.start, 0.0
-        for w in tokens:
-            arc = arcs.get(state * words + w)
-            while arc is None:
-                total += fail[state]
-                state = back[state]
-                arc = arcs.get(state * words + w)
-            total += arc[0]
-            state = arc[1]
+        for k in range(2, self.order + 1):
+            place = np.empty(len(held.hashes[k]), np.int64)  # where each n-gram stands
+            starts = np.flatnonzero(held.gram[k] >= 0)
+            place[held.gram[k][starts]] = starts
+            prefix, suffix, m = held.gram[k - 1][place], held.gram[k - 1][place + 1], mass[k]
+            below = (counts[k] + m * below[suffix]) / (counts[k - 1][prefix] + m)
+            self.arcs[k] = np.where(counts[k] > 0, np.log10(below), np.nan)
+            self.fails[k - 1] = np.log10(m / (counts[k - 1] + m))
+
+    def walk(self, start: int, n: int) -> float:
+        """log10 probability of the document whose ``n`` tokens, its end last, begin at ``start``."""
+        places = np.arange(start, start + n)
+        arcs = [self.arcs[k][self.held.gram[k][np.maximum(places - k + 1, 0)]].tolist() for k in range(1, self.order + 1)]
+        fails = [None] + [self.fails[k][self.held.gram[k][np.maximum(places - k, 0)]].tolist() for k in range(1, self.order)]
+        deepest = self.order - 1
+        state, total = min(1, deepest), 0.0  # an end has been read
+        for i in range(n):
+            weight = arcs[state][i]
+            while weight != weight:
+                total += fails[state][i]
+                state -= 1
+                weight = arcs[state][i]
+            total += weight
+            if state < deepest:
+                state += 1
         return total
 
 
@@ -238,16 +186,15 @@ def _scored(order: int, bits: int, total: int, distinct: int, mass: dict[int, fl
         out = []
         for x in _rows(batch):
             held, lengths = _windows(x, order)
-            told = sorted((t["ngram"], t["part"], t["counts"]) for t in x["told"].as_py())
-            counts = {k: np.concatenate([unpack(c).astype(np.int64) for n, _, c in told if n == k]) for k in range(1, order + 1)}
+            found = sorted((t["kind"], t["part"], t["counts"]) for t in x["told"].as_py())
+            counts = {k: np.concatenate([unpack(c).astype(np.int64) for n, _, c in found if n == k]) for k in range(1, order + 1)}
             single = (counts[1] + ADDED) / (total + ADDED * (distinct + 1))
             gram = held.gram[1][1:]
             starts = np.cumsum(lengths) - lengths
             base = np.add.reduceat(np.log10(single)[gram], starts)
             known = np.add.reduceat((counts[1] > 0)[gram].astype(np.int64), starts)
-            model = Automaton(held, counts, single, mass, int(held.sequence.max()) + 1)
-            tokens = held.sequence[1:].tolist()
-            score = [model.walk(tokens[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist())]
+            model = Automaton(held, counts, single, mass)
+            score = [model.walk(a + 1, n) for a, n in zip(starts.tolist(), lengths.tolist())]
             columns = [x["ids"].values, x["learn"].values, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(score, pa.float64())]
             out.append(pa.record_batch(columns, ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
@@ -272,18 +219,18 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, size: int =
     held = sharded(rows, _shard, f"ids array<{kind}>, learn array<boolean>, lengths binary, seq binary, vocab binary, tokens long, trained long", "tokens", size)
     sums = held.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "trained"))).first()
     bits = max(PARTS - 1, sums["tokens"] * order // part).bit_length()
-    asked = arrow_map(held.select("shard", "learn", "lengths", "seq", "vocab"), _asked(order, bits), "part long, shard long, ngram int, hashes binary, counts binary")
-    told = materialize(asked.groupBy("part").applyInArrow(_told(bits), TOLD), "counts")
+    asked = arrow_map(held.select("shard", "learn", "lengths", "seq", "vocab"), _asked(order, bits), ASKED)
+    totals = materialize(told(asked, bits), "counts")
     stats = {k: [0, 0, [0] * 64, [0] * 64] for k in range(1, order + 1)}
-    summed = told.filter("known IS NOT NULL").groupBy("ngram").agg(F.sum("known"), F.sum("once"), *(F.sum(F.col(c)[i]) for c in ("numbers", "sizes") for i in range(64)))
+    summed = totals.filter("known IS NOT NULL").groupBy("kind").agg(F.sum("known"), F.sum("once"), *(F.sum(F.col(c)[i]) for c in ("numbers", "sizes") for i in range(64)))
     for r in summed.collect():  # a row for each order
         stats[r[0]] = [r[1], r[2], [*r[3:67]], [*r[67:131]]]
     mass = {k: backoff_mass(*stats[k - 1][2:], stats[k][1]) for k in range(2, order + 1)}
-    counts = told.groupBy("shard").agg(F.collect_list(F.struct("ngram", "part", "counts")).alias("told"))
+    counts = totals.groupBy("shard").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("told"))
     both = held.drop("tokens", "trained").join(counts, "shard")
     schema = f"doc_id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = materialize(arrow_map(both, _scored(order, bits, sums["trained"], stats[1][0], mass), schema), "scores")
-    release(held, told)
+    release(held, totals)
     return out
 
 
