@@ -111,7 +111,7 @@ def test_stages_take_empty_tables_clashing_columns_nulls_and_repeats(spark, fold
             assert once.columns == docs.columns, name
         if name in ("toxicity", "line_dedup", "decontamination"):
             assert twice.count() == 2 * once.count(), name
-        if name == "simhash":
+        if name == "near_duplicates":
             assert Counter(map(str, twice.collect())) == Counter(map(str, once.collect()))
             assert nameless.count() == once.count()
         if name in ("line_dedup",):

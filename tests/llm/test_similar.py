@@ -54,8 +54,8 @@ def test_similar_matches_brute_force(spark, texts):
             parent[y] = x
     want = {i: find(i) for i in range(len(texts))}
     assert 30 < len(set(want.values())) < len(texts) - 40
-    for crowd in (64, 2):
-        got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs_of(spark, texts, clash=True), crowd=crowd).collect()}
+    for crowd, size, part in ((64, 1 << 23, 1 << 21), (2, 2000, 30)):
+        got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs_of(spark, texts, clash=True), crowd, size, part).collect()}
         assert got == want
 
 
