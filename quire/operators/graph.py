@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import same_identity, tokens
+from ..session import cut
 
 
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -73,13 +74,13 @@ def cluster(mentions: DataFrame) -> DataFrame:
 
 def label_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, root) by smallest label, each round joining labels along links and jumping to the label's label, until none changes."""
-    links = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
+    links = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))))
     labels = nodes.select("id", F.col("id").alias("root"))
     while True:
         near = links.join(labels, links["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["id"] == near["x"], "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")).checkpoint()
+        step = cut(step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")))
         labels = step.select("id", "root")
         if step.filter("was <> root").isEmpty():
             return labels

@@ -1,4 +1,4 @@
 """Registered queries of the library."""
 
-from . import derived, dialogue, ledger, limits, reach, records, saved, search, text, values, workspace  # noqa: F401
+from . import boxes, derived, dialogue, ledger, limits, reach, records, saved, search, text, values, workspace  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

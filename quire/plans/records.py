@@ -60,28 +60,16 @@ def _mentions(spark, sf):
 
 @query("res_cluster", f"WITH m AS ({MENTIONS}) SELECT id, min(id) OVER (PARTITION BY id - k) AS root FROM m")
 def res_cluster(spark, sf):
-    _checkpoints(spark)
     return G.cluster(_mentions(spark, sf).select("id", "kind", "canonical"))
 
 
 @query("agg_identity_rebuild", f"""WITH m AS ({MENTIONS}) SELECT min(id) AS root, string_agg(canonical, '|' ORDER BY canonical) AS aliases, max(length(canonical)) AS name_length,
  count(DISTINCT doc) AS docs, count(*) AS mentions FROM m GROUP BY id - k""")
 def agg_identity_rebuild(spark, sf):
-    _checkpoints(spark)
     found = G.identities(_mentions(spark, sf))
     return found.select("root", F.array_join("aliases", "|").alias("aliases"), F.length("name").cast("long").alias("name_length"), "docs", "mentions")
 
 
-def _checkpoints(spark):
-    """A checkpoint folder where the context has none: spark.checkpoint.dir, or one of its own on a single machine."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(base or "/tmp/checkpoints")
-
-
 #: Extracted records of all orders: what the database side sees of them.
 RECORDS = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'ready' END AS status, o_custkey % 5 AS k,
  CASE o_custkey % 5 WHEN 0 THEN 'invoice' WHEN 1 THEN 'passport' WHEN 2 THEN 'policy' WHEN 3 THEN 'unclassified' END AS doc_type,

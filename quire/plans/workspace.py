@@ -145,9 +145,6 @@ def res_key(spark, sf):
 @query("res_union_find", "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS root FROM customer")
 def res_union_find(spark, sf):
     """Customers linked to the next of their nation form one component each."""
-    from .records import _checkpoints
-
-    _checkpoints(spark)
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
     pairs = c.select(F.col("id").alias("x"), F.lead("id").over(Window.partitionBy("c_nationkey").orderBy("id")).alias("y")).filter("y IS NOT NULL")
     return G.label_components(c.select("id"), pairs)
@@ -177,9 +174,6 @@ def ent_docs_mentioning(spark, sf):
 
 @query("gr_identities", f"WITH m AS ({MENTIONS}) SELECT min(id) AS root, count(*) AS mentions, count(DISTINCT doc) AS docs FROM m GROUP BY id - k ORDER BY mentions DESC, root LIMIT 100")
 def gr_identities(spark, sf):
-    from .records import _checkpoints
-
-    _checkpoints(spark)
     return G.identities(_mentions(spark, sf)).select("root", "mentions", "docs").orderBy(F.desc("mentions"), "root").limit(100)
 
 

@@ -37,3 +37,17 @@ class Scope:
             if values is not None:
                 df = df.filter(F.col(column).isin(*sorted(values))) if values else df.limit(0)
         return df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder all executors share: its lineage ends there.
+
+    The folder is spark.checkpoint.dir; where the session sets none, a single machine takes one of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or "/tmp/checkpoints")
+    return df.checkpoint()
