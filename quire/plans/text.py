@@ -64,34 +64,12 @@ _both = "'Alder ' || c_custkey || 'x{}Mara Voss'"
 _either("fn_split_people", "people", [(_both.format(sep), "'Alder ' || c_custkey || 'x|Mara Voss'") for sep in (" / ", " & ", " and ", " and/or ")]
         + [("'Jack and Jill Party ' || c_custkey",) * 2, ("'Anderson'",) * 2, ("'Alder Quinn and Bo'",) * 2, ("''", "''")], lambda c: F.array_join(names.split_people(c), "|"))
 
-_AMOUNTS = [("'S$' || {n}", "o_totalprice", "'SGD'"), ("'$' || {n}", "o_totalprice", "'USD'"), ("'-$' || {n}", "o_totalprice", "NULL"), ("'$-' || {n}", "-o_totalprice", "'USD'"), ("'not money'", "NULL", "NULL"), ("{n} || ' EUR'", "o_totalprice", "'EUR'"), ("'US$ ' || {n}", "o_totalprice", "'USD'")]
-_case = lambda i: "CASE o_orderkey % 7 " + " ".join(f"WHEN {n} THEN {a[i]}" for n, a in enumerate(_AMOUNTS)) + " END"
-
-
-@query("fn_canon_money", f"SELECT o_orderkey, CAST({_case(1)} AS DOUBLE) AS amount, {_case(2)} AS currency FROM orders")
-def fn_canon_money(spark, sf):
-    v = table(spark, sf, "orders").selectExpr("o_orderkey", _case(0).replace("{n}", "format_number(o_totalprice, 2)") + " AS s")
-    return v.select("o_orderkey", names.money(F.col("s"))["amount"].alias("amount"), names.money(F.col("s"))["currency"].alias("currency"))
-
-
 @query("fn_money_canonical", """SELECT o_orderkey, printf('%.2f USD', o_totalprice) AS canonical FROM orders""")
 def fn_money_canonical(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("s"))
     return o.select("o_orderkey", names.money_canonical(F.col("s")).alias("canonical"))
 
 
-_DATES = ("MM/dd/yyyy", "dd-MM-yyyy", "d MMM yyyy", "'['yyyy-MM-dd']'", "MMM d, yyyy", "dd/MM/yyyy", "'nope'", "yyyy'-99-99'")
-
-
-@query("fn_canon_date", """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey,
- CASE k WHEN 5 THEN CASE WHEN day(d) > 12 THEN CAST(d AS VARCHAR) ELSE strftime(d, '%Y-%d-%m') END WHEN 6 THEN '' WHEN 7 THEN year(d) || '-99-99' ELSE CAST(d AS VARCHAR) END AS iso FROM o""")
-def fn_canon_date(spark, sf):
-    """Dates of all orders in eight forms; slashed ones are read months first where they can be."""
-    k = F.col("o_orderkey") % len(_DATES)
-    written = F.coalesce(*(F.when(k == i, F.date_format("o_orderdate", form)) for i, form in enumerate(_DATES)))
-    return table(spark, sf, "orders").select("o_orderkey", written.alias("s")).select("o_orderkey", names.canon_date(F.col("s")).alias("iso"))
-
-
 @query("fn_lev_le", "SELECT a.s_name AS a, b.s_name AS b, levenshtein(a.s_name, b.s_name) <= 1 AS near FROM supplier a JOIN supplier b ON a.s_suppkey + 1 = b.s_suppkey OR a.s_suppkey + 10 = b.s_suppkey")
 def fn_lev_le(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
@@ -129,9 +107,6 @@ def res_canon_for(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", names.canon_for(kind, said, stored).alias("best"))
 
 
-_either("fn_merchant_canon", "merchant", [("lower(p_brand) || '.com/bill 8001861087 IE'", "upper(split_part(p_brand, '#', 1))"), ("'Simba*' || p_partkey", "'SIMBA'"), ("'Grab  ' || p_type || ' SG'", "regexp_replace('GRAB ' || upper(p_type), ' +', ' ', 'g')"), ("''", "''"), ("'Shop 123'", "'SHOP 123'"), ("'Store #' || p_partkey", "'STORE'")], names.merchant, "part", "p_partkey")
-
-
 @query("fn_clean_merchant", r"""SELECT p_partkey, CASE WHEN c = '' THEN trim(p_name) ELSE c END AS cleaned FROM (
  SELECT p_partkey, p_name, trim(array_to_string(list_filter(string_split_regex(trim(replace(p_name, '*', ' ')), '\s+'), lambda w: length(regexp_replace(w, '[^0-9]', '', 'g')) < 3), ' '), ' _-.') AS c FROM part)""")
 def fn_clean_merchant(spark, sf):
@@ -301,7 +276,3 @@ def flt_json_path(spark, sf):
 def prj_snippet(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", F.expr("locate('license', lower(text))").alias("p")).filter("p > 0")
     return d.select("doc_id", F.expr("substring(text, greatest(1, p - 30), 117)").alias("snippet"))
-
-
-_either("flt_regex_date", "d", [("substr(CAST(o_orderdate AS STRING), 1, 10)", "CAST(o_orderdate AS DATE)"), ("substr(CAST(o_orderdate AS STRING), 1, 4) || '-13-02'", "NULL"), ("'x' || o_orderkey", "NULL"), ("substr(CAST(o_orderdate AS STRING), 1, 7) || '-31'", "CASE WHEN month(o_orderdate) IN (1, 3, 5, 7, 8, 10, 12) THEN make_date(CAST(year(o_orderdate) AS INTEGER), CAST(month(o_orderdate) AS INTEGER), 31) END")],
-        lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd")), "orders", "o_orderkey", "DATE")

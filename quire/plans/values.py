@@ -32,22 +32,7 @@ _first = lambda form, sql: (_as(form), sql)
 #: A day past the twelfth can only be a day, so month-first dates are read as such.
 _late = f"CASE WHEN day(o_orderdate) > 12 THEN {_DAY} ELSE make_date(CAST(year(o_orderdate) AS INTEGER), CAST(day(o_orderdate) AS INTEGER), CAST(month(o_orderdate) AS INTEGER)) END"
 
-_shaped("fn_parse_money", "amount", [(f"{_N} || 'SGD'", "o_totalprice"), (f"'(' || {_N} || ')'", "-o_totalprice"), (f"'S$' || {_C}", _K), ("'-'", "NULL"), ("''", "NULL"), ("CAST(NULL AS STRING)", "NULL")], V.theme_money)
-_shaped("fn_money_float", "amount", [(f"'USD ' || {_N}", "o_totalprice"), (f"'$' || {_C}", _K), ("'x'", "NULL"), (f"{_C} || '-2'", "NULL"), (f"'-' || {_N}", "-o_totalprice")], V.plain_money)
-_shaped("fn_parse_amount_max", "amount", [(f"{_N} || ' (VAT 8%)'", "greatest(o_totalprice, CASE WHEN o_totalprice < 0 THEN 8 ELSE 0 END)"), (f"'$' || {_C} || ' x 2'", "greatest(o_custkey, 2)"), (f"'SGD ' || {_N}", "o_totalprice"), ("'none'", "NULL")], V.largest_amount)
-_shaped("fn_doc_amount", "amount", [(f"'{{\"total\": \"' || {_N} || '\", \"amount\": \"99\"}}'", "o_totalprice"), (f"'{{\"amount\": \"' || {_C} || '\"}}'", _K), ("'{}'", "NULL")], V.document_amount)
-_shaped("fn_doc_currency", "currency", [(f"'total ' || {_C} || ' sgd'", "'SGD'"), (f"'£' || {_C}", "'GBP'"), (_C, "NULL"), (f"'$' || {_C} || ' EUR'", "'EUR'")], V.currency, "string")
-_shaped("fn_parse_date_theme", "day", [(f"{_as('dd/MM/yyyy')} || ' x'", _DAY), _first("yyyy/M/d", _DAY), _first("d-M-yyyy", _DAY), _first("MM/dd/yyyy", _late), ("'soon'", "NULL")], V.theme_date, "date")
-_shaped("fn_parse_date_facts", "day", [_first("d MMM yyyy", _DAY), _first("dd/MM/yyyy", _DAY), _first("MMM d, yyyy", _DAY), _first("d MMMM yyyy", _DAY), ("'x'", "NULL")], V.fact_date, "date")
-_shaped("fn_parse_date_watch", "day", [_first("yyyy-M-d", _DAY), _first("dd/MM/yyyy", _DAY), (f"'1826' || {_as('-MM-dd')}", "NULL"), ("'31-02-2026'", "NULL"), _first("d-M-yyyy", _DAY)], V.watch_date, "date")
-_shaped("fn_parse_date_alert", "day", [_first("dd/MM/yyyy", _DAY), _first("MM/dd/yyyy", _late), _first("d MMM yyyy", _DAY), ("'?'", "NULL"), _first("MMMM d, yyyy", _DAY)], lambda c: V.dates(c, *X.DEADLINE_FORMATS), "date")
-_shaped("fn_canon_label", "label", [("'The Int. Rate'", "'interest_rate'"), ("'Amt'", "'amount'"), ("' Ref No '", "'reference_number'"), (f"'Vendor-Name ' || {_C}", "'vendor_name_' || o_custkey"), ("'!!'", "NULL"), (f"{_C} || ' an ' || {_C}", "o_custkey || '_an_' || o_custkey")], V.label, "string")
 _shaped("fn_value_kind", "kind", [("'yes'", "'boolean'"), (f"'$' || {_C}", "'money'"), (_as("d MMM yyyy"), "'date'"), (f"{_N} || '%'", "'number'"), (f"'abc' || {_C}", "'string'"), ("''", "'string'"), (f"{_C} || ' EUR'", "'money'")], V.kind, "string")
-_shaped("fn_person_key", "key", [("'MR. B H Goda' || o_custkey", "'b goda' || o_custkey || ' h'"), ("'Mr. Dr. Ann Lee'", "'ann lee'"), ("'Lee' || o_custkey || ', Ann'", "'ann lee' || o_custkey")], V.person_key, "string")
-_shaped("val_dates", "ok", [(f"'{{\"effective_date\": \"' || {_as('yyyy-MM-dd')} || '\", \"expiry_date\": \"1995-07-01\"}}'", f"{_DAY} <= DATE '1995-07-01'"), (f"'{{\"effective_date\": \"1990-01-01\", \"expiry_date\": \"' || {_as('dd/MM/yyyy')} || '\"}}'", f"{_DAY} >= DATE '1990-01-01'"), ("'{}'", "true")],
-        lambda c: ~F.coalesce(V.fact_date(F.get_json_object(c, "$.effective_date")) > V.fact_date(F.get_json_object(c, "$.expiry_date")), F.lit(False)), "boolean")
-_shaped("val_expired", "expired", [(f"'{{\"expiry_date\": \"' || {_as('yyyy-MM-dd')} || '\"}}'", f"{_DAY} < DATE '1995-06-15'"), (f"'{{\"valid_until\": \"' || {_as('dd/MM/yyyy')} || '\"}}'", f"{_DAY} < DATE '1995-06-15'"), ("'{}'", "false")],
-        lambda c: F.coalesce(V.fact_date(F.coalesce(F.get_json_object(c, "$.expiry_date"), F.get_json_object(c, "$.valid_until"))) < F.lit("1995-06-15").cast("date"), F.lit(False)), "boolean")
 _shaped("prj_cells", "cell", [(f"'{{\"vendor\": \"\", \"vendor_name\": \"Acme ' || {_C} || '\"}}'", "'Acme ' || o_custkey"), (f"'{{\"key_facts\": [{{\"label\": \"Vendor name\", \"value\": \"Foo ' || {_C} || '\"}}]}}'", "'Foo ' || o_custkey"), ("'{}'", "NULL")],
         lambda c: W.cell(c, ["vendor", "vendor_name"]), "string")
 _shaped("agg_quality_level", "level", [("CAST((o_custkey % 101) / 100.0 AS STRING)", "CASE WHEN o_custkey % 101 >= 85 THEN 'good' WHEN o_custkey % 101 >= 70 THEN 'fair' ELSE 'poor' END")], lambda c: V.quality_level(c.cast("double")), "string")
