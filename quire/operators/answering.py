@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import content_tokens, sentences
+from ..session import cut
 
 # Patterns that decide routes, guards and answer shapes.
 GREETING = r"(?i)^\s*(hi|hello|hey|thanks|thank you|ok|okay|yo|cool|great)\b[\s!.?]*$"
@@ -117,3 +120,27 @@ def summary(scored: DataFrame) -> DataFrame:
     mean = lambda c: F.round(F.avg(c), 4)
     n = lambda v: F.count_if(F.col("abstention") == v).alias(v)
     return scored.agg(mean("faithfulness_proxy").alias("faithfulness"), mean("answer_correctness_proxy").alias("correctness"), mean("citation_recall").alias("citation"), n("correct_abstain"), n("missed_abstain"), n("over_abstain"))
+
+
+def answer_chain(questions: DataFrame, handlers: list[tuple[str, Column, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """(qid, handler, answer) of every question: the first handler that answers wins, null where none does.
+
+    A handler is a name, a guard over the question's columns and a function from questions to (qid, answer).  One pass
+    tells which guards each question passes; a handler then sees only the questions that pass its guard and have no
+    answer yet, and none that no question passes is run.  Null answers leave a question open.
+    """
+    plays = F.array_compact(F.array(*(F.when(guard, F.lit(i)) for i, (_, guard, _) in enumerate(handlers))))
+    marked = cut(questions.withColumn("_plays", plays))
+    asked = {r[0] for r in marked.select(F.explode("_plays")).distinct().collect()}  # a row for each handler at most
+    done = None
+    for i, (name, _, answer) in enumerate(handlers):
+        if i not in asked:
+            continue
+        still = marked.filter(F.array_contains("_plays", i)).drop("_plays")
+        still = still if done is None else still.join(done.select("qid"), "qid", "left_anti")
+        said = answer(still).filter("answer IS NOT NULL").groupBy("qid").agg(F.min("answer").alias("answer"))
+        said = cut(said.select("qid", F.lit(name).alias("handler"), "answer"))
+        done = said if done is None else done.unionByName(said)
+    if done is None:
+        return questions.select("qid", F.lit(None).cast("string").alias("handler"), F.lit(None).cast("string").alias("answer"))
+    return questions.select("qid").join(done, "qid", "left")

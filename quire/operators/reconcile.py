@@ -72,3 +72,15 @@ def match_revenue(invoices: DataFrame, credits: DataFrame, days: int = 30) -> Da
     c = credits.filter("direction = 'credit'").select(F.col("id").alias("credit"), "customer", "amount", F.col("date").alias("paid"))
     met = i.join(c, ["customer", "amount"]).withColumn("gap", F.datediff("paid", "issued")).filter(F.col("gap").isNull() | F.col("gap").between(0, days))
     return met.select("invoice", "credit", "gap", revenue_confidence(F.col("gap")).alias("confidence"))
+
+
+def replace_run(earlier: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, src, dst, confidence, status) after a run: what it found is proposed, what someone confirmed before stays.
+
+    Edges of the run before that nobody confirmed go unless found again; an edge confirmed and found again
+    keeps its confirmation and takes the new confidence.
+    """
+    key = ["kind", "src", "dst"]
+    kept = earlier.filter("status = 'confirmed'").select(*key, F.col("confidence").alias("was"), F.col("status").alias("before"))
+    both = found.select(*key, "confidence").join(kept, key, "full")
+    return both.select(*key, F.coalesce("confidence", "was").alias("confidence"), F.coalesce("before", F.lit("proposed")).alias("status"))

@@ -36,9 +36,9 @@ def gr_identity(spark, sf):
     return G.ego(_edges(spark, sf), spark.createDataFrame([("r2",)], "node string")).select("src", "dst")
 
 
-@query("gr_relations", f"WITH e AS ({EDGES}) SELECT src, dst FROM e WHERE src LIKE 'n%' AND dst LIKE 's1%'")
+@query("gr_relations", f"WITH e AS ({EDGES}) SELECT src, dst FROM e WHERE src LIKE 'n%' AND dst LIKE 's%'")
 def gr_relations(spark, sf):
-    return _edges(spark, sf).filter("src LIKE 'n%' AND dst LIKE 's1%'")
+    return _edges(spark, sf).filter("src LIKE 'n%' AND dst LIKE 's%'")
 
 
 @query("dup_related", "SELECT o_custkey AS other, count(DISTINCT o_orderpriority) AS shared FROM orders WHERE o_custkey <> 1 AND o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_custkey = 1) GROUP BY 1")

@@ -45,7 +45,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY sim DESC, nearest)
 @query("vec_centroid_match", CENTROID + "SELECT vid, nearest, sim FROM r WHERE rank = 1 AND sim >= 0.2")
 def vec_centroid_match(spark, sf):
     v = _vectors(spark, sf)
-    c = F.broadcast(R.centroids(v).select(F.col("label").alias("nearest"), F.col("vec").alias("cv")))
+    c = R.few(R.centroids(v).select(F.col("label").alias("nearest"), F.col("vec").alias("cv")))
     sims = v.crossJoin(c).select("vid", "nearest", F.round(R.cosine(F.col("vec"), F.col("cv")), 6).alias("sim"))
     return R.top(sims, ["vid"], [F.desc("sim"), F.asc("nearest")], 1).filter("sim >= 0.2").select("vid", "nearest", "sim")
 
@@ -53,7 +53,7 @@ def vec_centroid_match(spark, sf):
 @query("vec_candidates", CENTROID + "SELECT vid, sim FROM s WHERE nearest = 0 AND sim >= 0.3")
 def vec_candidates(spark, sf):
     v = _vectors(spark, sf)
-    c = F.broadcast(R.centroids(v.filter("label = 0")).select(F.col("vec").alias("cv")))
+    c = R.few(R.centroids(v.filter("label = 0")).select(F.col("vec").alias("cv")))
     return v.crossJoin(c).select("vid", F.round(R.cosine(F.col("vec"), F.col("cv")), 6).alias("sim")).filter("sim >= 0.3")
 
 
@@ -162,10 +162,10 @@ def agg_chunk_stats(spark, sf):
 
 
 @query("ret_fairness", """
-WITH tok AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]{7,}')) AS term FROM benchmark), w AS (SELECT doc_id AS doc, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{7,}'))) AS term FROM documents),
+WITH tok AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark), w AS (SELECT doc_id AS doc, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS term FROM documents),
 s AS (SELECT qid, source, doc, count(*) AS shared FROM tok JOIN w USING (term) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY shared DESC, doc) AS k FROM s) SELECT qid, source, doc, shared FROM r WHERE k = 1""")
 def ret_fairness(spark, sf):
-    pick = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{7,}"), F.lit(0)))
+    pick = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0)))
     terms = _queries(spark, sf).select("qid", F.explode(pick(F.col("text"))).alias("term"))
     held = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source", F.explode(pick(F.col("text"))).alias("term"))
     shared = held.join(terms, "term").groupBy("qid", "source", "doc").agg(F.count("*").alias("shared"))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import documents, layout, overlap, search
+from quire.operators import answering, documents, layout, overlap, reconcile, search, sinks
 from quire.operators import retrieval as R
 
 
@@ -184,14 +184,14 @@ def test_two_columns_are_read_one_after_the_other(spark):
             x += 5.0 * len(w) + 5
         return out
 
-    words = line(1, 0, 20.0, "banner " * 16)
+    words = line(1, 0, 20.0, "banner" * 16)
     for k in range(12):
         y = 20 + 14 * k
-        words += line(1, y + k % 2, 20.0, "SKILLS NOW" if k in (0, 6) else f"left {k} words") + line(1, y, 330.0, "EDUCATION" if k in (1, 7) else f"right {k} here")
+        words += line(1, y + k % 2, 20.0, "SKILLS NOW" if k in (0, 6) else f"left {k} words") + line(1, y, 330.0, "EDUCATION" if k in (1, 7) else f"right{k}here")
     for k in range(12):
         words += line(2, 14 * k, 20.0, "HEAD A" if k < 3 else f"name {k}") + line(2, 14 * k, 330.0, "RESULT UNITS" if k < 3 else f"value {k}")
-        words += line(3, 14 * k, 20.0, "one column " * 9)
-        words += line(4, 14 * k, 20.0, f"left {k}") + line(4, 14 * k, 330.0, f"right {k}")
+        words += line(3, 14 * k, 20.0 + 3.0 * k, "onewordhere column " * 5)
+        words += line(4, 14 * k, 20.0, f"left {k}") + line(4, 14 * k, 330.0, f"right{k}")
     df = spark.createDataFrame(words, "page int, x0 double, y0 double, x1 double, y1 double, text string")
     gutters = {r.page: r for r in layout.gutters(layout.rows(df), 600.0).collect()}
     assert set(gutters) == {1, 2, 4} and (gutters[1].split, gutters[1].crossing, gutters[1]["rows"]) == (12, 1, 13)
@@ -199,8 +199,8 @@ def test_two_columns_are_read_one_after_the_other(spark):
     for r in sorted(layout.columns(df, 600.0).collect(), key=lambda r: (r.page, r.pos)):
         read[r.page].append((r.side, r.text))
     left = [(1, "SKILLS NOW" if k in (0, 6) else f"left {k} words") for k in range(12)]
-    right = [(2, "EDUCATION" if k in (1, 7) else f"right {k} here") for k in range(12)]
-    assert read == {1: [(0, ("banner " * 16).strip()), *left, *right]}
+    right = [(2, "EDUCATION" if k in (1, 7) else f"right{k}here") for k in range(12)]
+    assert read == {1: [(0, "banner" * 16), *left, *right]}
     assert {r.page for r in layout.columns(df, 600.0, headings=0).collect()} == {1, 4}
 
 
@@ -210,3 +210,48 @@ def test_nothing_is_found_in_nothing(spark, empty):
     assert layout.located(words, spark.createDataFrame([(1, "f", empty)], "page int, field string, value string")).count() == 0
     assert layout.columns(words, 600.0).count() == 0
     assert search.containing(spark.createDataFrame([(1, empty)], "pid int, pattern string"), spark.createDataFrame([(1, "x")], "tid int, text string")).count() == 0
+
+
+def test_the_first_handler_that_answers_wins(spark):
+    asked = spark.createDataFrame([(1, "how many lost"), (2, "how many found"), (3, "total found"), (4, "nothing"), (5, None)], "qid int, text string")
+    seen = {}
+
+    def handler(name, word):
+        def run(q):
+            seen[name] = sorted(r.qid for r in q.select("qid").collect())
+            return q.select("qid", F.when(F.contains("text", F.lit(word)), F.lit(name)).alias("answer"))
+
+        return run
+
+    has = lambda w: F.coalesce(F.contains("text", F.lit(w)), F.lit(False))
+    handlers = [("count", has("many"), handler("count", "found")), ("any", F.col("text").isNotNull(), handler("any", "o")), ("never", F.lit(False), lambda q: 1 / 0), ("last", F.lit(None).cast("boolean"), lambda q: 1 / 0)]
+    got = {r.qid: (r.handler, r.answer) for r in answering.answer_chain(asked, handlers).collect()}
+    assert got == {1: ("any", "any"), 2: ("count", "count"), 3: ("any", "any"), 4: ("any", "any"), 5: (None, None)}
+    assert seen == {"count": [1, 2], "any": [1, 3, 4]}
+    assert {r.handler for r in answering.answer_chain(asked, handlers[2:]).collect()} == {None}
+
+
+def test_chunks_are_replaced_and_a_second_run_leaves_every_file(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/out", "doc int, idx int, text string"
+    docs = spark.createDataFrame([(i,) for i in range(30)], "doc int")
+    chunks = spark.createDataFrame([(i, k, f"{i} {k}") for i in range(29) for k in range(3)], kind)
+    files = lambda: {(p, p.stat().st_mtime_ns) for p in tmp_path.rglob("*.parquet")}
+    read = lambda: Counter((r.doc, r.idx, r.text) for r in spark.read.schema(kind).parquet(path).collect())
+    n = sinks.write_chunks(docs, chunks, path, 8)
+    assert 6 <= n <= 8 and read() == Counter(map(tuple, chunks.collect()))
+    before = files()
+    assert sinks.write_chunks(docs, chunks.repartition(5), path, 8) == 0 and files() == before
+    some = spark.createDataFrame([(3,), (4,), (50,)], "doc int")
+    more = spark.createDataFrame([(3, 0, "new"), (50, 0, "late"), (7, 0, "not asked")], kind)
+    assert 1 <= sinks.write_chunks(some, more, path, 8) <= 3
+    want = Counter(x for x in map(tuple, chunks.collect()) if x[0] not in (3, 4)) + Counter([(3, 0, "new"), (50, 0, "late")])
+    assert read() == want and len(before & files()) >= n - 3
+    assert sinks.write_chunks(docs.unionByName(some), chunks.limit(0), path, 8) >= n and not list(tmp_path.rglob("*.parquet"))
+
+
+def test_a_run_takes_the_place_of_the_run_before(spark):
+    kind = "kind string, src int, dst int, confidence double"
+    earlier = spark.createDataFrame([("d", 1, 2, 0.5, "confirmed"), ("d", 1, 3, 0.5, "proposed"), ("d", 2, 3, 0.5, "confirmed"), ("p", 1, 2, 0.5, "rejected")], f"{kind}, status string")
+    found = spark.createDataFrame([("d", 1, 2, 0.9), ("d", 4, 5, 0.8), ("p", 1, 2, 0.7)], kind)
+    got = {tuple(r) for r in reconcile.replace_run(earlier, found).collect()}
+    assert got == {("d", 1, 2, 0.9, "confirmed"), ("d", 2, 3, 0.5, "confirmed"), ("d", 4, 5, 0.8, "proposed"), ("p", 1, 2, 0.7, "proposed")}
