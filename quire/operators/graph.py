@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import same_identity, tokens
 from ..session import cut
+from .retrieval import few
 
 
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -41,7 +42,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def related_documents(mentions: DataFrame, doc: str, names: int = 3) -> DataFrame:
     """(doc, other, shared, names) for a document: others that share canonical names, at most ``names`` shown."""
     own = mentions.filter(F.col("doc") == doc).select("canonical").distinct()
-    met = mentions.filter(F.col("doc") != doc).join(F.broadcast(own), "canonical").groupBy(F.col("doc").alias("other")).agg(F.collect_set("canonical").alias("c"))
+    met = mentions.filter(F.col("doc") != doc).join(few(own), "canonical").groupBy(F.col("doc").alias("other")).agg(F.collect_set("canonical").alias("c"))
     return met.select("other", F.size("c").alias("shared"), F.slice(F.array_sort("c"), 1, names).alias("names"))
 
 

@@ -89,11 +89,18 @@ def txt_toc(spark, sf):
     return first.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).filter("k <= 40").select("doc_id", F.col("k").cast("long").alias("k"), "title")
 
 
-@query("fn_mixed_script", "SELECT doc_id, doc_id % 4 IN (1, 3) AND regexp_matches(text, '[A-Za-z]') AS mixed FROM (SELECT doc_id, substr(text, 1, 40) AS text FROM documents)")
+#: How many characters of a script a text holds; in the ranges that the library counts.
+_held = lambda c, span: f"length(regexp_replace({c}, '[^{span}]', '', 'g'))"
+_COUNTS = "[" + ", ".join(_held("s", span) for span in T.SCRIPTS.values()) + "]"
+
+
+@query("fn_mixed_script", f"""WITH two AS (SELECT doc_id, unnest([{{'part': 0, 's': text}}, {{'part': 1, 's': text || repeat('д', CAST(length(text) // 12 AS INTEGER)) || repeat('漢', CAST(length(text) // 30 AS INTEGER))}}], recursive := true) FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+c AS (SELECT doc_id, part, {_COUNTS} AS n FROM two) SELECT doc_id, part, len(list_filter(n, lambda x: list_sum(n) > 0 AND x / greatest(list_sum(n), 1) >= 0.1)) >= 2 AS mixed FROM c""")
 def fn_mixed_script(spark, sf):
-    """Latin openings of all texts, half of them followed by as much Cyrillic or Han."""
-    more = F.when(F.col("doc_id") % 4 == 1, F.repeat(F.lit("д"), 40)).when(F.col("doc_id") % 4 == 3, F.repeat(F.lit("漢"), 40)).otherwise("")
-    return _docs(spark, sf).select("doc_id", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 40), more).alias("s")).select("doc_id", T.mixed_script(F.col("s")).alias("mixed"))
+    """All whole texts as they are, and with a twelfth of Cyrillic and a thirtieth of Han behind them."""
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    more = F.concat(text, F.repeat(F.lit("д"), F.floor(n / 12).cast("int")), F.repeat(F.lit("漢"), F.floor(n / 30).cast("int")))
+    return _docs(spark, sf).select("doc_id", F.posexplode(F.array(text, more)).alias("part", "s")).select("doc_id", "part", T.mixed_script(F.col("s")).alias("mixed"))
 
 
 @query("fn_best_transcript")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import retrieval as R
+from ..operators import search as S
 from ..operators import usage
 from ..session import table
 from .registry import query
@@ -56,14 +57,18 @@ def fn_md_table(spark, sf):
     return rows.select(F.concat(F.lit("| key | name |\n| --- | --- |\n"), F.array_join(F.transform("p", lambda x: x["r"]), "\n")).alias("md"))
 
 
-@query("ret_docname", """WITH t AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(url), '[a-z]{7,}')) AS term FROM pages), q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS term FROM benchmark),
-h AS (SELECT qid, page_id FROM q JOIN t USING (term) GROUP BY 1, 2), n AS (SELECT qid, count(*) AS n FROM h GROUP BY 1) SELECT qid, page_id FROM h JOIN n USING (qid) WHERE n <= 4""")
+_STOP = ", ".join(f"'{w}'" for w in S.NAME_STOP)
+
+
+@query("ret_docname", rf"""WITH q AS (SELECT DISTINCT item_id AS qid, t FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9\-]{{3,}}')) AS t FROM benchmark)
+ WHERE (regexp_matches(t, '[0-9]') OR (upper(t) = t AND regexp_matches(t, '[A-Z]')) OR length(t) >= 5) AND lower(t) NOT IN ({_STOP})),
+h AS (SELECT DISTINCT qid, page_id FROM q JOIN pages ON contains(lower(url), lower(t))), n AS (SELECT qid, count(*) AS n FROM h GROUP BY 1) SELECT qid, page_id FROM h JOIN n USING (qid) WHERE n <= 4""")
 def ret_docname(spark, sf):
-    """Pages named by a distinctive word of the query; more than four matches rescue nothing."""
-    pick = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{7,}"), F.lit(0))))
-    named = table(spark, sf, "pages").select("page_id", pick(F.col("url")).alias("term"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), pick(F.col("text")).alias("term"))
-    hits = named.join(asked, "term").select("qid", "page_id").distinct()
+    """Pages whose address holds a distinctive word of the question; more than four matches rescue nothing."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(S.distinctive(F.col("text"))).alias("pid"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("tid"), F.col("url").alias("text"))
+    met = S.containing(asked.select("pid", F.col("pid").alias("pattern")), pages).join(asked, "pid")
+    hits = met.select("qid", F.col("tid").alias("page_id")).distinct()
     few = hits.groupBy("qid").count().filter("count <= 4").select("qid")
     return hits.join(few, "qid", "left_semi")
 
@@ -87,7 +92,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY sim DESC, nearest)
 def lt_reconcile(spark, sf):
     """Weakly typed items (label 0) take the type of the nearest centroid when it is near enough."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.col("embedding").alias("vec"), "label")
-    c = F.broadcast(R.centroids(v.filter("label > 0")).select(F.col("label").alias("nearest"), F.col("vec").alias("cv")))
+    c = R.few(R.centroids(v.filter("label > 0")).select(F.col("label").alias("nearest"), F.col("vec").alias("cv")))
     sims = v.filter("label = 0").crossJoin(c).select("vid", "nearest", F.round(R.cosine(F.col("vec"), F.col("cv")), 6).alias("sim"))
     best = R.top(sims, ["vid"], [F.desc("sim"), F.asc("nearest")], 1)
     return best.select("vid", F.when(F.col("sim") >= 0.1, F.col("nearest")).alias("assigned"))

@@ -195,15 +195,26 @@ def rec_rev_conf(spark, sf):
     return _orders(spark, sf).select("o_orderkey", reconcile.revenue_confidence(gap).alias("confidence"))
 
 
-@query("rec_scan", f"SELECT 'duplicate' AS kind, a AS src, b AS dst, confidence FROM ({SQL['rec_dup']}) UNION ALL SELECT 'payment', receipt, line, confidence FROM ({SQL['rec_pay']}) UNION ALL SELECT 'revenue', invoice, credit, confidence FROM ({SQL['rec_rev']})")
+_FOUND = f"SELECT 'duplicate' AS kind, a AS src, b AS dst, confidence FROM ({SQL['rec_dup']}) UNION ALL SELECT 'payment', receipt, line, confidence FROM ({SQL['rec_pay']}) UNION ALL SELECT 'revenue', invoice, credit, confidence FROM ({SQL['rec_rev']})"
+_EARLIER = """SELECT 'duplicate' AS kind, a AS src, b AS dst, 0.4 AS confidence, o_orderpriority AS p FROM d JOIN orders ON o_orderkey = a UNION ALL SELECT 'payment', o_orderkey, -o_orderkey, 0.5, o_orderpriority FROM orders WHERE o_orderstatus = 'P'"""
+
+
+@query("rec_scan", f"""WITH found AS ({_FOUND}), d AS ({SQL['rec_dup']}), earlier AS ({_EARLIER}), kept AS (SELECT * FROM earlier WHERE p = '1-URGENT')
+SELECT coalesce(f.kind, k.kind) AS kind, coalesce(f.src, k.src) AS src, coalesce(f.dst, k.dst) AS dst, CAST(coalesce(f.confidence, k.confidence) AS DOUBLE) AS confidence, CASE WHEN k.kind IS NULL THEN 'proposed' ELSE 'confirmed' END AS status
+FROM found f FULL JOIN kept k ON f.kind = k.kind AND f.src = k.src AND f.dst = k.dst""")
 def rec_scan(spark, sf):
-    """All edges of one reconciliation run, which takes the place of the edges of the run before."""
+    """A reconciliation run over the edges of the run before: all duplicates found then, and a payment of each pending order
+    that is not found again; those of urgent orders were confirmed."""
     passes = (("duplicate", ledger.rec_dup, "a", "b"), ("payment", ledger.rec_pay, "receipt", "line"), ("revenue", ledger.rec_rev, "invoice", "credit"))
-    out = None
+    found = None
     for kind, run, a, b in passes:
         one = run(spark, sf).select(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "confidence")
-        out = one if out is None else out.unionByName(one)
-    return out
+        found = one if found is None else found.unionByName(one)
+    o = _orders(spark, sf)
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", "confirmed").otherwise("proposed").alias("status")
+    again = ledger.rec_dup(spark, sf).join(o.select(F.col("o_orderkey").alias("a"), "o_orderpriority"), "a").select(F.lit("duplicate").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.4).alias("confidence"), status)
+    lost = o.filter("o_orderstatus = 'P'").select(F.lit("payment").alias("kind"), F.col("o_orderkey").alias("src"), (-F.col("o_orderkey")).alias("dst"), F.lit(0.5).alias("confidence"), status)
+    return reconcile.replace_run(again.unionByName(lost), found)
 
 
 @query("rec_lists", f"SELECT d.a, d.b, x.o_totalprice AS amount_a, y.o_totalprice AS amount_b, d.confidence FROM ({SQL['rec_dup']}) d JOIN orders x ON x.o_orderkey = d.a JOIN orders y ON y.o_orderkey = d.b")
@@ -462,7 +473,7 @@ def ls_lookup(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("tax_invoice", "Passport ", "old_invoice", "card_statement", "tax_form"))), (F.col("doc_id") % 5 + 1).cast("int"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), kind.alias("type"))
     found = O.schema_slug(d.select("type").distinct(), ["tax_invoice", "passport", "bank_statement", "tax_return"], ("bank",))
-    return d.join(F.broadcast(found), "type").select("id", "slug")
+    return d.join(R.few(found), "type").select("id", "slug")
 
 
 @query("mt_record", "SELECT doc_id, round((length(text) * 1.0 + n_chars * 5.0) / 1e6, 8) AS cost FROM documents")
