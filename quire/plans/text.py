@@ -89,14 +89,29 @@ _w, _v = "substr(md5(CAST(c_custkey AS STRING)), 1, 8)", "substr(md5(CAST(c_cust
 IDENTITIES = [("person", "{w} || ' ' || {v}", "{v} || ' ' || {w}", True), ("person", "{w} || ' quinn'", "{v} || ' quinn'", False), ("person", "{w} || ' mara voss'", "{v} || ' mara voss'", False), ("person", "{w} || ' quinn ' || {v}", "{w} || ' quinn'", True),
               ("person", "{w}", "{v}", False), ("person", "{w} || ' quinn'", "{w} || ' quinm'", True), ("money", "{w} || ' USD'", "{w} || ' SGD'", False), ("money", "{w}", "{w}", True), ("org", "''", "''", True), ("org", "''", "{w}", False),
               ("org", "{w} || ' trading'", "{w} || ' trading house berlin branch'", True), ("person", "{w} || '11111111'", "{w} || '11111111222'", True)]
-_said = lambda i: "CASE c_custkey % 12 " + " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(IDENTITIES)) + " END"
+#: Every pair for every customer, with the number of its form.
+_PAIRS = ", ".join(f"{{'form': {n}, 'kind': '{k}', 'a': {a}, 'b': {b}}}" for n, (k, a, b, _) in enumerate(IDENTITIES)).replace("{w}", _w).replace("{v}", _v).replace("STRING", "VARCHAR")
 
 
-@query("res_same", "SELECT c_custkey, c_custkey % 12 IN (" + ", ".join(str(n) for n, x in enumerate(IDENTITIES) if x[3]) + ") AS same FROM customer")
+@query("res_same", rf"""WITH p AS (SELECT c_custkey, unnest([{_PAIRS}], recursive := true) FROM customer UNION ALL SELECT a.s_suppkey, 100, 'org', lower(a.s_name), lower(b.s_name) FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1
+ UNION ALL SELECT a.doc_id, 101, 'person', lower(left(a.text, 30)), lower(left(b.text, 30)) FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+')) AS ta, list_distinct(regexp_extract_all(lower(b), '[a-z0-9]+')) AS tb FROM p),
+n AS (SELECT *, len(list_intersect(ta, tb)) AS shared, len(list_distinct(list_concat(ta, tb))) AS whole, least(len(ta), len(tb)) AS small, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS short, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS long FROM t)
+SELECT c_custkey, form, a = b OR (a <> '' AND b <> '' AND kind IN ('person', 'org') AND small > 0 AND ((shared = small AND shared >= least(2, small)) OR (shared >= 2 AND shared / whole > 0.5)
+ OR (contains(long, short) AND length(short) / greatest(length(long), 1) >= 0.55) OR (shared >= 1 AND levenshtein(a, b) <= 3))) AS same FROM n""")
 def res_same(spark, sf):
-    kind = "CASE c_custkey % 12 " + " ".join(f"WHEN {n} THEN '{x[0]}'" for n, x in enumerate(IDENTITIES)) + " END"
-    v = table(spark, sf, "customer").selectExpr("c_custkey", f"{kind} AS kind", *(_said(i).replace("{w}", _w).replace("{v}", _v) + f" AS {c}" for i, c in ((1, "a"), (2, "b"))))
-    return v.select("c_custkey", names.same_identity(F.col("kind"), F.col("a"), F.col("b")).alias("same"))
+    """Pairs of canonical forms in every shape, neighbouring suppliers, and openings of neighbouring documents."""
+    fill = lambda x: F.expr(x.replace("{w}", _w).replace("{v}", _v))
+    forms = F.explode(F.array(*(F.struct(F.lit(n).alias("form"), F.lit(k).alias("kind"), fill(a).alias("a"), fill(b).alias("b")) for n, (k, a, b, _) in enumerate(IDENTITIES))))
+    pairs = table(spark, sf, "customer").select("c_custkey", forms.alias("x")).select("c_custkey", "x.*")
+
+    def neighbours(name, key, said, form, kind):
+        t = table(spark, sf, name).filter(F.col(said).isNotNull()).select(F.col(key).alias("k"), F.lower(F.substring(said, 1, 30)).alias("s"))
+        after = t.select((F.col("k") - 1).alias("k"), F.col("s").alias("b"))
+        return t.join(after, "k").select(F.col("k").alias("c_custkey"), F.lit(form).alias("form"), F.lit(kind).alias("kind"), F.col("s").alias("a"), "b")
+
+    pairs = pairs.unionByName(neighbours("supplier", "s_suppkey", "s_name", 100, "org")).unionByName(neighbours("documents", "doc_id", "text", 101, "person"))
+    return pairs.select("c_custkey", "form", names.same_identity(F.col("kind"), F.col("a"), F.col("b")).alias("same"))
 
 
 @query("res_canon_for", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) || ' corp' WHEN 1 THEN 'mara ' || lower(c_mktsegment) WHEN 2 THEN c_custkey || ' usd' WHEN 3 THEN 'kept ' || c_custkey ELSE '' END AS best FROM customer""")
