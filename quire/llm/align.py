@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, materialize, release, small_batches
-from .shards import blob, one_list, pack, pack_sorted, sharded, unpack, unpack_sorted
+from .shards import blob, by_shard, one_list, pack, pack_sorted, sharded, unpack, unpack_sorted
 
 TOKENIZERS = "/opt/tokenizers"
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pieces kept aligned by a worker; when there are more, it starts anew.
-KEPT = 200_000
+KEPT = 300_000
 #: Bytes of text in a shard.
 SHARD = 8 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -58,7 +58,9 @@ class ByteLevel:
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # What the library holds of a text is many times its ids, so few are held at a time.
+        few = (texts[i : i + 2048] for i in range(0, len(texts), 2048))
+        return [e.ids for part in few for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
 
 class Pieces:
@@ -221,10 +223,9 @@ def _shard(files: tuple[bytes, bytes]):
         docs, sha, counts = [], [], []
         used: dict[int, int] = {}
         links, sizes = [], []
-        texts = _decoded(rows.column(1))
-        for at in range(0, len(texts), 256):
+        for at in range(0, rows.num_rows, 128):
             before = aligner.number
-            found = aligner.read(texts[at : at + 256])
+            found = aligner.read(_decoded(rows.column(1).slice(at, 128)))
             if aligner.number is not before or not at:
                 place = np.zeros(0, np.int64)  # numbers of another start mean other pieces
             place = np.concatenate([place, np.full(len(aligner.groups) - len(place), -1, np.int64)])
@@ -263,35 +264,29 @@ def _shard(files: tuple[bytes, bytes]):
     return run
 
 
-def _asked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [(unpack_sorted(p), unpack(n)) for p, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-    shard = np.repeat(batch.column(0).to_numpy(), [len(p) for p, _ in found])
-    pair, n = (np.concatenate([x[i] for x in found]).astype(np.int64) for i in (0, 1))
-    return pa.record_batch([pa.array(shard), pa.array(pair), pa.array(n)], ["shard", "pair", "n"])
+def _asked(x: dict) -> pa.RecordBatch:
+    pairs, n = unpack_sorted(x["pairs"].as_py()).astype(np.int64), unpack(x["times"].as_py()).astype(np.int64)
+    return pa.record_batch([pa.array(np.full(len(pairs), x["shard"].as_py(), np.int64)), pa.array(pairs), pa.array(n)], ["shard", "pair", "n"])
 
 
-def _answered(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out = []
-    for k in range(batch.num_rows):
-        x = {c: batch.column(i)[k] for i, c in enumerate(batch.schema.names)}
-        pairs = unpack_sorted(x["pairs"].as_py())
-        count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-        told = x["told"].values  # none where no text of the shard has tokens
-        if told is not None and len(told):
-            at = np.searchsorted(pairs, told.field("pair").to_numpy().astype(np.uint64))
-            count[at], best[at] = told.field("n").to_numpy(), told.field("best").to_numpy(zero_copy_only=False)
-        sizes, link = unpack(x["sizes"].as_py()).astype(np.int64), unpack(x["links"].as_py()).astype(np.int64)
-        seq, lengths = unpack(x["seq"].as_py()).astype(np.int64), unpack(x["lengths"].as_py()).astype(np.int64)
+def _answered(x: dict) -> pa.RecordBatch:
+    pairs = unpack_sorted(x["pairs"].as_py())
+    count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
+    told = x["told"].values  # none where no text of the shard has tokens
+    if told is not None and len(told):
+        at = np.searchsorted(pairs, told.field("pair").to_numpy().astype(np.uint64))
+        count[at], best[at] = told.field("n").to_numpy(), told.field("best").to_numpy(zero_copy_only=False)
+    sizes, link = unpack(x["sizes"].as_py()).astype(np.int64), unpack(x["links"].as_py()).astype(np.int64)
+    seq, lengths = unpack(x["seq"].as_py()).astype(np.int64), unpack(x["lengths"].as_py()).astype(np.int64)
 
-        def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-            upto = np.concatenate([[0], np.cumsum(values)])
-            ends = np.cumsum(sizes)
-            return upto[ends] - upto[ends - sizes]
+    def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(values)])
+        ends = np.cumsum(sizes)
+        return upto[ends] - upto[ends - sizes]
 
-        sums = [summed(summed(v[link].astype(np.int64), sizes)[seq], lengths) for v in (best, count)]
-        columns = [x["ids"].values, *(x[c].values for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]), x["sha"].values]
-        out.append(pa.record_batch(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]))
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
+    sums = [summed(summed(v[link].astype(np.int64), sizes)[seq], lengths) for v in (best, count)]
+    columns = [x["ids"].values, *(x[c].values for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]), x["sha"].values]
+    return pa.record_batch(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def shards(docs: DataFrame, a: str = f"{TOKENIZERS}/{A}", b: str = f"{TOKENIZERS}/{B}", size: int = SHARD) -> DataFrame:
@@ -302,7 +297,7 @@ def shards(docs: DataFrame, a: str = f"{TOKENIZERS}/{A}", b: str = f"{TOKENIZERS
 
 def asked(held: DataFrame) -> DataFrame:
     """(shard, pair, n): how many links of a shard hold a pair of ids."""
-    return arrow_map(held.select("shard", "pairs", "times"), _asked, "shard long, pair long, n long")
+    return by_shard(held.select("shard", "pairs", "times"), _asked, "shard long, pair long, n long")
 
 
 def counted(asked: DataFrame) -> DataFrame:
@@ -331,7 +326,7 @@ def align(docs: DataFrame, a: str = f"{TOKENIZERS}/{A}", b: str = f"{TOKENIZERS}
     counts = materialize(counted(rows), "pair-counts")
     told = rows.select("shard", "pair").join(counts, "pair").groupBy("shard").agg(F.collect_list(F.struct("pair", "n", "best")).alias("told"))
     both = held.select("shard", "ids", "sha", "n_a", "n_b", "n_groups", "n_links", "lengths", "seq", "sizes", "links", "pairs").join(told, "shard", "left")
-    out = materialize(arrow_map(both, _answered, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), "alignment")
+    out = materialize(by_shard(both, _answered, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), "alignment")
     release(held, rows, counts)
     return out
 

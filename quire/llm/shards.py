@@ -6,6 +6,7 @@ shuffled, and comes back once a shard.  A shard is about so many bytes of text;
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,14 @@ from pyspark.sql import DataFrame
 from ._common import materialize, slices
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system between shards, as a worker lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned values in as many bytes as the largest needs, all lowest bytes first, which compresses well."""
     raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
@@ -65,10 +74,27 @@ def sharded(docs: DataFrame, fn: Callable[[pa.Table], dict[str, pa.Array]], sche
         for i, rows in enumerate(gathered(batches, size)):
             found = fn(rows)
             yield pa.record_batch([pa.array([first + i]), *found.values()], ["shard", *found])
+            del rows, found
+            give_back()
 
     return materialize(docs.mapInArrow(run, f"shard long, {schema}"), name)
 
 
+def by_shard(shards: DataFrame, fn: Callable[[dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``fn`` of each shard by itself, its columns by name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                out = fn({c: batch.column(i)[k] for i, c in enumerate(batch.schema.names)})
+                if out is not None:
+                    yield out
+                del out
+                give_back()
+
+    return shards.mapInArrow(run, schema)
+
+
 def one_list(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A list array of one row that holds the whole column."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
