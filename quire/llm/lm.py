@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, materialize, release, small_batches, text_batches
-from .shards import ASKED, asked_rows, blob, dealt, one_list, pack, sharded, told, unpack
+from ._common import materialize, release, small_batches, text_batches
+from .shards import ASKED, asked_rows, blob, by_shard, dealt, one_list, pack, sharded, told, unpack
 
 ORDER = 2
 #: Bytes of text in a shard, n-grams counted in one task at a time, about, and the least number of such parts.
-SHARD, PART, PARTS = 8 << 20, 2 << 20, 64
+SHARD, PART, PARTS = 4 << 20, 1 << 20, 64
 #: What is added to the count of every token.
 ADDED = 0.5
 END = b""
@@ -102,23 +102,17 @@ def _windows(x: dict, order: int) -> tuple[Windows, np.ndarray]:
     return Windows(unpack(x["seq"].as_py()), hashes, order), lengths
 
 
-def _rows(batch: pa.RecordBatch):
-    for k in range(batch.num_rows):
-        yield {c: batch.column(i)[k] for i, c in enumerate(batch.schema.names)}
-
-
 def _asked(order: int, bits: int):
     """Of each part of the hash range a shard's n-grams of each order and how often its training texts hold them."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(x: dict) -> pa.RecordBatch:
         out = []
-        for x in _rows(batch):
-            held, lengths = _windows(x, order)
-            learn = np.concatenate([[False], np.repeat(x["learn"].values.to_numpy(zero_copy_only=False).astype(bool), lengths)])
-            for k in range(1, order + 1):
-                # A window belongs to the document of its last token.
-                n = np.bincount(held.gram[k][(held.gram[k] >= 0) & learn[k - 1 :]], minlength=len(held.hashes[k]))
-                out += [(p, x["shard"].as_py(), k, hashes, counts) for p, hashes, counts in dealt(held.hashes[k], n, bits)]
+        held, lengths = _windows(x, order)
+        learn = np.concatenate([[False], np.repeat(x["learn"].values.to_numpy(zero_copy_only=False).astype(bool), lengths)])
+        for k in range(1, order + 1):
+            # A window belongs to the document of its last token.
+            n = np.bincount(held.gram[k][(held.gram[k] >= 0) & learn[k - 1 :]], minlength=len(held.hashes[k]))
+            out += [(p, x["shard"].as_py(), k, hashes, counts) for p, hashes, counts in dealt(held.hashes[k], n, bits)]
         return asked_rows(out)
 
     return run
@@ -182,22 +176,19 @@ class Automaton:
 
 
 def _scored(order: int, bits: int, total: int, distinct: int, mass: dict[int, float]):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x in _rows(batch):
-            held, lengths = _windows(x, order)
-            found = sorted((t["kind"], t["part"], t["counts"]) for t in x["told"].as_py())
-            counts = {k: np.concatenate([unpack(c).astype(np.int64) for n, _, c in found if n == k]) for k in range(1, order + 1)}
-            single = (counts[1] + ADDED) / (total + ADDED * (distinct + 1))
-            gram = held.gram[1][1:]
-            starts = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10(single)[gram], starts)
-            known = np.add.reduceat((counts[1] > 0)[gram].astype(np.int64), starts)
-            model = Automaton(held, counts, single, mass)
-            score = [model.walk(a + 1, n) for a, n in zip(starts.tolist(), lengths.tolist())]
-            columns = [x["ids"].values, x["learn"].values, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(score, pa.float64())]
-            out.append(pa.record_batch(columns, ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    def run(x: dict) -> pa.RecordBatch:
+        held, lengths = _windows(x, order)
+        found = sorted((t["kind"].as_py(), t["part"].as_py(), i) for i, t in enumerate(x["told"]))
+        counts = {k: np.concatenate([unpack(x["told"][i]["counts"].as_py()).astype(np.int64) for n, _, i in found if n == k]) for k in range(1, order + 1)}
+        single = (counts[1] + ADDED) / (total + ADDED * (distinct + 1))
+        gram = held.gram[1][1:]
+        starts = np.cumsum(lengths) - lengths
+        base = np.add.reduceat(np.log10(single)[gram], starts)
+        known = np.add.reduceat((counts[1] > 0)[gram].astype(np.int64), starts)
+        model = Automaton(held, counts, single, mass)
+        score = [model.walk(a + 1, n) for a, n in zip(starts.tolist(), lengths.tolist())]
+        columns = [x["ids"].values, x["learn"].values, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(score, pa.float64())]
+        return pa.record_batch(columns, ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -219,7 +210,7 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, size: int =
     held = sharded(rows, _shard, f"ids array<{kind}>, learn array<boolean>, lengths binary, seq binary, vocab binary, tokens long, trained long", "tokens", size)
     sums = held.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "trained"))).first()
     bits = max(PARTS - 1, sums["tokens"] * order // part).bit_length()
-    asked = arrow_map(held.select("shard", "learn", "lengths", "seq", "vocab"), _asked(order, bits), ASKED)
+    asked = by_shard(held.select("shard", "learn", "lengths", "seq", "vocab"), _asked(order, bits), ASKED)
     totals = materialize(told(asked, bits), "counts")
     stats = {k: [0, 0, [0] * 64, [0] * 64] for k in range(1, order + 1)}
     summed = totals.filter("known IS NOT NULL").groupBy("kind").agg(F.sum("known"), F.sum("once"), *(F.sum(F.col(c)[i]) for c in ("numbers", "sizes") for i in range(64)))
@@ -229,7 +220,7 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, size: int =
     counts = totals.groupBy("shard").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("told"))
     both = held.drop("tokens", "trained").join(counts, "shard")
     schema = f"doc_id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = materialize(arrow_map(both, _scored(order, bits, sums["trained"], stats[1][0], mass), schema), "scores")
+    out = materialize(by_shard(both, _scored(order, bits, sums["trained"], stats[1][0], mass), schema), "scores")
     release(held, totals)
     return out
 
