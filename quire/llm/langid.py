@@ -20,11 +20,31 @@ from pyspark.sql.window import Window
 
 from ._common import arrow_map, materialize, release, small_batches, text_batches
 
-#: Runs of letters and of the marks that combine with them; numerals such as a half or a superscript are
-#: word characters to ``re`` but no letters.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-MARKS = "".join(c for c in map(chr, range(0x110000)) if category(c)[0] == "M")
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+(?:[{MARKS}]+[^\W\d_{NUMERALS}]*)*")
+
+
+def _class(chars: list[str]) -> str:
+    """A class of characters, by ranges."""
+    runs: list[list[int]] = []
+    for c in map(ord, chars):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+_ALL = [chr(i) for i in range(0x110000)]
+#: Runs of letters and of the marks that combine with them.  Numerals such as a half or a superscript are
+#: word characters to ``re`` but no letters; texts without any of these, and without marks, are read by
+#: the shorter pattern, which says the same of them.
+LETTERS = re.compile(_class([c for c in _ALL if c.isalpha()]) + _class([c for c in _ALL if c.isalpha() or category(c)[0] == "M"]) + "*")
+PLAIN, ODD = re.compile(r"[^\W\d_]+"), re.compile("[²³¹¼½¾\u0300-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    return (LETTERS if ODD.search(text) else PLAIN).findall(text)
+
+
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: Bounds of the training sample: languages (the commonest), documents of each, words and characters
@@ -77,7 +97,7 @@ class Crf:
         """Rows of ``self.rows`` for the text's words; new words are added, and kept while they are few."""
         known, ids, fresh = self.known, [], []
         base = len(self.rows)
-        for w in LETTERS.findall(text.lower()):
+        for w in words_of(text.lower()):
             i = known.get(w)
             if i is None:
                 known[w] = i = base + len(fresh)
@@ -146,7 +166,7 @@ def fit(sample: list[tuple[str, str]], rounds: int = 40, seed: int = 5, length:
     """Train on (text, language) pairs: words carry their text's language, sequences splice texts together."""
     labels = sorted({lang for _, lang in sample})
     k = len(labels)
-    docs = [(LETTERS.findall(t.lower())[:MAX_WORDS], labels.index(lang)) for t, lang in sample]
+    docs = [(words_of(t.lower())[:MAX_WORDS], labels.index(lang)) for t, lang in sample]
     docs = [d for d in docs if d[0]]
     counts = [Counter(w for ws, y in docs if y == c for w in ws) for c in range(k)]
     lexicon: dict[str, int] = {}
