@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import answering, documents, layout, overlap, reconcile, search, sinks
+from quire.operators import answering, documents, layout, mapping, overlap, reconcile, search, sinks
 from quire.operators import retrieval as R
 
 
@@ -255,3 +255,25 @@ def test_a_run_takes_the_place_of_the_run_before(spark):
     found = spark.createDataFrame([("d", 1, 2, 0.9), ("d", 4, 5, 0.8), ("p", 1, 2, 0.7)], kind)
     got = {tuple(r) for r in reconcile.replace_run(earlier, found).collect()}
     assert got == {("d", 1, 2, 0.9, "confirmed"), ("d", 2, 3, 0.5, "confirmed"), ("d", 4, 5, 0.8, "proposed"), ("p", 1, 2, 0.7, "proposed")}
+
+
+def test_records_of_any_shape_are_mapped_and_earlier_runs_deprecated(spark):
+    docs = [
+        (1, '{"seller": {"name": "Acme Bank Ltd", "city": "not read"}, "title": "Mr. Skip Me", "total_amount": "S$1,200.50", "n": 5, "notes": {"deep": {"issuer_address": " 1 Main St "}}}'),
+        (2, '{"holder": "Alder Quinn / Mara Voss", "rows": [{"sku_number": "A-1 b"}, {"due": "12/05/2026"}, ["lost"], 7, null], "owners": ["Bo Lee", "x", ""], "buyer": {"name": 7, "value": "Cy Dee"}}'),
+        (3, "broken {"), (4, None), (5, "[]"), (6, '{"vendor": "N/A", "party": {"name": " ", "value": null, "seller": "Di Eff"}}'),
+    ]
+    df = spark.createDataFrame(docs, "doc int, fields string")
+    found = mapping.entities(mapping.leaves(df))
+    got = {(r.doc, r.kind, r.canonical, tuple(r.roles)) for r in found.collect()}
+    assert got == {
+        (1, "org", "acme bank", ("seller",)), (1, "money", "1200.50 SGD", ("total_amount",)), (1, "location", "1 main st", ("issuer_address",)),
+        (2, "person", "alder quinn", ("holder",)), (2, "person", "mara voss", ("holder",)), (2, "identifier", "a1b", ("sku_number",)), (2, "date", "2026-12-05", ("due",)),
+        (2, "person", "bo lee", ("owners",)), (2, "person", "cy dee", ("buyer",)), (6, "person", "di eff", ("seller",)),
+    }
+    assert {(r.doc, r.rel) for r in mapping.relations(found).filter("doc = 1").collect()} == {(1, "is_party_to"), (1, "has_total"), (1, "governed_by")}
+    none = found.withColumn("run", F.lit(1)).withColumn("deprecated_by", F.lit(None).cast("int")).limit(0)
+    one = mapping.refreshed(none, df, found, 1)
+    two = mapping.refreshed(one, df.filter("doc = 6"), found.filter("doc = 6"), 2)
+    three = {(r.doc, r.run, r.deprecated_by) for r in mapping.refreshed(two, df.filter("doc IN (5, 6)"), found.limit(0), 3).collect()}
+    assert three == {(1, 1, None), (2, 1, None), (6, 1, 2), (6, 2, 3)}
