@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import same_identity, tokens
+from ..functions.names import tokens, word_pairs
 from ..session import cut
 from .retrieval import few
+from .workspace import by_rarity
 
 
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -46,33 +47,85 @@ def related_documents(mentions: DataFrame, doc: str, names: int = 3) -> DataFram
     return met.select("other", F.size("c").alias("shared"), F.slice(F.array_sort("c"), 1, names).alias("names"))
 
 
-def cluster(mentions: DataFrame) -> DataFrame:
+def cluster(mentions: DataFrame, often: int = 64) -> DataFrame:
     """(id, root): transitive closure of ``same_identity`` among mentions (id, kind, canonical).
 
-    Equal forms are one.  Two others can only be the same if they share a token, or if the shorter lies in
-    the longer and has 55 % of its length or more; so forms meet on tokens, and on the substrings of that
-    length which a longer form holds and the shorter form is.
+    Equal forms are one, and only persons and organisations can be the same otherwise.  Their forms of the same
+    tokens are linked to the first of them, and then meet
+
+    * where the shorter lies in the longer and has 55 % of its length or more, on the substrings of that length;
+    * where a single token stands among others, on that token;
+    * where two tokens or more are all the tokens of one, on its two rarest, or more than half of all, on the pairs
+      that the rarest of each must have in common for that;
+    * at three edits or fewer, on a shared token, or where more than ``often`` forms share it, on the quarters of
+      one of them, as three edits leave one quarter in its place give or take three.
+
+    So a token that very many forms have makes no pairs by itself.
     """
     forms = mentions.groupBy("kind", "canonical").agg(F.min("id").alias("id"))
     size = F.length("canonical")
+    named = forms.filter(F.col("kind").isin("person", "org") & (size > 0)).withColumn("w", F.array_sort(tokens(F.col("canonical")))).filter(F.size("w") > 0)
     least = F.greatest(F.ceil(size * 0.55).cast("int"), F.lit(1))
     parts = F.flatten(F.transform(F.sequence(least, size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("canonical").substr(i, n))))
-    named = F.col("kind").isin("person", "org") & (size > 0)
-    token = forms.select("id", "kind", "canonical", F.explode(F.transform(tokens(F.col("canonical")), lambda t: F.concat(F.lit("="), t))).alias("block"))
-    whole = forms.filter(named).select("id", "kind", "canonical", F.col("canonical").alias("block"))
-    inner = forms.filter(named).select("id", "kind", "canonical", F.explode(F.array_distinct(parts)).alias("block"))
-
-    def met(x: DataFrame, y: DataFrame, other) -> DataFrame:
-        a, b = x.alias("a"), y.alias("b")
-        pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.block") == F.col("b.block")) & other)
-        return pairs.filter(same_identity(F.col("a.kind"), F.col("a.canonical"), F.col("b.canonical"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-    linked = met(token, token, F.col("a.id") < F.col("b.id")).unionByName(met(whole, inner, F.col("a.id") != F.col("b.id"))).distinct()
+    inner = named.select(F.col("id").alias("y"), "kind", F.explode(F.array_distinct(parts)).alias("block"))
+    inside = named.select(F.col("id").alias("x"), "kind", F.col("canonical").alias("block")).join(inner, ["kind", "block"]).filter("x <> y").select("x", "y")
+    sets = named.groupBy("kind", "w").agg(F.min("id").alias("id"))
+    alike = named.select("kind", "w", F.col("id").alias("y")).join(sets, ["kind", "w"]).filter("id <> y").select(F.col("id").alias("x"), "y")
+    linked = inside.unionByName(alike).unionByName(_shared_tokens(by_rarity(sets))).unionByName(_few_edits(named, often)).distinct()
     roots = label_components(forms.select("id"), linked).withColumnRenamed("id", "form")
     of = mentions.join(forms.withColumnRenamed("id", "form"), ["kind", "canonical"]).select("id", "form")
     return of.join(roots, "form").select("id", "root")
 
 
+def _shared_tokens(sets: DataFrame) -> DataFrame:
+    """(x, y) of different token sets (kind, id, w by rarity) of which one holds the other, or that share more than half of their tokens."""
+    n = F.size("w")
+    one = sets.filter(n == 1).select("kind", F.col("id").alias("x"), F.col("w")[0].alias("token"))
+    single = one.join(sets.filter(n >= 2).select("kind", F.col("id").alias("y"), F.explode("w").alias("token")), ["kind", "token"]).select("x", "y")
+    paired = lambda k, w: sets.filter(n >= k).select("kind", "id", "w", F.explode(word_pairs(w)).alias("pair"))
+
+    def met(a: DataFrame, b: DataFrame, same) -> DataFrame:
+        a, b = a.select("kind", "pair", F.col("id").alias("x"), F.col("w").alias("wx")), b.select("kind", "pair", F.col("id").alias("y"), F.col("w").alias("wy"))
+        return a.join(b, ["kind", "pair"]).filter(same).select("x", "y")
+
+    shared = F.size(F.array_intersect("wx", "wy"))
+    whole = met(paired(2, F.slice("w", 1, 2)), paired(3, F.col("w")), (F.size("wx") < F.size("wy")) & (shared == F.size("wx")))
+    # Sets that share more than half of all their tokens, but neither holding the other, share more than (n + 1) / 2 of the larger's.
+    prefix = F.slice("w", F.lit(1), n - F.floor((n + 1) / 2).cast("int") + 1)
+    half = met(paired(4, prefix), paired(4, prefix), (F.col("x") < F.col("y")) & (shared * 2 > F.size("wx") + F.size("wy") - shared))
+    return single.unionByName(whole).unionByName(half)
+
+
+def _few_edits(named: DataFrame, often: int, edits: int = 3) -> DataFrame:
+    """(x, y) of forms (kind, canonical, id, w) that share a token and are ``edits`` apart or less."""
+    each = named.select("kind", "id", "canonical", F.explode("w").alias("block"))
+    counts = each.groupBy("kind", "block").agg(F.count("*").alias("n"))
+    a = lambda df: df.select("kind", "block", F.col("id").alias("x"), F.col("canonical").alias("cx"))
+    b = lambda df: df.select("kind", "block", F.col("id").alias("y"), F.col("canonical").alias("cy"))
+    close = (F.abs(F.length("cx") - F.length("cy")) <= edits) & (F.levenshtein("cx", "cy", edits) >= 0) & F.arrays_overlap(tokens(F.col("cx")), tokens(F.col("cy")))
+    rare = each.join(counts.filter(F.col("n") <= often).select("kind", "block"), ["kind", "block"])
+    by_token = a(rare).join(b(rare), ["kind", "block"]).filter((F.col("x") < F.col("y")) & close)
+    # Forms of frequent tokens; those too short to be cut in quarters meet the short ones on their tokens.
+    common = each.join(counts.filter(F.col("n") > often).select("kind", "block"), ["kind", "block"])
+    long = F.length("canonical")
+    brief = a(common.filter(long <= edits)).join(b(common.filter(long <= 2 * edits)), ["kind", "block"]).filter((F.col("x") != F.col("y")) & close)
+    whole = common.filter(long > edits).select("kind", "id", "canonical").dropDuplicates(["id"])
+    cut_at = lambda i, n: F.floor(n * i / (edits + 1)).cast("int")
+    sizes = F.sequence(F.lit(0), F.lit(edits))
+    parts = F.transform(sizes, lambda i: F.xxhash64(long, i, F.col("canonical").substr(cut_at(i, long) + 1, cut_at(i + 1, long) - cut_at(i, long))))
+
+    def placed(n: Column, i: Column) -> Column:
+        """Where quarter ``i`` of a form of ``n`` characters may stand in this one: the edits before it are as many as quarters there, or else those behind it."""
+        at, size, more = cut_at(i, n), cut_at(i + 1, n) - cut_at(i, n), long - n
+        low, high = F.greatest(at - i, at + more - (edits - i), F.lit(0)), F.least(at + i, at + more + (edits - i), long - size)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda s: F.xxhash64(n, i, F.col("canonical").substr(s + 1, size)))).otherwise(F.array().cast("array<long>"))
+
+    lengths = F.filter(F.sequence(long - edits, long + edits), lambda n: n > edits)
+    places = F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(sizes, lambda i: placed(n, i))))))
+    by_part = a(whole.withColumn("block", F.explode(parts))).join(b(whole.withColumn("block", F.explode(places))), ["kind", "block"]).filter((F.col("x") != F.col("y")) & close)
+    return by_token.select("x", "y").unionByName(brief.select("x", "y")).unionByName(by_part.select("x", "y"))
+
+
 def label_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, root) by smallest label, each round joining labels along links and jumping to the label's label, until none changes."""
     links = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))))

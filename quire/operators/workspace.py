@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import word_pairs
+
+
+def by_rarity(sets: DataFrame, words: str = "w") -> DataFrame:
+    """Different ``sets``, those without words left out, with the words of each in the order of how few sets hold them, and in ``often`` how many hold each."""
+    each = sets.select(F.struct(*sets.columns).alias("_row"), F.explode(words).alias("_word"))
+    counts = each.groupBy("_word").agg(F.count("*").alias("_often"))
+    told = each.join(counts, "_word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_w"))
+    rest = [F.col(f"_row.{c}").alias(c) for c in sets.columns if c != words]
+    return told.select(*rest, F.transform("_w", lambda x: x["_word"]).alias(words), F.transform("_w", lambda x: x["_often"]).alias("often"))
+
+
+def subset_candidates(groups: DataFrame) -> DataFrame:
+    """(a, wa, b, wb) of names of which the shorter's two rarest words stand in the longer, so a word of all names pairs nothing."""
+    ranked = by_rarity(groups.select("name", F.array_distinct(F.split("name", " ")).alias("w")).distinct())
+    a = ranked.filter(F.size("w") >= 2).select(F.col("name").alias("a"), F.col("w").alias("wa"), F.explode(word_pairs(F.slice("w", 1, 2))).alias("pair"))
+    b = ranked.filter(F.size("w") >= 3).select(F.col("name").alias("b"), F.col("w").alias("wb"), F.explode(word_pairs(F.col("w"))).alias("pair"))
+    return a.join(b, "pair").filter(F.size("wa") < F.size("wb")).select("a", "wa", "b", "wb")
+
 
 def merge_name_subsets(groups: DataFrame) -> DataFrame:
     """(name, into): groups named by words fold into the largest group that holds all their words and more.
@@ -13,13 +32,9 @@ def merge_name_subsets(groups: DataFrame) -> DataFrame:
     Only names of two words or more fold; of equally large groups the first by name takes them.  The
     largest such group lies in no other, so one step is all there is.
     """
-    words = groups.select("name", F.array_distinct(F.split("name", " ")).alias("w")).distinct()
-    each = words.select("name", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a = each.filter("n >= 2").select(F.col("name").alias("a"), F.col("n").alias("na"), "word")
-    b = each.select(F.col("name").alias("b"), F.col("n").alias("nb"), "word")
-    held = a.join(b, "word").filter("na < nb").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared")).filter("shared = na")
-    best = held.groupBy(F.col("a").alias("name")).agg(F.min(F.struct((-F.col("nb")).alias("n"), "b"))["b"].alias("into"))
-    return words.select("name").join(best, "name", "left").select("name", F.coalesce("into", "name").alias("into"))
+    held = subset_candidates(groups).filter(F.size(F.array_except("wa", "wb")) == 0)
+    best = held.groupBy(F.col("a").alias("name")).agg(F.min(F.struct((-F.size("wb")).alias("n"), "b"))["b"].alias("into"))
+    return groups.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("into", "name").alias("into"))
 
 
 def names_on_file(asked: DataFrame, mentions: DataFrame) -> DataFrame:

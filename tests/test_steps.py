@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import names
+from quire.operators import graph, workspace
 from quire.operators import records as X
 
 ODD = ["1995-01-02", "02/01/1995", "13/01/1995", "31-02-2026", "3 JANUARY 1995", "May 3, 1995", "3-may-95", "+3-5-1995", "003/005/1995", "+12000-1-1", "-1995-1-1", " 1995-1-1", "1995-01-02\n", "3-MAY-+95", "3 Aprıl 1995", "0-1-1995", "1/+2/1995", "199-1-1", "", "29-2-2023", "29-2-2024", None]
@@ -15,7 +16,7 @@ def plan(df):
 
 @pytest.mark.parametrize("pattern", sorted({*X.DEADLINE_FORMATS, *names.DATE_FORMATS, "yyyy/M/d"}))
 def test_the_shape_of_a_date_turns_no_date_away(spark, pattern):
-    rows = spark.createDataFrame([(s,) for s in ODD], "s string").select("s", F.try_to_date("s", pattern).alias("a"), names.day(F.col("s"), pattern).alias("b")).collect()
+    rows = spark.createDataFrame([(s,) for s in ODD], "s string").select("s", F.try_to_date("s", pattern).cast("string").alias("a"), names.day(F.col("s"), pattern).cast("string").alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows)
     assert "RLIKE" in plan(spark.range(1).select(names.day(F.col("id").cast("string"), pattern)))
 
@@ -25,3 +26,36 @@ def test_alerts_parse_a_record_once(spark):
     found = X.alerts(docs, "1996-06-15")
     assert [(r["doc_id"], r["type"], r["days"]) for r in found.collect()] == [(1, "overdue", -135)]
     assert plan(found).count("from_json") == 1 and "get_json_object" not in plan(found)
+
+
+def test_identities_without_a_frequent_word(spark):
+    """All pairs of some hundred odd names by ``same_identity``, and one word that a thousand share."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    words = ["ann", "lee", "j", "bo", "goda", "marsh", "marsch", "o", "x1", "li"]
+    forms = {rng.choice([" ", "-", "  "]).join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(150)} | {"", "日本", "日本 x", "j", "ann-", "lee ann", "ann lee", "a b", "a c", "a-b"}
+    m = spark.createDataFrame([(i, kind, f) for i, (kind, f) in enumerate(itertools.product(("person", "date"), sorted(forms)))], "id long, kind string, canonical string")
+    a, b = m.select(*(F.col(c).alias(c + "_a") for c in m.columns)), m.select(*(F.col(c).alias(c + "_b") for c in m.columns))
+    same = a.join(b, (F.col("kind_a") == F.col("kind_b")) & (F.col("id_a") < F.col("id_b"))).filter(names.same_identity(F.col("kind_a"), F.col("canonical_a"), F.col("canonical_b"))).select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
+    root = {i: i for i in range(m.count())}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in same.collect():
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    for often in (0, 2, 64):
+        assert {r["id"]: r["root"] for r in graph.cluster(m, often).collect()} == {i: find(i) for i in root}
+
+
+def test_subsets_are_met_by_their_rarest_words(spark):
+    groups = spark.createDataFrame([(f"w{i} j v{i}",) for i in range(3000)] + [(f"v{i} w{i}",) for i in range(3000)] + [("j",), ("j k",), ("k j j",)], "name string")
+    found = workspace.merge_name_subsets(groups)
+    into = {r["name"]: r["into"] for r in found.collect()}
+    assert len(into) == 6003 and all(into[f"v{i} w{i}"] == f"w{i} j v{i}" for i in range(3000)) and into["j"] == "j" and into["k j j"] == "k j j"
+    assert workspace.subset_candidates(groups).count() < 20_000
