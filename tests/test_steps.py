@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import names
-from quire.operators import graph, workspace
+from quire.operators import graph, retrieval, workspace
 from quire.operators import records as X
 
 ODD = ["1995-01-02", "02/01/1995", "13/01/1995", "31-02-2026", "3 JANUARY 1995", "May 3, 1995", "3-may-95", "+3-5-1995", "003/005/1995", "+12000-1-1", "-1995-1-1", " 1995-1-1", "1995-01-02\n", "3-MAY-+95", "3 Aprıl 1995", "0-1-1995", "1/+2/1995", "199-1-1", "", "29-2-2023", "29-2-2024", None]
@@ -59,3 +59,16 @@ def test_subsets_are_met_by_their_rarest_words(spark):
     into = {r["name"]: r["into"] for r in found.collect()}
     assert len(into) == 6003 and all(into[f"v{i} w{i}"] == f"w{i} j v{i}" for i in range(3000)) and into["j"] == "j" and into["k j j"] == "k j j"
     assert workspace.subset_candidates(groups).count() < 20_000
+
+
+@pytest.mark.parametrize("block", [7, 1 << 14])
+def test_blocks_of_vectors_rank_as_pairs_do(spark, block):
+    rows = [(i, [float((i * 7 + j * j) % 5 - 2) for j in range(4)]) for i in range(60)]
+    rows += [(100, None), (101, [0.0] * 4), (102, [1.0, None, 2.0, 3.0]), (103, [1.0, 2.0]), (104, [float("nan")] * 4), (105, [float("inf"), 0.0, 0.0, 1.0]), (106, []), (107, rows[3][1])]
+    v = spark.createDataFrame(rows, "vid long, vec array<float>")
+    q = v.filter("vid % 5 = 0 OR vid > 99").select(F.col("vid").alias("qid"), "vec")
+    pairs = v.filter("vec IS NOT NULL").crossJoin(q.withColumnRenamed("vec", "qv"))
+    want = retrieval.top(pairs.select("qid", "vid", F.round(retrieval.cosine(F.col("vec"), F.col("qv")), 6).alias("sim")), ["qid"], [F.desc("sim"), F.asc("vid")], 5)
+    got = retrieval.cosine_topk(q, v, 5, block)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "BroadcastNestedLoopJoin" not in plan(got) and "Cartesian" not in plan(got)
