@@ -133,7 +133,9 @@ def promo(active: Column, expires: Column, now: Column, used: Column, most: Colu
 
 
 def vector_literal(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), ","), F.lit("]"))
+    """Text of a vector with six decimals, ties of the binary value to even; a float times a million is exact in a double below 2^33."""
+    six = lambda x: F.when(F.abs(x) < 2.0**33, F.rint(x * 1e6) / 1e6).otherwise(x)
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", six(x))), ","), F.lit("]"))
 
 
 def calendar_event(uid: Column, day: Column, title: Column) -> Column:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import names
+from quire import plans
+from quire.functions import names, shapes
 from quire.operators import graph, retrieval, workspace
 from quire.operators import records as X
 
@@ -72,3 +73,16 @@ def test_blocks_of_vectors_rank_as_pairs_do(spark, block):
     got = retrieval.cosine_topk(q, v, 5, block)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "BroadcastNestedLoopJoin" not in plan(got) and "Cartesian" not in plan(got)
+
+
+def test_names_are_taken_apart_once_and_paired_on_all_cores(spark, tmp_path):
+    spark.createDataFrame([(i, f"Supplier#{i:09d}") for i in range(1, 201)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = plans.QUERIES["ret_trgm"](spark, str(tmp_path))
+    assert found.count() == 4 * 199
+    join = plan(found).split("BroadcastNestedLoopJoin")
+    assert "regexp_extract_all" not in join[0] and "REPARTITION_BY_NUM" in join[1]
+
+
+def test_six_decimals_round_the_binary_value(spark):
+    row = spark.sql("SELECT array(cast(0.0000005 as float), cast(pow(2D, -7) as float), cast(3 * pow(2D, -7) as float), cast(-1e-9 as float), cast(12345.678 as float)) AS v").select(shapes.vector_literal(F.transform("v", lambda x: x.cast("double"))).alias("s"), "v").first()
+    assert row["s"] == "[" + ",".join(f"{x:.6f}" for x in row["v"]) + "]"
