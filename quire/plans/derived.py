@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import records as X
-from ..session import table
+from ..session import small_batches, table
 from ..sources import readers
 from .registry import query
 
 
 def _docs(spark, sf):
+    """All documents, handed to Python in small batches."""
+    small_batches(spark)
     return table(spark, sf, "documents")
 
 

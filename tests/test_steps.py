@@ -86,3 +86,15 @@ def test_names_are_taken_apart_once_and_paired_on_all_cores(spark, tmp_path):
 def test_six_decimals_round_the_binary_value(spark):
     row = spark.sql("SELECT array(cast(0.0000005 as float), cast(pow(2D, -7) as float), cast(3 * pow(2D, -7) as float), cast(-1e-9 as float), cast(12345.678 as float)) AS v").select(shapes.vector_literal(F.transform("v", lambda x: x.cast("double"))).alias("s"), "v").first()
     assert row["s"] == "[" + ",".join(f"{x:.6f}" for x in row["v"]) + "]"
+
+
+@pytest.mark.parametrize("name", ["pii_redact", "pii_vault", "chk_page", "dup_greedy"])
+def test_long_texts_reach_python_in_small_batches(spark, name):
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.unset(size)
+        plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(size).rstrip("b")) <= 16 << 20
+    finally:
+        spark.conf.set(size, before)
