@@ -98,3 +98,13 @@ def test_long_texts_reach_python_in_small_batches(spark, name):
         assert int(spark.conf.get(size).rstrip("b")) <= 16 << 20
     finally:
         spark.conf.set(size, before)
+
+
+def test_entities_go_by_ascii_words_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    texts = ["é2024-01-01é 12 Jan 2024", "ж5% 7\x0b% 8 %", "日a@b.co語 ünï@x.de", "éISO/IEC 27001 ISO/IEC\x0b27001", "a2024-01-01", None, "9.5%\n3 March 2020"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, plans.QUERIES["ent_regex"](spark, str(tmp_path)).collect())) == sorted(con.execute(plans.SQL["ent_regex"]).fetchall())
