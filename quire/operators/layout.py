@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Rows are words within so many points of each other; a gutter is sought in the middle of the page, by percent; a row
 # this wide across it stands alone; words that head the columns of a table.
@@ -21,62 +22,127 @@ def tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(numbers: Column, block: int = 16) -> Column:
+    """Sums of an array of integers up to each of its places, block by block, so that long arrays are not copied at each place."""
+    add = lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0).cast("long")) + x))
+    sums = lambda a: F.aggregate(a, F.array().cast("array<bigint>"), add)
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda i: sums(F.slice(a, i * block + 1, F.lit(block))))
+    moved = lambda parts, ends: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: x + F.get(ends, i - 1)))))
+    joined = lambda parts: let(sums(F.transform(parts, lambda p: F.element_at(p, -1))), lambda ends: moved(parts, ends))
+    return let(numbers, lambda a: F.when(F.size(a) > 0, let(cut(a), joined)).otherwise(F.array().cast("array<bigint>")))
+
+
 def located(words: DataFrame, values: DataFrame) -> DataFrame:
     """(page, field, first, last, x0, y0, x1, y1): where each value of a page stands, those found nowhere left out.
 
-    ``words`` has page, n (the word's place on the page, from 0), text and its box, ``values`` page, field and value.  The first
-    word that spells the whole value, three characters or more, wins; else the first run of words that spells its
+    ``words`` has page, n (the word's place on the page, from 0), text and its box, ``values`` page, field and value.  They meet
+    by page, each moved once; ``located_in`` says which place wins.
+    """
+    w = words.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text", "x0", "y0", "x1", "y1"))), lambda x: x.dropFields("n")).alias("words"))
+    v = values.groupBy("page").agg(F.collect_list(F.struct("field", "value")).alias("values"))
+    return located_in(w.join(v, "page"))
+
+
+def located_in(pages: DataFrame) -> DataFrame:
+    """As ``located``, of pages with their words in order (text and box) and values (field and value) as arrays: nothing is shuffled.
+
+    The first word that spells the whole value, three characters or more, wins; else the first run of words that spells its
     tokens one by one; else, of three tokens and more, the first run that misses one; else the first place of
-    its first two tokens.  Each token is looked up among the page's words, so long pages are not walked for each value.
+    its first two tokens.  A run must begin with one of the first two tokens in its place, so only those starts are read further.
     """
-    w = words.select("page", "n", normal(F.col("text")).alias("token")).filter("token <> ''")
-    v = values.filter(F.trim("value") != "").select("page", "field", normal(F.col("value")).alias("joined"), tokens(F.col("value")).alias("tokens"))
-    size = words.groupBy("page").agg((F.max("n") + 1).alias("words"))
-    one = v.filter(F.length("joined") >= 3).join(w, (v["page"] == w["page"]) & (F.col("joined") == F.col("token")))
-    one = one.groupBy(v["page"], "field").agg(F.min("n").alias("start")).select("page", "field", F.struct(F.lit(0).alias("way"), "start", F.lit(1).alias("m")).alias("x"))
-    m = F.size("tokens")
-    each = v.select("page", "field", m.alias("m"), F.posexplode("tokens").alias("i", "token"))
-    starts = each.join(w, ["page", "token"]).groupBy("page", "field", "m", (F.col("n") - F.col("i")).alias("start")).agg(F.count("*").alias("hit"), F.count_if(F.col("i") < 2).alias("head"))
-    starts = starts.join(size, "page").filter("start >= 0 AND m <= words")
-    whole = F.col("start") + F.col("m") <= F.col("words")
-    way = F.when(whole & (F.col("hit") == F.col("m")), 1).when(whole & (F.col("m") >= 3) & (F.col("hit") == F.col("m") - 1), 2).when((F.col("m") >= 2) & (F.col("head") == 2), 3)
-    runs = starts.withColumn("way", way).filter("way IS NOT NULL").select("page", "field", F.struct("way", "start", F.when(F.col("way") == 3, 2).otherwise(F.col("m")).alias("m")).alias("x"))
-    best = one.unionByName(runs).groupBy("page", "field").agg(F.min("x").alias("x")).select("page", "field", F.col("x.start").alias("first"), (F.col("x.start") + F.col("x.m") - 1).alias("last"))
-    spelled = best.select("page", "field", "first", "last", F.explode(F.sequence("first", "last")).alias("n")).join(words.select("page", "n", "x0", "y0", "x1", "y1"), ["page", "n"])
-    return spelled.groupBy("page", "field", "first", "last").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
+    def found(f: Column, v: Column) -> Column:
+        """(way, start, m) of the best place, the start from 0; null where there is none."""
+        k, m, n = v["tokens"], F.size(v["tokens"]), F.size(f)
+        spelled = F.array_position(f, v["joined"])
+        near = F.array_compact(F.transform(f, lambda t, i: F.when((t == F.get(k, F.lit(0))) | (F.get(f, i + 1) == F.get(k, F.lit(1))), i)))
+        hits = lambda s: F.size(F.filter(F.transform(k, lambda t, i: t == F.get(f, s + i)), lambda x: x))
+        head = lambda s: (m >= 2) & (F.get(f, s) == F.get(k, F.lit(0))) & (F.get(f, s + 1) == F.get(k, F.lit(1)))
+        way = lambda s, hit: F.when((s + m <= n) & (hit == m), 1).when((s + m <= n) & (m >= 3) & (hit == m - 1), 2).when(head(s), 3)
+        place = lambda s: let(hits(s), lambda hit: let(way(s, hit), lambda w: F.when(w.isNotNull(), F.struct(w.alias("way"), s.alias("start"), F.when(w == 3, 2).otherwise(m).alias("m")))))
+        return F.when((F.length(v["joined"]) >= 3) & (spelled > 0), F.struct(F.lit(0).alias("way"), (spelled - 1).cast("int").alias("start"), F.lit(1).alias("m"))).when(
+            (m > 0) & (m <= n), F.array_min(F.array_compact(F.transform(near, place))))
+
+    def box(x: Column, at: Column) -> Column:
+        held = F.slice("words", at["start"] + 1, at["m"])
+        side = lambda of, c: of(F.transform(held, lambda w: w[c])).alias(c)
+        return F.struct(x["field"].alias("field"), at["start"].alias("first"), (at["start"] + at["m"] - 1).alias("last"), side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+
+    said = F.filter("values", lambda x: F.trim(x["value"]) != "")
+    asked = F.transform(said, lambda x: F.struct(x["field"].alias("field"), normal(x["value"]).alias("joined"), tokens(x["value"]).alias("tokens")))
+    f = F.transform("words", lambda w: normal(w["text"]))
+    boxes = let(f, lambda f: F.array_compact(F.transform(asked, lambda x: let(found(f, x), lambda at: F.when(at.isNotNull(), box(x, at))))))
+    return pages.select("page", F.inline(boxes))
 
-def rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
-    """(page, row, words): visual rows from top to bottom, each an array of (x0, x1, text) from left to right.
 
-    A row ends where the next word's middle stands more than ``gap`` below the one before.
+def _in_rows(words: DataFrame, gap: float) -> tuple[DataFrame, Column]:
+    """Pages, and their ``page_rows`` as an expression: Spark would compute a column that is exploded twice, to see if it is empty."""
+    pages = words if "words" in words.columns else words.groupBy("page").agg(F.collect_list(F.struct("x0", "x1", "y0", "y1", "text")).alias("words"))
+    placed = F.sort_array(F.transform("words", lambda w: F.struct(((w["y0"] + w["y1"]) / 2).alias("cy"), w["x0"].alias("x0"), w["text"].alias("text"), w["x1"].alias("x1"))))
+
+    def parted(down: Column) -> Column:
+        starts = F.array_compact(F.transform(down, lambda w, i: F.when((i == 0) | (w["cy"] - F.get(down, i - 1)["cy"] > gap), i)))
+        row = lambda at, to: F.sort_array(F.transform(F.slice(down, at + 1, to - at), lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["text"].alias("text"))))
+        return let(starts, lambda s: F.transform(s, lambda at, i: row(at, F.coalesce(F.get(s, i + 1), F.size(down)))))
+
+    return pages, let(placed, parted)
+
+
+def page_rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
+    """(page, rows): the visual rows of each page from top to bottom, each an array of (x0, x1, text) from left to right.
+
+    ``words`` is a table of words or of pages, with their words as an array; a row ends where the next word's
+    middle stands more than ``gap`` below the one before.
     """
-    middle = (F.col("y0") + F.col("y1")) / 2
-    down = Window.partitionBy("page").orderBy("cy", "x0", "text")
-    marked = words.select("page", "x0", "x1", "text", middle.alias("cy")).withColumn("new", F.coalesce((F.col("cy") - F.lag("cy").over(down) > gap).cast("int"), F.lit(0)))
-    marked = marked.withColumn("row", F.sum("new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("page", "row").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
+    pages, found = _in_rows(words, gap)
+    return pages.select("page", found.alias("rows"))
 
 
-def gutters(lines: DataFrame, width: float, lines_from: int = 8) -> DataFrame:
-    """(page, gutter, split, crossing, rows) of the pages that are cleanly set in two columns.
+def rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
+    """(page, row, words): a row for each of the ``page_rows``, numbered from 0."""
+    pages, found = _in_rows(words, gap)
+    return pages.select("page", F.posexplode(found).alias("row", "words")).select("page", F.col("row").cast("long").alias("row"), "words")
+
+
+def gutter(lines: Column, width: float, lines_from: int = 8) -> Column:
+    """(gutter, split, crossing, rows) of a page's rows if it is cleanly set in two columns, else null.
 
     A gutter is the place that most rows are split by, words on both sides and none across it, and fewest cross; it
-    counts if at least four rows and 35 % are split and the crossing ones are a quarter of those at most.
+    counts if at least four rows and 35 % are split and the crossing ones are a quarter of those at most.  A row keeps the
+    places that are crossed, and those with words on both sides, as bits of two numbers.
     """
-    at = F.sequence(F.lit(GUTTER_FROM), F.lit(GUTTER_TO))
+    at = lambda k: width * k / 100.0
+    one = F.lit(1).cast("long")
+
+    def first(x: Column, ok: Callable[[Column, Column], Column]) -> Column:
+        """The least place that stands beyond ``x``, less the first place sought."""
+        k = lambda c: F.when(ok(at(c), x), c).when(ok(at(c + 1), x), c + 1).otherwise(c + 2)
+        return F.least(F.greatest(let(F.floor(x * 100 / width), k), F.lit(GUTTER_FROM)), F.lit(GUTTER_TO + 1)).cast("int") - GUTTER_FROM
+
+    beyond, reached = (lambda a, x: a > x), (lambda a, x: a >= x)
+    bits = lambda k, to: F.when(k < to, F.call_function("shiftleft", one, to) - F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("long"))
+    crossed = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.coalesce(bits(first(w["x0"], beyond), first(w["x1"], reached)), F.lit(0).cast("long"))))
+    parted = lambda r: F.coalesce(bits(first(F.array_min(F.transform(r, lambda w: w["x1"])), reached), first(F.array_max(F.transform(r, lambda w: w["x0"])), beyond)), F.lit(0).cast("long"))
+    told = F.transform(lines, lambda r: F.struct(crossed(r).alias("crossing"), parted(r).alias("split")))
+    has = lambda m, k: F.call_function("bit_get", m, k - GUTTER_FROM) == 1
+    crossing = lambda t, k: F.size(F.filter(t, lambda m: has(m["crossing"], k)))
+    split = lambda t, k: F.size(F.filter(t, lambda m: has(m["split"], k) & ~has(m["crossing"], k)))
+    tell = lambda t: F.array_max(F.transform(F.sequence(F.lit(GUTTER_FROM), F.lit(GUTTER_TO)), lambda k: F.struct(split(t, k).alias("split"), (-crossing(t, k)).alias("less"), (-k).alias("left"))))
+    clean = lambda b, n: (b["split"] >= F.greatest(F.lit(4), F.floor(0.35 * n))) & (-b["less"] <= 0.25 * F.greatest(F.lit(1), b["split"]))
+    n = F.size(lines)
+    counted = lambda b: F.struct((width * -b["left"] / 100.0).alias("gutter"), b["split"].cast("long").alias("split"), (-b["less"]).cast("long").alias("crossing"), n.cast("long").alias("rows"))
+    return F.when(n >= lines_from, let(let(told, tell), lambda b: F.when(clean(b, n), counted(b))))
 
-    def tell(k: Column) -> Column:
-        x = width * k / 100.0
-        crossing = F.exists("words", lambda w: (w["x0"] < x) & (w["x1"] > x))
-        split = F.exists("words", lambda w: w["x1"] <= x) & F.exists("words", lambda w: w["x0"] >= x)
-        return F.struct(k.alias("k"), crossing.cast("int").alias("crossing"), (~crossing & split).cast("int").alias("split"))
 
-    told = lines.select("page", F.explode(F.transform(at, tell)).alias("x"))
-    sums = told.groupBy("page", "x.k").agg(F.sum("x.split").alias("split"), F.sum("x.crossing").alias("crossing"), F.count("*").alias("rows"))
-    best = sums.groupBy("page").agg(F.max(F.struct("split", (-F.col("crossing")).alias("less"), (-F.col("k")).alias("left"), "rows")).alias("x")).select("page", "x.*")
-    clean = (F.col("rows") >= lines_from) & (F.col("split") >= F.greatest(F.lit(4), F.floor(0.35 * F.col("rows")))) & (-F.col("less") <= 0.25 * F.greatest(F.lit(1), F.col("split")))
-    return best.filter(clean).select("page", (width * -F.col("left") / 100.0).alias("gutter"), "split", (-F.col("less")).alias("crossing"), "rows")
+def gutters(lines: DataFrame, width: float, lines_from: int = 8) -> DataFrame:
+    """(page, gutter, split, crossing, rows) of the pages that have a ``gutter``; ``lines`` are ``rows`` or ``page_rows``."""
+    pages = lines if "rows" in lines.columns else lines.groupBy("page").agg(F.collect_list("words").alias("rows"))
+    return pages.select("page", F.inline(F.array_compact(F.array(let(F.col("rows"), lambda r: gutter(r, width, lines_from))))))
 
 
 def heading(text: Column) -> Column:
@@ -91,29 +157,36 @@ def columns(words: DataFrame, width: float, headings: int = 2, gap: float = ROW_
     word across the gutter going to the side of its middle.  Pages with fewer than ``headings`` headings in either
     column, with two rows of table heads on the right, or whose right side parts again, are tables or forms and left out.
     """
-    lines = rows(words, gap)
-    cut = lines.join(gutters(lines, width).select("page", "gutter"), "page")
-    ends = F.transform("words", lambda w: w["x1"])
-    crossed = F.exists("words", lambda w: (w["x0"] < F.col("gutter")) & (w["x1"] > F.col("gutter")))
-    full = crossed & (F.array_max(ends) - F.col("words")[0]["x0"] >= FULL * width)
     said = lambda c: F.array_join(F.transform(c, lambda w: w["text"]), " ")
-    parted = cut.withColumn("full", full).select(
-        "page", "row", "full", "gutter", said(F.col("words")).alias("whole"),
-        F.filter("words", lambda w: F.when((w["x0"] < F.col("gutter")) & (w["x1"] > F.col("gutter")), (w["x0"] + w["x1"]) / 2 < F.col("gutter")).otherwise(w["x1"] <= F.col("gutter"))).alias("l"),
-        F.filter("words", lambda w: F.when((w["x0"] < F.col("gutter")) & (w["x1"] > F.col("gutter")), (w["x0"] + w["x1"]) / 2 >= F.col("gutter")).otherwise(w["x0"] >= F.col("gutter"))).alias("r"),
-    )
-    strict = lambda c, ok: said(F.filter(c, ok))
-    left = strict("l", lambda w: w["x1"] <= F.col("gutter"))
-    right = strict("r", lambda w: w["x0"] >= F.col("gutter"))
-    heads = F.size(F.array_intersect(F.split(F.lower(right), r"\s+"), F.array(*map(F.lit, TABLE_HEADS)))) > 0
-    told = parted.groupBy("page").agg(F.count_if(~F.col("full") & heading(left)).alias("lh"), F.count_if(~F.col("full") & heading(right)).alias("rh"), F.count_if(heads).alias("heads"))
-    again = gutters(parted.select("page", F.filter("r", lambda w: w["x0"] >= F.col("gutter")).alias("words")).filter(F.size("words") > 0), width).select("page")
-    kept = told.filter((F.col("lh") >= headings) & (F.col("rh") >= headings) & (F.col("heads") < 2)).select("page").join(again, "page", "left_anti")
-    down = Window.partitionBy("page").orderBy("row")
-    # A full row is a band of its own: it ends the one before and the next row starts another.
-    edge = F.col("full").cast("int") + F.coalesce(F.lag("full").over(down).cast("int"), F.lit(0))
-    banded = parted.join(kept, "page", "left_semi").withColumn("edge", edge)
-    banded = banded.withColumn("band", F.sum("edge").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    sides = F.when(F.col("full"), F.array(F.struct(F.lit(0).alias("side"), F.col("whole").alias("text")))).otherwise(F.array(F.struct(F.lit(1).alias("side"), said(F.col("l")).alias("text")), F.struct(F.lit(2).alias("side"), said(F.col("r")).alias("text"))))
-    read = banded.select("page", "band", "row", F.explode(sides).alias("x")).select("page", "band", "row", "x.side", "x.text").filter(F.trim("text") != "")
-    return read.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("band", "side", "row"))).select("page", "pos", "band", "side", "text")
+
+    def part(row: Column, g: Column) -> Column:
+        across = lambda w: (w["x0"] < g) & (w["x1"] > g)
+        middle = lambda w: (w["x0"] + w["x1"]) / 2
+        full = F.exists(row, across) & (F.array_max(F.transform(row, lambda w: w["x1"])) - row[0]["x0"] >= FULL * width)
+        l = F.filter(row, lambda w: F.when(across(w), middle(w) < g).otherwise(w["x1"] <= g))  # noqa: E741
+        r = F.filter(row, lambda w: F.when(across(w), middle(w) >= g).otherwise(w["x0"] >= g))
+        return F.struct(full.alias("full"), row.alias("whole"), l.alias("l"), r.alias("r"))
+
+    def kept(parts: Column, g: Column) -> Column:
+        right = lambda p: F.filter(p["r"], lambda w: w["x0"] >= g)
+        left = lambda p: F.filter(p["l"], lambda w: w["x1"] <= g)
+        many = lambda ok: F.size(F.filter(parts, ok))
+        headed = lambda side: many(lambda p: ~p["full"] & let(said(side(p)), heading)) >= headings
+        heads = many(lambda p: F.size(F.array_intersect(F.split(F.lower(said(right(p))), r"\s+"), F.array(*map(F.lit, TABLE_HEADS)))) > 0)
+        again = let(F.filter(F.transform(parts, right), lambda r: F.size(r) > 0), lambda r: gutter(r, width))
+        ok = (heads < 2) & again.isNull()
+        return headed(left) & headed(right) & ok if headings else ok
+
+    def read(parts: Column) -> Column:
+        # A full row is a band of its own: it ends the one before and the next row starts another.
+        edges = F.transform(parts, lambda p, i: p["full"].cast("int") + F.coalesce(F.get(parts, i - 1)["full"].cast("int"), F.lit(0)))
+        side = lambda band, i, k, words: F.struct(band.alias("band"), F.lit(k).alias("side"), i.alias("row"), said(words).alias("text"))
+        sides = lambda p, i, band: F.when(p["full"], F.array(side(band, i, 0, p["whole"]))).otherwise(F.array(side(band, i, 1, p["l"]), side(band, i, 2, p["r"])))
+        each = let(running(edges), lambda bands: F.flatten(F.transform(parts, lambda p, i: sides(p, i, F.get(bands, i)))))
+        return F.sort_array(F.filter(each, lambda x: F.trim(x["text"]) != ""))
+
+    def ordered(lines: Column) -> Column:
+        return let(gutter(lines, width)["gutter"], lambda g: F.when(g.isNotNull(), let(F.transform(lines, lambda row: part(row, g)), lambda parts: F.when(kept(parts, g), read(parts)))))
+
+    laid = page_rows(words, gap).select("page", F.posexplode(let(F.col("rows"), ordered)).alias("pos", "x"))
+    return laid.select("page", (F.col("pos") + 1).alias("pos"), "x.band", "x.side", "x.text")

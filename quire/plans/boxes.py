@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import layout as L
 from ..session import table
 from .registry import query
 
+#: What RE2 takes for \\S+; Java takes a vertical tab for white space as well.
+WORD = r"[^\t\n\f\r ]+"
 BOXES = r"""l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS y FROM documents),
 w AS (SELECT page, y, i, a[i] AS text, list_sum(list_transform(a[1:i], lambda x: length(x) + 1)) - length(a[i]) - 1 AS x FROM (SELECT page, y, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page, y, regexp_extract_all(line, '\S+') AS a FROM l))),
 words AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y, i) - 1 AS INTEGER) AS n, text, CAST(x * 5 AS DOUBLE) AS x0, CAST(y * 12 AS DOUBLE) AS y0, CAST((x + length(text)) * 5 AS DOUBLE) AS x1, CAST(y * 12 + 10 AS DOUBLE) AS y1, y FROM w)"""
 
 
-def _words(spark, sf):
-    """(page, n, text, x0, y0, x1, y1, y): words of all documents, five points a character and twelve a line."""
-    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("y", "line"))
-    found = F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))
-    each = lines.select("page", "y", F.posexplode(found).alias("i", "text"))
-    x = F.sum(F.length("text") + 1).over(Window.partitionBy("page", "y").orderBy("i")) - F.length("text") - 1
-    n = (F.row_number().over(Window.partitionBy("page").orderBy("y", "i")) - 1).cast("int")
-    box = {"x0": F.col("x") * 5.0, "y0": F.col("y") * 12.0, "x1": (F.col("x") + F.length("text")) * 5.0, "y1": F.col("y") * 12.0 + 10}
-    return each.withColumn("x", x).select("page", n.alias("n"), "text", *(c.alias(k) for k, c in box.items()), "y")
+def _pages(spark, sf):
+    """(page, words): the words of all documents, each with text, x0, y0, x1, y1 and y: five points a character and twelve a line.
+
+    A page is made where its document stands; only documents of one id are brought together.
+    """
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.array("text").alias("texts"))
+    if not docs.groupBy("page").count().filter("count > 1").isEmpty():
+        docs = docs.groupBy("page").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    box = lambda w, end, y: F.struct(w.alias("text"), ((end - F.length(w)) * 5.0).alias("x0"), (y * 12.0).alias("y0"), (end * 5.0).alias("x1"), (y * 12.0 + 10).alias("y1"), y.alias("y"))
+    placed = lambda found, y: F.zip_with(found, L.running(F.transform(found, lambda w: F.length(w) + 1)), lambda w, end: box(w, end - 1, y))
+    line = lambda c, y: L.let(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda found: placed(found, y))
+    words = F.flatten(F.transform(F.array_compact("texts"), lambda t: F.flatten(F.transform(F.split(t, "\n"), line))))
+    return docs.filter("exists(texts, t -> t IS NOT NULL)").select("page", words.alias("words"))
 
 
 @query("q_locate", rf"""
@@ -40,12 +45,10 @@ SELECT page, field, CAST(start AS INTEGER) AS first, CAST(start + m - 1 AS INTEG
 FROM b JOIN words USING (page) WHERE n BETWEEN start AND start + m - 1 GROUP BY 1, 2, 3, 4""")
 def q_locate(spark, sf):
     """Five values of each document, cut from its own words: a run, one with a wrong word, one whose head alone is right, its last word, and one that is not there."""
-    words = _words(spark, sf)
-    t = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
-    at = lambda i: F.coalesce(F.get("t", F.lit(i)), F.lit(""))
-    made = {"run": F.concat(at(5), F.lit("-"), at(6), F.lit(" "), at(7)), "garbled": F.concat(at(2), F.lit(" zzzz "), at(4)), "head": F.concat(at(1), F.lit(" "), at(2), F.lit(" qqqq rrrr ssss")), "last": F.element_at("t", -1), "none": F.lit("never there")}
-    values = words.groupBy("page").agg(t.alias("t")).select("page", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), c.alias("value")) for k, c in made.items()))).alias("x")).select("page", "x.*")
-    return L.located(words, values)
+    at = lambda i: F.coalesce(F.get("words", F.lit(i))["text"], F.lit(""))
+    made = {"run": F.concat(at(5), F.lit("-"), at(6), F.lit(" "), at(7)), "garbled": F.concat(at(2), F.lit(" zzzz "), at(4)), "head": F.concat(at(1), F.lit(" "), at(2), F.lit(" qqqq rrrr ssss")), "last": F.get("words", F.size("words") - 1)["text"], "none": F.lit("never there")}
+    values = F.array(*(F.struct(F.lit(k).alias("field"), c.alias("value")) for k, c in made.items()))
+    return L.located_in(_pages(spark, sf).select("page", "words", values.alias("values")))
 
 
 #: Documents as pages of two columns: lines turn by turn on the left and on the right, eight words of each at most in a row.
@@ -56,11 +59,13 @@ rowed AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y0, x0, text ROWS
 
 
 def _two_columns(spark, sf):
-    words = _words(spark, sf)
-    fold = F.floor(F.col("x0") / 270)
-    x0 = F.col("x0") - fold * 270 + 310.0 * (F.col("y") % 2)
-    y0 = F.floor(F.col("y") / 2) * 60 + fold % 5 * 12.0
-    return words.select("page", "text", x0.alias("x0"), (x0 + F.col("x1") - F.col("x0")).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
+    def side(w):
+        fold, y = F.floor(w["x0"] / 270), w["y"]
+        x0 = w["x0"] - fold * 270 + 310.0 * (y % 2)
+        y0 = F.floor(y / 2) * 60 + fold % 5 * 12.0
+        return F.struct(w["text"].alias("text"), x0.alias("x0"), (x0 + w["x1"] - w["x0"]).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
+
+    return _pages(spark, sf).select("page", F.transform("words", side).alias("words"))
 
 
 @query("pdf_rows", f"WITH {SIDES} SELECT page, CAST(r AS BIGINT) AS row, count(*) AS words, min(x0) AS x0, max(x1) AS x1 FROM rowed GROUP BY 1, 2")
@@ -75,7 +80,7 @@ s AS (SELECT page, k, count(*) FILTER (WHERE split AND NOT crossing) AS split, c
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY split DESC, crossing, k) = 1)
 SELECT page, 6e0 * k AS gutter, split, crossing, rows FROM b WHERE rows >= 8 AND split >= greatest(4, floor(0.35 * rows)) AND crossing <= 0.25 * greatest(1, split)""")
 def pdf_gutter(spark, sf):
-    return L.gutters(L.rows(_two_columns(spark, sf)), 600.0)
+    return L.gutters(L.page_rows(_two_columns(spark, sf)), 600.0)
 
 
 @query("src_pdf_columns")
