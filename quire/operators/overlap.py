@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
+from ..session import small_batches
 from .documents import nfkc, pack
+from .search import Patterns
 
 MARK = r"<!-- block:(b_\w+) -->"
 
@@ -102,28 +107,56 @@ def annotated_chunks(docs: DataFrame, key: str, column: str, target: int = 1000,
     return blocks_of(packed(found, key, target, overlap), found, key)
 
 
+def lines_of_pages(pages: DataFrame, margin: float = 0.02, n: int = 4) -> DataFrame:
+    """``lines_of_chunks`` of pages that hold their chunks and lines as arrays: (page, chunk, lines), nothing is shuffled.
+
+    ``pages`` has page, chunks (chunk, kind, text, y0, y1) and lines (line, y0, h, text).  Lines are looked up in the chunks
+    of their page by their rarest n-grams (``search.Patterns``), so a page is read once, not once a line.
+    """
+    small_batches(pages.sparkSession)
+    of = lambda column, field: pages.schema[column].dataType.elementType[field].dataType.simpleString()
+    # Empty texts hold no line; unboxed tables are as those whose box touches none.
+    box = lambda c: (c["y0"] < c["y1"]) & (c["y0"] >= 0)
+    chunk = lambda c: F.struct(
+        c["chunk"].alias("chunk"), (c["kind"] == "table").alias("table"), F.when(c["kind"] != "table", F.lower(F.trim(c["text"]))).alias("text"),
+        F.when(box(c), F.greatest(c["y0"] - margin, F.lit(0.0))).alias("y0"), F.when(box(c), F.least(c["y1"] + margin, F.lit(1.0))).alias("y1"))
+    line = lambda x: F.struct(x["line"].alias("line"), x["y0"].alias("top"), (x["y0"] + x["h"]).alias("bottom"), F.lower(x["text"]).alias("held"))
+    full = F.array_sort(F.transform(F.filter(F.coalesce("lines", F.array()), lambda x: F.length(x["text"]) > 0), lambda x: F.struct(x["y0"].alias("top"), line(x).alias("x"))))
+    read = pages.select("page", F.transform("chunks", chunk).alias("chunks"), F.transform(full, lambda x: x["x"]).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, chunks, lists = [], [], []
+            for k, (own, lines) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                number, held = [x["line"] for x in lines], [x["held"] for x in lines]
+                top, bottom = (np.array([np.nan if x[c] is None else x[c] for x in lines], float) for c in ("top", "bottom"))
+                places = defaultdict(list)
+                for i, x in enumerate(held):
+                    places[x].append(i)
+                texts, values = [c["text"] or "" for c in own], [*places]
+                inside = defaultdict(list)
+                for t, p in Patterns(values, n).find(texts) if any(texts) else ():
+                    inside[t] += places[values[p]]
+                for t, c in enumerate(own):
+                    met = sorted(inside[t])
+                    if c["table"]:
+                        met = [] if c["y0"] is None or c["y0"] > c["y1"] else np.flatnonzero((bottom >= c["y0"]) & (top <= c["y1"]) & (bottom >= top)).tolist()
+                        met = met or range(len(lines))
+                    at.append(k), chunks.append(c["chunk"]), lists.append([number[i] for i in met] or None)
+            schema = batch.schema.field("chunks").type.value_type.field("chunk").type, batch.schema.field("lines").type.value_type.field("line").type
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(chunks, schema[0]), pa.array(lists, pa.list_(schema[1]))], ["page", "chunk", "lines"])
+
+    return read.mapInArrow(run, f"page {pages.schema['page'].dataType.simpleString()}, chunk {of('chunks', 'chunk')}, lines array<{of('lines', 'line')}>")
+
+
 def lines_of_chunks(chunks: DataFrame, lines: DataFrame, margin: float = 0.02, n: int = 4) -> DataFrame:
     """(page, chunk, lines): the lines of its page that each chunk covers, by place, null where there are none.
 
     ``chunks`` has page, chunk, kind, text, y0 and y1 (shares of the page's height, null without a box), ``lines``
     page, line, y0, h and text.  A table covers the lines its box touches, give or take ``margin``, or without box or
-    touch all of its page; any other chunk the lines whose text it holds.  Lines without text cover nothing.  A line of
-    ``n`` characters or more meets the chunks that hold its first ``n``; shorter ones are held against their page's.
+    touch all of its page; any other chunk the lines whose text it holds.  Lines without text cover nothing.  Chunks and
+    lines of a page meet in one row.
     """
-    full = lines.filter(F.length("text") > 0).select("page", "line", F.col("y0").alias("top"), (F.col("y0") + F.col("h")).alias("bottom"), F.lower("text").alias("held"))
-    tables = chunks.filter("kind = 'table'")
-    boxed = tables.filter("y0 < y1 AND y0 >= 0").select("page", "chunk", (F.greatest(F.col("y0") - margin, F.lit(0.0))).alias("y0"), F.least(F.col("y1") + margin, F.lit(1.0)).alias("y1"))
-    touched = box_overlaps(
-        boxed.select("page", "chunk", F.lit(0.0).alias("ax0"), F.col("y0").alias("ay0"), F.lit(0.0).alias("ax1"), F.col("y1").alias("ay1")),
-        full.select("page", "line", "top", F.lit(0.0).alias("bx0"), F.col("top").alias("by0"), F.lit(0.0).alias("bx1"), F.col("bottom").alias("by1")),
-        ["page"], 1.0, 0.1,
-    ).select("page", "chunk", "line", "top")
-    rest = tables.select("page", "chunk").join(touched.select("page", "chunk"), ["page", "chunk"], "left_anti").join(full.select("page", "line", "top"), "page")
-    texts = chunks.filter("kind <> 'table'").select("page", "chunk", F.lower(F.trim("text")).alias("text")).filter(F.length("text") > 0)
-    heads = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.col("text").substr(i, F.lit(n)))))
-    by_head = texts.filter(F.length("text") >= n).select("page", "chunk", "text", heads.alias("head")).join(full.filter(F.length("held") >= n).withColumn("head", F.col("held").substr(1, n)), ["page", "head"])
-    short = texts.join(full.filter(F.length("held") < n), "page")
-    inside = by_head.drop("head").unionByName(short).filter(F.contains("text", "held")).select("page", "chunk", "line", "top")
-    met = touched.unionByName(rest.select("page", "chunk", "line", "top")).unionByName(inside)
-    lists = met.groupBy("page", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("top", "line"))), lambda x: x["line"]).alias("lines"))
-    return chunks.select("page", "chunk").join(lists, ["page", "chunk"], "left")
+    whole = lambda df, name, *columns: df.groupBy("page").agg(F.collect_list(F.struct(*columns)).alias(name))
+    pages = whole(chunks, "chunks", "chunk", "kind", "text", "y0", "y1").join(whole(lines, "lines", "line", "y0", "h", "text"), "page", "left")
+    return lines_of_pages(pages, margin, n)

@@ -7,7 +7,7 @@ import pytest
 from quire import plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ret_lexical", "win_rank_lists", "ret_fairness", "ret_keyword_docs", "ret_graph"]
+NAMES = ["ret_lexical", "win_rank_lists", "ret_fairness", "ret_keyword_docs", "ret_graph", "txt_lines_spatial"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -50,6 +50,22 @@ def test_keywords_are_looked_up_where_texts_stand(spark, monkeypatch):
     assert "term#" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_meet_the_chunks_of_their_page_in_one_row(spark):
+    from quire.operators import overlap
+
+    kind = "page int, chunks array<struct<chunk:int,kind:string,text:string,y0:double,y1:double>>, lines array<struct<line:int,y0:double,h:double,text:string>>"
+    lines = [(i, i / 50, 0.02, t) for i, t in enumerate(["Total", "ab", "", None, "total", "x" * 900, *(f"row {i}" for i in range(44))])]
+    chunks = [(0, "text", " the TOTAL, ab " + "x" * 899, None, None), (1, "table", "t", 0.5, 0.52), (2, "table", "t", None, None), (3, None, "total", 0.0, 1.0), (4, "text", "row 1", None, None), (5, "text", "x" * 901, None, None)]
+    rows = [(1, chunks, lines), (2, chunks[:1], []), (3, chunks[1:2], None), (4, [], lines)]
+    found = overlap.lines_of_pages(spark.createDataFrame(rows, kind))
+    got = {(r.page, r.chunk): r.lines for r in found.collect()}
+    full = [i for i, *_, t in lines if t]
+    near = [i for i in full if (i / 50) + 0.02 >= 0.48 and i / 50 <= 0.54]
+    assert got == {(1, 0): [0, 1, 4], (1, 1): near, (1, 2): full, (1, 3): None, (1, 4): [7], (1, 5): [5], (2, 0): None, (3, 1): None}
+    if os.path.isdir(SF):
+        assert "Exchange" not in plans.QUERIES["txt_lines_spatial"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_each_script_is_counted_once(spark):
     from pyspark.sql import functions as F
 
