@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..session import cut
+from ..session import small_batches
 
 # Words of field names by the kind of entity a value there names, and fields that name none.
 LOCATIONS = ("jurisdiction", "country", "address", "city", "state", "province", "region", "location", "place_of_birth", "issuing_country")
@@ -34,50 +39,73 @@ def leaves(docs: DataFrame, fields: str = "fields", depth: int = 8, items: int =
     """(doc, field, value): the strings of nested records, each under the nearest field name above it.
 
     An object that has a name, or else a value, that is a string stands for that string; of an array the
-    first ``items`` entries count.  Each level is one explode of the objects and arrays of the level above,
-    ``depth`` levels at most; numbers, flags, broken records and the SKIPPED fields name nothing.
+    first ``items`` entries count.  A record is parsed and read where it stands, ``depth`` levels at most, so
+    nothing is shuffled or written; numbers, flags, broken records and the SKIPPED fields name nothing.
     """
-    spark, out = docs.sparkSession, None
-    level = docs.select("doc", F.lit("").alias("above"), F.try_parse_json(F.col(fields)).alias("v"))
-    text = lambda v, path="$": F.try_variant_get(v, path, "string")
-    for _ in range(depth):
-        each = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("doc", "above", "pos", "key", "value")
-        each = each.filter(F.col("key").isNull() | ~F.col("key").isin(*SKIPPED)).filter(F.col("key").isNotNull() | (F.col("pos") < items))
-        shape = F.schema_of_variant("value")
-        each = each.withColumn("shape", F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string")).filter("shape IS NOT NULL")
-        named = lambda path: F.when(F.schema_of_variant(F.variant_get("value", path, "variant")) == "STRING", text(F.col("value"), path))
-        said = F.when((F.col("shape") == "object") & F.col("key").isNotNull(), F.coalesce(F.nullif(F.trim(named("$.name")), F.lit("")), F.nullif(F.trim(named("$.value")), F.lit(""))))
-        each = cut(each.withColumn("field", F.coalesce("key", "above")).withColumn("said", F.when(F.col("shape") == "string", text(F.col("value"))).otherwise(said)).select("doc", "key", "value", "shape", "field", "said"))
-        if each.isEmpty() and out is not None:
-            break
-        found = each.filter("said IS NOT NULL").select("doc", "field", F.col("said").alias("value"))
-        out = found if out is None else out.unionByName(found)
-        # A list within a list is not looked into.
-        level = each.filter("said IS NULL AND (shape = 'object' OR (shape = 'array' AND key IS NOT NULL))").select("doc", F.col("field").alias("above"), F.col("value").alias("v"))
-    return out
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc"].dataType.simpleString()
+    skipped = frozenset(SKIPPED)
+
+    def read(v: dict | list, above: str, left: int, out: list[tuple[str, str]]) -> None:
+        for key, x in v.items() if isinstance(v, dict) else ((None, x) for x in v[:items]):
+            if key in skipped:
+                continue
+            field = above if key is None else key
+            if isinstance(x, str):
+                out.append((field, x))
+            elif isinstance(x, dict):
+                said = key is not None and next((t for t in (x.get("name"), x.get("value")) if isinstance(t, str) and t.strip(" ")), None)
+                if said:
+                    out.append((field, said.strip(" ")))
+                elif left > 1:
+                    read(x, field, left - 1, out)
+            elif isinstance(x, list) and key is not None and left > 1:  # a list within a list is not looked into
+                read(x, field, left - 1, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda x: pa.array([t if t.isascii() else t.encode("utf-8", "replace").decode() for t in x], pa.string())
+        decode = json.JSONDecoder(parse_int=len, parse_float=len, strict=False).raw_decode  # numbers name nothing
+        for batch in batches:
+            found, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                before, v = len(found), decode(text.lstrip(" \t\r\n\ufeff"))[0]
+                if isinstance(v, (dict, list)):
+                    read(v, "", depth, found)
+                sizes.append(len(found) - before)
+            at = np.repeat(np.arange(batch.num_rows), np.array(sizes, int))
+            yield pa.record_batch([batch.column(0).take(pa.array(at)), plain(f for f, _ in found), plain(t for _, t in found)], ["doc", "field", "value"])
+
+    # What Spark cannot parse is broken, whatever Python makes of it.
+    whole = docs.select("doc", F.col(fields).alias("fields")).filter(F.try_parse_json("fields").isNotNull())
+    return whole.mapInArrow(run, f"doc {kind}, field string, value string")
 
 
 def kind_of(field: Column) -> Column:
     """location, date, money, identifier or party by the words in a field's name, the narrower first."""
-    low = F.lower(field)
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    return F.when(has(LOCATIONS), "location").when(has(DATES), "date").when(has(MONEY), "money").when(has(IDENTIFIERS), "identifier").when(has(PARTIES), "party")
+    has = lambda low, words: low.rlike("|".join(words))
+    return names.let(F.lower(field), lambda low: F.when(has(low, LOCATIONS), "location").when(has(low, DATES), "date").when(has(low, MONEY), "money").when(has(low, IDENTIFIERS), "identifier").when(has(low, PARTIES), "party"))
 
 
 def entities(found: DataFrame) -> DataFrame:
-    """(doc, kind, canonical, text, roles) of the ``leaves`` of records; joint holders are one entity each."""
-    kinds = found.withColumn("kind", kind_of(F.col("field"))).filter("kind IS NOT NULL AND length(value) >= 2").withColumn("value", F.trim("value")).filter("value <> ''")
-    people = names.split_people(F.col("value"))
-    parts = kinds.select("doc", "field", "kind", F.explode(F.when(F.col("kind") == "party", people).otherwise(F.array("value"))).alias("text"), (F.size(people) > 1).alias("joint"))
-    upper = F.concat(F.lit(" "), F.upper("text"))
-    org = ~F.col("joint") & F.exists(F.array(*map(F.lit, ORGANISATIONS)), lambda t: F.contains(upper, t))
-    kind = F.when(F.col("kind") != "party", F.col("kind")).when(org, "org").otherwise("person")
-    parts = parts.withColumn("kind", kind)
+    """(doc, kind, canonical, text, roles) of the ``leaves`` of records; joint holders are one entity each.
+
+    Kind, parts and canonical form are each exploded out of an array: so they are computed once, where a
+    filter on them would be pushed down and have them computed again.
+    """
+    once = lambda c, keep: F.explode(F.filter(F.array(c), keep))
+    long = found.filter("length(value) >= 2").select("doc", "field", F.trim("value").alias("value")).filter("value <> ''")
+    kinds = long.select("doc", "field", "value", once(kind_of(F.col("field")), lambda k: k.isNotNull()).alias("kind"))
+    part = lambda text, joint: F.struct(text.alias("text"), joint.alias("joint"))
+    people = names.let(names.split_people(F.col("value")), lambda p: F.transform(p, lambda x: part(x, F.size(p) > 1)))
+    parts = kinds.select("doc", "field", "kind", F.explode(F.when(F.col("kind") == "party", people).otherwise(F.array(part(F.col("value"), F.lit(False))))).alias("x"))
+    org = lambda x: ~x["joint"] & names.let(F.concat(F.lit(" "), F.upper(x["text"])), lambda upper: F.exists(F.array(*map(F.lit, ORGANISATIONS)), lambda t: F.contains(upper, t)))
+    kind = F.when(F.col("kind") != "party", F.col("kind")).when(org(F.col("x")), "org").otherwise("person")
+    parts = parts.select("doc", "field", F.col("x.text").alias("text"), once(kind, lambda k: F.lit(True)).alias("kind"))
     canonical = (
         F.when(F.col("kind") == "org", names.canon_org(F.col("text"))).when(F.col("kind") == "person", names.canon_name_sorted(F.col("text"))).when(F.col("kind") == "date", names.canon_date(F.col("text")))
         .when(F.col("kind") == "money", names.money_canonical(F.col("text"))).when(F.col("kind") == "identifier", names.norm_alnum(F.col("text"))).otherwise(F.lower("text"))
     )
-    named = parts.withColumn("canonical", canonical).filter("canonical <> ''")
+    named = parts.select("doc", "field", "text", "kind", once(canonical, lambda x: x != "").alias("canonical"))
     return named.groupBy("doc", "kind", "canonical").agg(F.min("text").alias("text"), F.array_sort(F.collect_set("field")).alias("roles"))
 
 

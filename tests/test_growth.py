@@ -7,7 +7,7 @@ import pytest
 from quire import plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ret_lexical", "win_rank_lists", "ret_fairness", "ret_keyword_docs", "ret_graph", "txt_lines_spatial"]
+NAMES = ["ret_lexical", "win_rank_lists", "ret_fairness", "ret_keyword_docs", "ret_graph", "txt_lines_spatial", "ent_reconcile_fields", "ent_bootstrap"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -74,3 +74,17 @@ def test_each_script_is_counted_once(spark):
     df = spark.createDataFrame([("plain words",), ("слово word",), ("漢字" * 3 + " ab",), ("1 2 !",), ("",), ("aaaaaaaaaaaaaaaaaaaд",)], "s string").select("s", T.mixed_script(F.col("s")).alias("mixed"))
     assert [r.mixed for r in df.collect()] == [False, True, True, False, False, False]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= len(T.SCRIPTS)
+
+
+def test_records_are_read_in_one_pass_with_all_their_oddities(spark):
+    from quire.operators import mapping
+
+    docs = [
+        (1, '{"a": 1, "a": "twice"}'), (2, '{"payee": NaN}'), (3, '{"payee": "\\u00e9 \\u20ac", "n": ' + "9" * 30 + "}"), (4, '  [{"holder": "x y"}, "bare", ["lost"]]'), (5, '"text"'),
+        (6, '{"l1": {"l2": {"l3": {"l4": {"l5": {"l6": {"l7": {"city": "eighth", "l8": {"city": "ninth"}}}}}}}}}'), (7, '{"owners": ' + str([f"n {i}" for i in range(50)]).replace("'", '"') + "}"),
+    ]
+    found = mapping.leaves(spark.createDataFrame(docs, "doc int, fields string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc, r.field, r.value) for r in found.collect() if r.doc != 7)
+    assert got == [(3, "payee", "é €"), (4, "", "bare"), (4, "holder", "x y"), (6, "city", "eighth")]
+    assert found.filter("doc = 7").count() == 40
