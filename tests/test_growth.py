@@ -76,6 +76,17 @@ def test_each_script_is_counted_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= len(T.SCRIPTS)
 
 
+def test_a_transcript_is_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import values as V
+
+    few, many = "\n".join(f"line {i} of several words here" for i in range(10)), "\n".join(["the same line again"] * 7 + ["another"] * 3)
+    df = spark.createDataFrame([(few,), (many,), ("I'm sorry, but nothing here can be read at all, not one word",)], "s string").select(V.transcript_gate(F.col("s")).alias("g")).select("g.ok", "g.score", "g.reason")
+    assert [r.reason for r in df.collect()] == ["ok", "repetitive", "refusal"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
+
+
 def test_records_are_read_in_one_pass_with_all_their_oddities(spark):
     from quire.operators import mapping
 
