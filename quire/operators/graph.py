@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.names import tokens, word_pairs
 from ..session import cut
 from .retrieval import few
-from .workspace import by_rarity
+from .workspace import by_rarity, shuffled
 
 
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -63,30 +63,35 @@ def cluster(mentions: DataFrame, often: int = 64) -> DataFrame:
     So a token that very many forms have makes no pairs by itself.
     """
     forms = mentions.groupBy("kind", "canonical").agg(F.min("id").alias("id"))
-    size = F.length("canonical")
-    named = forms.filter(F.col("kind").isin("person", "org") & (size > 0)).withColumn("w", F.array_sort(tokens(F.col("canonical")))).filter(F.size("w") > 0)
-    least = F.greatest(F.ceil(size * 0.55).cast("int"), F.lit(1))
-    parts = F.flatten(F.transform(F.sequence(least, size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("canonical").substr(i, n))))
-    inner = named.select(F.col("id").alias("y"), "kind", F.explode(F.array_distinct(parts)).alias("block"))
-    inside = named.select(F.col("id").alias("x"), "kind", F.col("canonical").alias("block")).join(inner, ["kind", "block"]).filter("x <> y").select("x", "y")
+    named = forms.filter(F.col("kind").isin("person", "org") & (F.length("canonical") > 0)).withColumn("w", F.array_sort(tokens(F.col("canonical")))).filter(F.size("w") > 0)
     sets = named.groupBy("kind", "w").agg(F.min("id").alias("id"))
-    alike = named.select("kind", "w", F.col("id").alias("y")).join(sets, ["kind", "w"]).filter("id <> y").select(F.col("id").alias("x"), "y")
-    linked = inside.unionByName(alike).unionByName(_shared_tokens(by_rarity(sets))).unionByName(_few_edits(named, often)).distinct()
+    alike = shuffled(named.select("kind", "w", F.col("id").alias("y")), sets, ["kind", "w"]).filter("id <> y").select(F.col("id").alias("x"), "y")
+    linked = _inside(named).unionByName(alike).unionByName(_shared_tokens(by_rarity(sets))).unionByName(_few_edits(named, often)).distinct()
     roots = label_components(forms.select("id"), linked).withColumnRenamed("id", "form")
-    of = mentions.join(forms.withColumnRenamed("id", "form"), ["kind", "canonical"]).select("id", "form")
-    return of.join(roots, "form").select("id", "root")
+    of = shuffled(mentions, forms.withColumnRenamed("id", "form"), ["kind", "canonical"]).select("id", "form")
+    return shuffled(of, roots, "form").select("id", "root")
+
+
+def _inside(named: DataFrame, share: float = 0.55) -> DataFrame:
+    """(x, y) of forms (kind, canonical, id) of which x lies in y and has ``share`` of its length or more; substrings meet by their hashes, what met is compared."""
+    size = F.length("canonical")
+    least = F.greatest(F.ceil(size * share).cast("int"), F.lit(1))
+    parts = F.flatten(F.transform(F.sequence(least, size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.xxhash64("kind", F.col("canonical").substr(i, n)))))
+    inner = named.filter(least < size).select(F.col("id").alias("y"), F.explode(F.array_distinct(parts)).alias("block"))
+    met = shuffled(named.select(F.col("id").alias("x"), "kind", F.col("canonical").alias("cx"), F.xxhash64("kind", "canonical").alias("block")), inner, "block")
+    return shuffled(met, named.select(F.col("id").alias("y"), F.col("kind").alias("of"), F.col("canonical").alias("cy")), "y").filter("kind = of AND contains(cy, cx)").select("x", "y")
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
     """(x, y) of different token sets (kind, id, w by rarity) of which one holds the other, or that share more than half of their tokens."""
     n = F.size("w")
     one = sets.filter(n == 1).select("kind", F.col("id").alias("x"), F.col("w")[0].alias("token"))
-    single = one.join(sets.filter(n >= 2).select("kind", F.col("id").alias("y"), F.explode("w").alias("token")), ["kind", "token"]).select("x", "y")
+    single = shuffled(one, sets.filter(n >= 2).select("kind", F.col("id").alias("y"), F.explode("w").alias("token")), ["kind", "token"]).select("x", "y")
     paired = lambda k, w: sets.filter(n >= k).select("kind", "id", "w", F.explode(word_pairs(w)).alias("pair"))
 
     def met(a: DataFrame, b: DataFrame, same) -> DataFrame:
         a, b = a.select("kind", "pair", F.col("id").alias("x"), F.col("w").alias("wx")), b.select("kind", "pair", F.col("id").alias("y"), F.col("w").alias("wy"))
-        return a.join(b, ["kind", "pair"]).filter(same).select("x", "y")
+        return shuffled(a, b, ["kind", "pair"]).filter(same).select("x", "y")
 
     shared = F.size(F.array_intersect("wx", "wy"))
     whole = met(paired(2, F.slice("w", 1, 2)), paired(3, F.col("w")), (F.size("wx") < F.size("wy")) & (shared == F.size("wx")))
@@ -103,12 +108,12 @@ def _few_edits(named: DataFrame, often: int, edits: int = 3) -> DataFrame:
     a = lambda df: df.select("kind", "block", F.col("id").alias("x"), F.col("canonical").alias("cx"))
     b = lambda df: df.select("kind", "block", F.col("id").alias("y"), F.col("canonical").alias("cy"))
     close = (F.abs(F.length("cx") - F.length("cy")) <= edits) & (F.levenshtein("cx", "cy", edits) >= 0) & F.arrays_overlap(tokens(F.col("cx")), tokens(F.col("cy")))
-    rare = each.join(counts.filter(F.col("n") <= often).select("kind", "block"), ["kind", "block"])
-    by_token = a(rare).join(b(rare), ["kind", "block"]).filter((F.col("x") < F.col("y")) & close)
+    rare = shuffled(each, counts.filter(F.col("n") <= often).select("kind", "block"), ["kind", "block"])
+    by_token = shuffled(a(rare), b(rare), ["kind", "block"]).filter((F.col("x") < F.col("y")) & close)
     # Forms of frequent tokens; those too short to be cut in quarters meet the short ones on their tokens.
     common = each.join(counts.filter(F.col("n") > often).select("kind", "block"), ["kind", "block"])
     long = F.length("canonical")
-    brief = a(common.filter(long <= edits)).join(b(common.filter(long <= 2 * edits)), ["kind", "block"]).filter((F.col("x") != F.col("y")) & close)
+    brief = shuffled(a(common.filter(long <= edits)), b(common.filter(long <= 2 * edits)), ["kind", "block"]).filter((F.col("x") != F.col("y")) & close)
     whole = common.filter(long > edits).select("kind", "id", "canonical").dropDuplicates(["id"])
     cut_at = lambda i, n: F.floor(n * i / (edits + 1)).cast("int")
     sizes = F.sequence(F.lit(0), F.lit(edits))
@@ -122,7 +127,7 @@ def _few_edits(named: DataFrame, often: int, edits: int = 3) -> DataFrame:
 
     lengths = F.filter(F.sequence(long - edits, long + edits), lambda n: n > edits)
     places = F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(sizes, lambda i: placed(n, i))))))
-    by_part = a(whole.withColumn("block", F.explode(parts))).join(b(whole.withColumn("block", F.explode(places))), ["kind", "block"]).filter((F.col("x") != F.col("y")) & close)
+    by_part = shuffled(a(whole.withColumn("block", F.explode(parts))), b(whole.withColumn("block", F.explode(places))), ["kind", "block"]).filter((F.col("x") != F.col("y")) & close)
     return by_token.select("x", "y").unionByName(brief.select("x", "y")).unionByName(by_part.select("x", "y"))
 
 
@@ -131,10 +136,10 @@ def label_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     links = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))))
     labels = nodes.select("id", F.col("id").alias("root"))
     while True:
-        near = links.join(labels, links["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["id"] == near["x"], "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        near = shuffled(links, labels, links["y"] == labels["id"]).groupBy("x").agg(F.min("root").alias("near"))
+        step = shuffled(labels, near, labels["id"] == near["x"], "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = cut(step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")))
+        step = cut(shuffled(step, jump, "root").select("id", "was", F.least("root", "next").alias("root")))
         labels = step.select("id", "root")
         if step.filter("was <> root").isEmpty():
             return labels
@@ -148,7 +153,7 @@ def best_name(text: Column) -> Column:
 
 def identities(mentions: DataFrame, limit: int = 50) -> DataFrame:
     """Durable identities: root, name, aliases (sorted, ``limit`` at most), documents and mentions."""
-    labelled = mentions.join(cluster(mentions.select("id", "kind", "canonical")), "id")
+    labelled = shuffled(mentions, cluster(mentions.select("id", "kind", "canonical")), "id")
     return labelled.groupBy("root").agg(
         best_name(F.col("text")).alias("name"), F.slice(F.array_sort(F.collect_set("canonical")), 1, limit).alias("aliases"), F.countDistinct("doc").alias("docs"), F.count("*").alias("mentions")
     )

@@ -9,11 +9,16 @@ from pyspark.sql.window import Window
 from ..functions.names import word_pairs
 
 
+def shuffled(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of which no side goes whole to all tasks through the driver: of a name's parts Spark's estimate is the bytes of the file, many times too few."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def by_rarity(sets: DataFrame, words: str = "w") -> DataFrame:
     """Different ``sets``, those without words left out, with the words of each in the order of how few sets hold them, and in ``often`` how many hold each."""
     each = sets.select(F.struct(*sets.columns).alias("_row"), F.explode(words).alias("_word"))
     counts = each.groupBy("_word").agg(F.count("*").alias("_often"))
-    told = each.join(counts, "_word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_w"))
+    told = shuffled(each, counts, "_word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_w"))
     rest = [F.col(f"_row.{c}").alias(c) for c in sets.columns if c != words]
     return told.select(*rest, F.transform("_w", lambda x: x["_word"]).alias(words), F.transform("_w", lambda x: x["_often"]).alias("often"))
 
@@ -23,7 +28,7 @@ def subset_candidates(groups: DataFrame) -> DataFrame:
     ranked = by_rarity(groups.select("name", F.array_distinct(F.split("name", " ")).alias("w")).distinct())
     a = ranked.filter(F.size("w") >= 2).select(F.col("name").alias("a"), F.col("w").alias("wa"), F.explode(word_pairs(F.slice("w", 1, 2))).alias("pair"))
     b = ranked.filter(F.size("w") >= 3).select(F.col("name").alias("b"), F.col("w").alias("wb"), F.explode(word_pairs(F.col("w"))).alias("pair"))
-    return a.join(b, "pair").filter(F.size("wa") < F.size("wb")).select("a", "wa", "b", "wb")
+    return shuffled(a, b, "pair").filter(F.size("wa") < F.size("wb")).select("a", "wa", "b", "wb")
 
 
 def merge_name_subsets(groups: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def merge_name_subsets(groups: DataFrame) -> DataFrame:
     """
     held = subset_candidates(groups).filter(F.size(F.array_except("wa", "wb")) == 0)
     best = held.groupBy(F.col("a").alias("name")).agg(F.min(F.struct((-F.size("wb")).alias("n"), "b"))["b"].alias("into"))
-    return groups.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("into", "name").alias("into"))
+    return shuffled(groups.select("name").distinct(), best, "name", "left").select("name", F.coalesce("into", "name").alias("into"))
 
 
 def names_on_file(asked: DataFrame, mentions: DataFrame) -> DataFrame:

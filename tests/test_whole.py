@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 from quire import plans
 from quire.functions import names, text
+from quire.operators import graph
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def compared(spark, folder, query, **tables):
@@ -29,3 +34,14 @@ def test_parts_are_trimmed_of_blanks_alone(spark):
     df = spark.createDataFrame([("0 first 0\n 1 second 1 \n2",)], "s string")
     assert df.select(text.sentences(F.col("s"))).first()[0] == ["0 first 0", "1 second 1", "2"]
     assert spark.createDataFrame([("Ann Lee 0 and Bo Marsh 1",)], "s string").select(names.split_people(F.col("s"))).first()[0] == ["Ann Lee 0", "Bo Marsh 1"]
+
+
+@pytest.mark.parametrize("name", ["res_cluster", "agg_identity_rebuild", "gr_identities"])
+def test_parts_of_names_do_not_go_through_the_driver(spark, tmp_path, name, monkeypatch):
+    """A name's substrings and quarters are many times the table, which looks small enough to be sent to all tasks."""
+    seen, label = [], graph.label_components
+    monkeypatch.setattr(graph, "label_components", lambda nodes, pairs: seen.append(pairs) or label(nodes, pairs))
+    want, got = compared(spark, tmp_path, name, customer=([(i, i % 25) for i in range(300)], "c_custkey long, c_nationkey int"))
+    assert want == got
+    # The few frequent words alone may be sent.
+    assert plan(seen[0]).count("BroadcastHashJoin") <= 4 and plan(seen[0]).count("SortMergeJoin") > 8
