@@ -184,15 +184,15 @@ def keep_first(texts: list[str], threshold: float = 0.9) -> list[int]:
     return [i for i, _ in kept]
 
 
-def chunks(pages: DataFrame, key: str, column: str, target: int = 1000, overlap: int = 150, threshold: float | None = 0.9, limit: int | None = None) -> DataFrame:
-    """(key, idx, start, end, text): normalised, packed, and near repeats within the document dropped."""
+def chunks(pages: DataFrame, key: str, column: str, target: int = 1000, overlap: int = 150, threshold: float | None = 0.9, limit: int | None = None, normal: bool = True) -> DataFrame:
+    """(key, idx, start, end, text): normalised, packed, and near repeats within the document dropped; without ``normal`` the text is taken as it is."""
     types = dict(pages.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for k, page in zip(pdf[key], pdf[column]):
-                found = pack(nfkc(page) or "", target, overlap, limit)
+                found = pack((nfkc(page) if normal else page) or "", target, overlap, limit)
                 for idx in keep_first([c[0] for c in found], threshold) if threshold is not None else range(len(found)):
                     text, start, end = found[idx]
                     rows.append((k, idx, start, end, text))

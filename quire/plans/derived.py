@@ -61,11 +61,22 @@ def chk_doc_pages(spark, sf):
     return D.chunks(_docs(spark, sf), "doc_id", "text")
 
 
-@query("chk_page", "SELECT doc_id, 0 AS idx, 0 AS start, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS end FROM documents WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) BETWEEN 1 AND 1000")
+#: White space as Python has it; all of a block's is one blank.
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("chk_page", rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n+'), lambda x: CAST(length(trim(regexp_replace(x, '{_BLANKS}', ' ', 'g'), ' ')) AS BIGINT)), lambda n: n > 0) AS n FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_reduce(n, lambda a, n: CASE
+ WHEN n > 1000 THEN {{'at': a.at + n + 1, 'first': -1::BIGINT, 'last': -1::BIGINT, 'upto': -1::BIGINT, 'out': a.out || CASE WHEN a.first >= 0 THEN [{{'s': a.first, 'e': a.upto}}] ELSE [] END
+  || list_transform(range(greatest(CAST(ceil((n - 1000) / 850.0) AS BIGINT), 0) + 1), lambda k: {{'s': a.at + 850 * k, 'e': a.at + least(850 * k + 1000, n)}})}}
+ WHEN a.first >= 0 AND a.upto - a.first + 1 + n > 1000 THEN {{'at': a.at + n + 1, 'first': CASE WHEN a.upto - a.last <= 150 AND a.upto - a.last + 1 + n <= 1000 THEN a.last ELSE a.at END, 'last': a.at, 'upto': a.at + n, 'out': a.out || [{{'s': a.first, 'e': a.upto}}]}}
+ ELSE {{'at': a.at + n + 1, 'first': CASE WHEN a.first >= 0 THEN a.first ELSE a.at END, 'last': a.at, 'upto': a.at + n, 'out': a.out}} END,
+ {{'at': 0::BIGINT, 'first': -1::BIGINT, 'last': -1::BIGINT, 'upto': -1::BIGINT, 'out': CAST([] AS STRUCT(s BIGINT, e BIGINT)[])}}) AS a FROM b),
+c AS (SELECT doc_id, a.out || CASE WHEN a.first >= 0 THEN [{{'s': a.first, 'e': a.upto}}] ELSE [] END AS c FROM f)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, CAST(c[i].s AS INTEGER) AS start, CAST(c[i].e AS INTEGER) AS end FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)""")
 def chk_page(spark, sf):
-    one = D.chunks(_docs(spark, sf), "doc_id", "text", threshold=None)
-    single = one.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).filter("n = 1")
-    return single.select("doc_id", F.lit(0).alias("idx"), "start", "end")
+    """The chunks of all texts, as they are: whole blocks up to 1,000 characters, longer ones in windows."""
+    return D.chunks(_docs(spark, sf), "doc_id", "text", threshold=None, normal=False).select("doc_id", "idx", "start", "end")
 
 
 @query("dup_greedy")

@@ -1,5 +1,7 @@
 """Queries that once lost or changed part of their result, each against its SQL on a small table."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,12 @@ def test_entities_of_all_kinds(spark, tmp_path):
     want, got = compared(spark, tmp_path, "ent_regex", documents=(rows, "doc_id long, text string"))
     assert want == got
     assert {"(0, 'money', '100 USD', None, None, None, None)", "(1, 'standard', 'ISO/IEC 27001:2013', 'ISO/IEC', '27001', '2013', None)", "(2, 'date', '2020-03-03', None, None, None, 'iso')", "(2, 'date', '3 March 2020', None, None, None, None)", "(3, 'control_id', 'CC6.1', None, None, None, None)"} <= {*got}
+
+
+def test_pages_of_many_chunks(spark, tmp_path):
+    rng = random.Random(5)
+    block = lambda n: "".join(rng.choice("ab ﬁ é😀\t\n\x0b\x85 ") for _ in range(n))
+    texts = [rng.choice(["\n\n", "\n \t\n\n", "\n\n\n"]).join(block(rng.choice([0, 3, 60, 149, 150, 151, 400, 849, 1000, 1001, 1850, 5200])) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    texts += [None, "", " \n\n ", "x" * 1000, "x" * 1001, "\n\n".join(["x" * 150] * 30)]
+    want, got = compared(spark, tmp_path, "chk_page", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert want == got and len(got) > 900
