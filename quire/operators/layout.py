@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from pyspark.sql import functions as F
 # this wide across it stands alone; words that head the columns of a table.
 ROW_GAP, GUTTER_FROM, GUTTER_TO, FULL = 5.0, 30, 70, 0.62
 TABLE_HEADS = ("result", "results", "unit", "units", "ref", "reference", "range", "test", "value")
+TABLE, BLANKS = frozenset(TABLE_HEADS), "[ \t\n\x0b\f\r]+"
+# Types of columns as Arrow names them.
+ARROW = {"int": "int32", "long": "int64", "double": "double", "string": "string"}
 
 
 def normal(text: Column) -> Column:
@@ -109,84 +116,146 @@ def rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     return pages.select("page", F.posexplode(found).alias("row", "words")).select("page", F.col("row").cast("long").alias("row"), "words")
 
 
-def gutter(lines: Column, width: float, lines_from: int = 8) -> Column:
-    """(gutter, split, crossing, rows) of a page's rows if it is cleanly set in two columns, else null.
+def _places(width: float) -> np.ndarray:
+    return width * np.arange(GUTTER_FROM, GUTTER_TO + 1) / 100.0
+
+
+def _gutter(row: np.ndarray, n: int, x0: np.ndarray, x1: np.ndarray, width: float, lines_from: int = 8) -> tuple[float, int, int, int] | None:
+    """(gutter, split, crossing, rows) of a page's words by row if it is cleanly set in two columns, else None.
 
     A gutter is the place that most rows are split by, words on both sides and none across it, and fewest cross; it
-    counts if at least four rows and 35 % are split and the crossing ones are a quarter of those at most.  A row keeps the
-    places that are crossed, and those with words on both sides, as bits of two numbers.
+    counts if at least four rows and 35 % are split and the crossing ones are a quarter of those at most.
     """
-    at = lambda k: width * k / 100.0
-    one = F.lit(1).cast("long")
-
-    def first(x: Column, ok: Callable[[Column, Column], Column]) -> Column:
-        """The least place that stands beyond ``x``, less the first place sought."""
-        k = lambda c: F.when(ok(at(c), x), c).when(ok(at(c + 1), x), c + 1).otherwise(c + 2)
-        return F.least(F.greatest(let(F.floor(x * 100 / width), k), F.lit(GUTTER_FROM)), F.lit(GUTTER_TO + 1)).cast("int") - GUTTER_FROM
-
-    beyond, reached = (lambda a, x: a > x), (lambda a, x: a >= x)
-    bits = lambda k, to: F.when(k < to, F.call_function("shiftleft", one, to) - F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("long"))
-    crossed = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.coalesce(bits(first(w["x0"], beyond), first(w["x1"], reached)), F.lit(0).cast("long"))))
-    parted = lambda r: F.coalesce(bits(first(F.array_min(F.transform(r, lambda w: w["x1"])), reached), first(F.array_max(F.transform(r, lambda w: w["x0"])), beyond)), F.lit(0).cast("long"))
-    told = F.transform(lines, lambda r: F.struct(crossed(r).alias("crossing"), parted(r).alias("split")))
-    has = lambda m, k: F.call_function("bit_get", m, k - GUTTER_FROM) == 1
-    crossing = lambda t, k: F.size(F.filter(t, lambda m: has(m["crossing"], k)))
-    split = lambda t, k: F.size(F.filter(t, lambda m: has(m["split"], k) & ~has(m["crossing"], k)))
-    tell = lambda t: F.array_max(F.transform(F.sequence(F.lit(GUTTER_FROM), F.lit(GUTTER_TO)), lambda k: F.struct(split(t, k).alias("split"), (-crossing(t, k)).alias("less"), (-k).alias("left"))))
-    clean = lambda b, n: (b["split"] >= F.greatest(F.lit(4), F.floor(0.35 * n))) & (-b["less"] <= 0.25 * F.greatest(F.lit(1), b["split"]))
-    n = F.size(lines)
-    counted = lambda b: F.struct((width * -b["left"] / 100.0).alias("gutter"), b["split"].cast("long").alias("split"), (-b["less"]).cast("long").alias("crossing"), n.cast("long").alias("rows"))
-    return F.when(n >= lines_from, let(let(told, tell), lambda b: F.when(clean(b, n), counted(b))))
-
-
-def gutters(lines: DataFrame, width: float, lines_from: int = 8) -> DataFrame:
-    """(page, gutter, split, crossing, rows) of the pages that have a ``gutter``; ``lines`` are ``rows`` or ``page_rows``."""
-    pages = lines if "rows" in lines.columns else lines.groupBy("page").agg(F.collect_list("words").alias("rows"))
-    return pages.select("page", F.inline(F.array_compact(F.array(let(F.col("rows"), lambda r: gutter(r, width, lines_from))))))
-
-
-def heading(text: Column) -> Column:
+    if n < lines_from:
+        return None
+    at = _places(width)
+    k, wide = len(at), len(at) + 1
+    # A row is crossed from the first place beyond a word's start to the one before its end, and split from its first end to its last start.
+    marks = np.bincount(row * wide + np.searchsorted(at, x0, "right"), minlength=n * wide) - np.bincount(row * wide + np.maximum(np.searchsorted(at, x1, "left"), np.searchsorted(at, x0, "right")), minlength=n * wide)
+    crossed = np.cumsum(marks.reshape(n, wide), axis=1)[:, :k] > 0
+    ends, starts = np.full(n, np.inf), np.full(n, -np.inf)
+    np.minimum.at(ends, row, x1)
+    np.maximum.at(starts, row, x0)
+    parted = (ends[:, None] <= at) & (at <= starts[:, None]) & ~crossed
+    split, crossing = parted.sum(axis=0), crossed.sum(axis=0)
+    best = np.lexsort((np.arange(k), crossing, -split))[0]
+    s, c = int(split[best]), int(crossing[best])
+    return (float(at[best]), s, c, n) if s >= max(4, math.floor(0.35 * n)) and c <= 0.25 * max(1, s) else None
+
+
+def _rowed(text: list[str | None], x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The order of a page's words by row, from left to right, the row of each in that order, and how many rows there are."""
+    cy = (y0 + y1) / 2
+    down = np.argsort(cy, kind="stable")
+    row = np.empty(len(cy), np.int64)
+    row[down] = np.cumsum(np.append(0, np.diff(cy[down]) > gap))
+    order = np.lexsort((x1, x0, row))
+    keys = np.stack([row[order], x0[order], x1[order]])
+    same = np.flatnonzero((keys[:, 1:] == keys[:, :-1]).all(axis=0))
+    # Words at one place go by their text.
+    for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else ():
+        span = slice(run[0], run[-1] + 2)
+        order[span] = sorted(order[span], key=lambda i: (text[i] is not None, text[i] or ""))
+    return order, row[order], int(row.max()) + 1
+
+
+def _laid(pages: DataFrame, read: Callable[..., list[tuple]], kind: str, gap: float, boxes: Callable | None) -> DataFrame:
+    """``read`` of each page's words by row, its rows behind the page; a page is laid out where it stands."""
+    if "words" not in pages.columns:
+        pages = pages.groupBy("page").agg(F.collect_list(F.struct("text", "x0", "y0", "x1", "y1")).alias("words"))
+    held = pages.select("page", "words" if boxes else F.transform("words", lambda w: F.struct(w["text"].alias("text"), *(w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("words"))
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def worded(words: pa.ListScalar) -> tuple:
+        flat = words.values
+        return flat.field("text").to_pylist(), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for batch in batches:
+            out, at = [], []
+            for i, words in enumerate(batch.column(1)):
+                if words.is_valid:
+                    text, x0, y0, x1, y1 = boxes(words.as_py()) if boxes else worded(words)
+                    if len(text):
+                        order, row, n = _rowed(text, x0, y0, x1, y1, gap)
+                        found = read([text[j] for j in order], x0[order], x1[order], row, n)
+                        out += found
+                        at += [i] * len(found)
+            schema = schema or [pa.type_for_alias(ARROW[c.split()[1]]) for c in kind.split(", ")]
+            columns = [pa.array(c, t) for c, t in zip([*zip(*out)] or [()] * len(names), schema)]
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["page", *names])
+
+    return held.mapInArrow(run, f"page {held.schema['page'].dataType.simpleString()}, {kind}")
+
+
+def gutters(lines: DataFrame, width: float, lines_from: int = 8, gap: float = ROW_GAP, boxes: Callable | None = None) -> DataFrame:
+    """(page, gutter, split, crossing, rows) of the pages that are cleanly set in two columns; ``lines`` are ``rows`` or ``page_rows``, or with ``boxes`` pages as in ``columns``."""
+    if not boxes:
+        pages = lines if "rows" in lines.columns else lines.groupBy("page").agg(F.collect_list("words").alias("rows"))
+        word = lambda w, y: F.struct(w["text"].alias("text"), w["x0"].alias("x0"), y.alias("y0"), w["x1"].alias("x1"), y.alias("y1"))
+        lines = pages.select("page", F.flatten(F.transform("rows", lambda row, i: F.transform(row, lambda w: word(w, i * 2 * gap)))).alias("words"))
+
+    def read(text, x0, x1, row, n):
+        found = _gutter(row, n, x0, x1, width, lines_from)
+        return [found] if found else []
+
+    return _laid(lines, read, "gutter double, split long, crossing long, rows long", gap, boxes)
+
+
+def heading(text: str) -> bool:
     """A short label in capitals, without digits."""
-    return (F.size(F.split(F.trim(text), r"\s+")) <= 6) & ~text.rlike("[0-9]") & text.rlike(r"\p{L}.*\p{L}") & (F.upper(text) == text)
+    lettered = any(sum(c.isalpha() for c in line) >= 2 for line in re.split("[\n\r\x85\u2028\u2029]", text))
+    return len(re.split(BLANKS, text.strip(" "))) <= 6 and not re.search("[0-9]", text) and lettered and text.upper() == text
 
 
-def columns(words: DataFrame, width: float, headings: int = 2, gap: float = ROW_GAP) -> DataFrame:
+def columns(words: DataFrame, width: float, headings: int = 2, gap: float = ROW_GAP, boxes: Callable | None = None) -> DataFrame:
     """(page, pos, band, side, text): the rows of two-column pages in reading order.
 
+    ``words`` is a table of words or of pages, with their words as an array; with ``boxes``, a page's ``words`` are whatever that
+    makes its texts, x0, y0, x1 and y1 of.
+
     Rows that cross the gutter and fill FULL of the page part it in bands; in each the left column is read before the right, a
     word across the gutter going to the side of its middle.  Pages with fewer than ``headings`` headings in either
     column, with two rows of table heads on the right, or whose right side parts again, are tables or forms and left out.
     """
-    said = lambda c: F.array_join(F.transform(c, lambda w: w["text"]), " ")
-
-    def part(row: Column, g: Column) -> Column:
-        across = lambda w: (w["x0"] < g) & (w["x1"] > g)
-        middle = lambda w: (w["x0"] + w["x1"]) / 2
-        full = F.exists(row, across) & (F.array_max(F.transform(row, lambda w: w["x1"])) - row[0]["x0"] >= FULL * width)
-        l = F.filter(row, lambda w: F.when(across(w), middle(w) < g).otherwise(w["x1"] <= g))  # noqa: E741
-        r = F.filter(row, lambda w: F.when(across(w), middle(w) >= g).otherwise(w["x0"] >= g))
-        return F.struct(full.alias("full"), row.alias("whole"), l.alias("l"), r.alias("r"))
-
-    def kept(parts: Column, g: Column) -> Column:
-        right = lambda p: F.filter(p["r"], lambda w: w["x0"] >= g)
-        left = lambda p: F.filter(p["l"], lambda w: w["x1"] <= g)
-        many = lambda ok: F.size(F.filter(parts, ok))
-        headed = lambda side: many(lambda p: ~p["full"] & let(said(side(p)), heading)) >= headings
-        heads = many(lambda p: F.size(F.array_intersect(F.split(F.lower(said(right(p))), r"\s+"), F.array(*map(F.lit, TABLE_HEADS)))) > 0)
-        again = let(F.filter(F.transform(parts, right), lambda r: F.size(r) > 0), lambda r: gutter(r, width))
-        ok = (heads < 2) & again.isNull()
-        return headed(left) & headed(right) & ok if headings else ok
-
-    def read(parts: Column) -> Column:
-        # A full row is a band of its own: it ends the one before and the next row starts another.
-        edges = F.transform(parts, lambda p, i: p["full"].cast("int") + F.coalesce(F.get(parts, i - 1)["full"].cast("int"), F.lit(0)))
-        side = lambda band, i, k, words: F.struct(band.alias("band"), F.lit(k).alias("side"), i.alias("row"), said(words).alias("text"))
-        sides = lambda p, i, band: F.when(p["full"], F.array(side(band, i, 0, p["whole"]))).otherwise(F.array(side(band, i, 1, p["l"]), side(band, i, 2, p["r"])))
-        each = let(running(edges), lambda bands: F.flatten(F.transform(parts, lambda p, i: sides(p, i, F.get(bands, i)))))
-        return F.sort_array(F.filter(each, lambda x: F.trim(x["text"]) != ""))
-
-    def ordered(lines: Column) -> Column:
-        return let(gutter(lines, width)["gutter"], lambda g: F.when(g.isNotNull(), let(F.transform(lines, lambda row: part(row, g)), lambda parts: F.when(kept(parts, g), read(parts)))))
 
-    laid = page_rows(words, gap).select("page", F.posexplode(let(F.col("rows"), ordered)).alias("pos", "x"))
-    return laid.select("page", (F.col("pos") + 1).alias("pos"), "x.band", "x.side", "x.text")
+    def read(text, x0, x1, row, n):
+        found = _gutter(row, n, x0, x1, width)
+        if not found:
+            return []
+        g = found[0]
+        across = (x0 < g) & (x1 > g)
+        middle = (x0 + x1) / 2
+        sides = [np.where(across, middle < g, x1 <= g), np.where(across, middle >= g, x0 >= g)]
+        first = np.searchsorted(row, np.arange(n))
+        last = np.maximum.reduceat(x1, first)
+        full = np.logical_or.reduceat(across, first) & (last - x0[first] >= FULL * width)
+
+        def said(mask: np.ndarray) -> list[str]:
+            rows: list[list[str]] = [[] for _ in range(n)]
+            for i in np.flatnonzero(mask).tolist():
+                if text[i] is not None:
+                    rows[row[i]].append(text[i])
+            return [" ".join(r) for r in rows]
+
+        right = sides[1] & (x0 >= g)
+        if sum(1 for r in said(right) if not TABLE.isdisjoint(re.split(BLANKS, r.lower()))) >= 2:
+            return []
+        there, again = np.unique(row[right], return_inverse=True)
+        if _gutter(again, len(there), x0[right], x1[right], width):
+            return []
+        if headings:
+            for mask in (sides[0] & (x1 <= g), right):
+                if sum(1 for i, r in enumerate(said(mask)) if not full[i] and heading(r)) < headings:
+                    return []
+        # A full row is a band of its own: it ends the one before and the next row starts another.
+        band = np.cumsum(full.astype(int) + np.append(0, full[:-1])).tolist()
+        whole = said(np.ones(len(row), bool))
+        each = [(band[i], 0, i, whole[i]) for i in np.flatnonzero(full).tolist()]
+        for side, mask in enumerate(sides, 1):
+            each += [(band[i], side, i, t) for i, t in enumerate(said(mask)) if not full[i]]
+        kept = sorted(x for x in each if x[3].strip(" "))
+        return [(pos, b, side, t) for pos, (b, side, _, t) in enumerate(kept, 1)]
+
+    return _laid(words, read, "pos int, band long, side int, text string", gap, boxes)

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import layout as L
-from ..session import table
+from ..session import small_batches, table
 from .registry import query
 
 #: What RE2 takes for \\S+; Java takes a vertical tab for white space as well.
 WORD = r"[^\t\n\f\r ]+"
+WORDS = re.compile(WORD).findall
 BOXES = r"""l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS y FROM documents),
 w AS (SELECT page, y, i, a[i] AS text, list_sum(list_transform(a[1:i], lambda x: length(x) + 1)) - length(a[i]) - 1 AS x FROM (SELECT page, y, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page, y, regexp_extract_all(line, '\S+') AS a FROM l))),
 words AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y, i) - 1 AS INTEGER) AS n, text, CAST(x * 5 AS DOUBLE) AS x0, CAST(y * 12 AS DOUBLE) AS y0, CAST((x + length(text)) * 5 AS DOUBLE) AS x1, CAST(y * 12 + 10 AS DOUBLE) AS y1, y FROM w)"""
 
 
+def _documents(spark, sf):
+    """(page, texts): each document where it stands; only documents of one id are brought together."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.array("text").alias("texts"))
+    if docs.groupBy("page").count().filter("count > 1").isEmpty():
+        return docs
+    return docs.groupBy("page").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+
+
 def _pages(spark, sf):
     """(page, words): the words of all documents, each with text, x0, y0, x1, y1 and y: five points a character and twelve a line.
 
-    A page is made where its document stands; only documents of one id are brought together.
+    A page is made where its document stands.
     """
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.array("text").alias("texts"))
-    if not docs.groupBy("page").count().filter("count > 1").isEmpty():
-        docs = docs.groupBy("page").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    docs = _documents(spark, sf)
     box = lambda w, end, y: F.struct(w.alias("text"), ((end - F.length(w)) * 5.0).alias("x0"), (y * 12.0).alias("y0"), (end * 5.0).alias("x1"), (y * 12.0 + 10).alias("y1"), y.alias("y"))
     placed = lambda found, y: F.zip_with(found, L.running(F.transform(found, lambda w: F.length(w) + 1)), lambda w, end: box(w, end - 1, y))
     line = lambda c, y: L.let(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda found: placed(found, y))
@@ -68,6 +78,25 @@ def _two_columns(spark, sf):
     return _pages(spark, sf).select("page", F.transform("words", side).alias("words"))
 
 
+def _texts(spark, sf):
+    """(page, words): the texts that ``_in_two`` makes a page's words of, handed to Python in small batches."""
+    small_batches(spark)
+    return _documents(spark, sf).select("page", F.col("texts").alias("words"))
+
+
+def _in_two(texts):
+    """What ``_two_columns`` makes of a document: texts, x0, y0, x1 and y1 of its words."""
+    lines = [(y, WORDS(line)) for t in texts if t is not None for y, line in enumerate(t.split("\n"))]
+    text = [w for _, found in lines for w in found]
+    counts, long = np.array([len(found) for _, found in lines], int), np.fromiter(map(len, text), int, len(text))
+    y, upto = np.repeat(np.array([y for y, _ in lines], int), counts), np.cumsum(long + 1)
+    before = np.append(0, upto)[np.cumsum(counts) - counts]
+    x = (upto - long - 1 - np.repeat(before, counts)) * 5.0
+    fold = np.floor(x / 270)
+    x0, y0 = x - fold * 270 + 310.0 * (y % 2), y // 2 * 60 + fold % 5 * 12.0
+    return text, x0, y0, x0 + long * 5.0, y0 + 10
+
+
 @query("pdf_rows", f"WITH {SIDES} SELECT page, CAST(r AS BIGINT) AS row, count(*) AS words, min(x0) AS x0, max(x1) AS x1 FROM rowed GROUP BY 1, 2")
 def pdf_rows(spark, sf):
     found = L.rows(_two_columns(spark, sf))
@@ -80,10 +109,10 @@ s AS (SELECT page, k, count(*) FILTER (WHERE split AND NOT crossing) AS split, c
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY split DESC, crossing, k) = 1)
 SELECT page, 6e0 * k AS gutter, split, crossing, rows FROM b WHERE rows >= 8 AND split >= greatest(4, floor(0.35 * rows)) AND crossing <= 0.25 * greatest(1, split)""")
 def pdf_gutter(spark, sf):
-    return L.gutters(L.page_rows(_two_columns(spark, sf)), 600.0)
+    return L.gutters(_texts(spark, sf), 600.0, boxes=_in_two)
 
 
 @query("src_pdf_columns")
 def src_pdf_columns(spark, sf):
     """Reading order of the two-column pages; as the texts have no headings, none are asked for."""
-    return L.columns(_two_columns(spark, sf), 600.0, headings=0)
+    return L.columns(_texts(spark, sf), 600.0, headings=0, boxes=_in_two)

@@ -64,3 +64,17 @@ def test_pages_of_many_chunks(spark, tmp_path):
     texts += [None, "", " \n\n ", "x" * 1000, "x" * 1001, "\n\n".join(["x" * 150] * 30)]
     want, got = compared(spark, tmp_path, "chk_page", documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert want == got and len(got) > 900
+
+
+def test_pages_are_laid_out_in_arrow_batches(spark, tmp_path):
+    from quire.operators import layout
+    from quire.plans import boxes
+
+    rng = random.Random(6)
+    texts = ["\n".join(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(4, 7))) for _ in range(30)) for _ in range(12)] + ["a\x0bb c\n\n ü 漢字 😀x\fy", "", None, " ".join(f"w{i % 7}" for i in range(3000))]
+    spark.createDataFrame([*enumerate(texts), (1, "of one id")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES["src_pdf_columns"](spark, str(tmp_path))
+    assert "MapInArrow" in plan(found) and "transform(" not in plan(found)
+    # As the boxes that Spark's own functions make of the texts.
+    same = layout.columns(boxes._two_columns(spark, str(tmp_path)), 600.0, headings=0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect())) and found.count() > 100
