@@ -35,15 +35,16 @@ ORGANISATIONS = (" PTE", " LTD", " LIMITED", " INC", " LLC", " GMBH", " CORP", "
 RELATIONS = {"person": "is_party_to", "org": "is_party_to", "date": "dated", "money": "has_total", "location": "governed_by", "identifier": "has_identifier"}
 
 
-def leaves(docs: DataFrame, fields: str = "fields", depth: int = 8, items: int = 40) -> DataFrame:
-    """(doc, field, value): the strings of nested records, each under the nearest field name above it.
+def leaves(docs: DataFrame, fields: str = "fields", depth: int = 8, items: int = 40, whole: bool = False) -> DataFrame:
+    """(doc, field, value): the strings of nested records, each under the nearest field name above it; if ``whole`` a row for each record, its other columns and ``found`` with its fields and values.
 
     An object that has a name, or else a value, that is a string stands for that string; of an array the
     first ``items`` entries count.  A record is parsed and read where it stands, ``depth`` levels at most, so
     nothing is shuffled or written; numbers, flags, broken records and the SKIPPED fields name nothing.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc"].dataType.simpleString()
+    others = [c for c in docs.columns if c != fields] if whole else ["doc"]
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in others]
     skipped = frozenset(SKIPPED)
 
     def read(v: dict | list, above: str, left: int, out: list[tuple[str, str]]) -> None:
@@ -67,17 +68,21 @@ def leaves(docs: DataFrame, fields: str = "fields", depth: int = 8, items: int =
         decode = json.JSONDecoder(parse_int=len, parse_float=len, strict=False).raw_decode  # numbers name nothing
         for batch in batches:
             found, sizes = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(len(others)).to_pylist():
                 before, v = len(found), decode(text.lstrip(" \t\r\n\ufeff"))[0]
                 if isinstance(v, (dict, list)):
                     read(v, "", depth, found)
                 sizes.append(len(found) - before)
+            if whole:
+                told = pa.StructArray.from_arrays([plain(f for f, _ in found), plain(t for _, t in found)], ["field", "value"])
+                yield pa.record_batch([*batch.columns[: len(others)], pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), told)], [*others, "found"])
+                continue
             at = np.repeat(np.arange(batch.num_rows), np.array(sizes, int))
             yield pa.record_batch([batch.column(0).take(pa.array(at)), plain(f for f, _ in found), plain(t for _, t in found)], ["doc", "field", "value"])
 
-    # What Spark cannot parse is broken, whatever Python makes of it.
-    whole = docs.select("doc", F.col(fields).alias("fields")).filter(F.try_parse_json("fields").isNotNull())
-    return whole.mapInArrow(run, f"doc {kind}, field string, value string")
+    # What Spark cannot parse is broken, whatever Python makes of it.  A filter would be pushed down and have the text made again.
+    sound = docs.select(*others, F.explode(F.filter(F.array(fields), lambda x: F.try_parse_json(x).isNotNull())).alias("_fields"))
+    return sound.mapInArrow(run, ", ".join([*kinds, "found array<struct<field:string,value:string>>" if whole else "field string, value string"]))
 
 
 def kind_of(field: Column) -> Column:
@@ -95,18 +100,45 @@ def entities(found: DataFrame) -> DataFrame:
     once = lambda c, keep: F.explode(F.filter(F.array(c), keep))
     long = found.filter("length(value) >= 2").select("doc", "field", F.trim("value").alias("value")).filter("value <> ''")
     kinds = long.select("doc", "field", "value", once(kind_of(F.col("field")), lambda k: k.isNotNull()).alias("kind"))
+    parts = kinds.select("doc", "field", "kind", F.explode(_parts(F.col("kind"), F.col("value"))).alias("x"))
+    parts = parts.select("doc", "field", F.col("x.text").alias("text"), once(_kind(F.col("kind"), F.col("x")), lambda k: F.lit(True)).alias("kind"))
+    named = parts.select("doc", "field", "text", "kind", once(_canonical(F.col("kind"), F.col("text")), lambda x: x != "").alias("canonical"))
+    return named.groupBy("doc", "kind", "canonical").agg(F.min("text").alias("text"), F.array_sort(F.collect_set("field")).alias("roles"))
+
+
+def _parts(kind: Column, value: Column) -> Column:
+    """The holders a value of a party names, or the value alone."""
     part = lambda text, joint: F.struct(text.alias("text"), joint.alias("joint"))
-    people = names.let(names.split_people(F.col("value")), lambda p: F.transform(p, lambda x: part(x, F.size(p) > 1)))
-    parts = kinds.select("doc", "field", "kind", F.explode(F.when(F.col("kind") == "party", people).otherwise(F.array(part(F.col("value"), F.lit(False))))).alias("x"))
-    org = lambda x: ~x["joint"] & names.let(F.concat(F.lit(" "), F.upper(x["text"])), lambda upper: F.exists(F.array(*map(F.lit, ORGANISATIONS)), lambda t: F.contains(upper, t)))
-    kind = F.when(F.col("kind") != "party", F.col("kind")).when(org(F.col("x")), "org").otherwise("person")
-    parts = parts.select("doc", "field", F.col("x.text").alias("text"), once(kind, lambda k: F.lit(True)).alias("kind"))
-    canonical = (
-        F.when(F.col("kind") == "org", names.canon_org(F.col("text"))).when(F.col("kind") == "person", names.canon_name_sorted(F.col("text"))).when(F.col("kind") == "date", names.canon_date(F.col("text")))
-        .when(F.col("kind") == "money", names.money_canonical(F.col("text"))).when(F.col("kind") == "identifier", names.norm_alnum(F.col("text"))).otherwise(F.lower("text"))
+    people = names.let(names.split_people(value), lambda p: F.transform(p, lambda x: part(x, F.size(p) > 1)))
+    return F.when(kind == "party", people).otherwise(F.array(part(value, F.lit(False))))
+
+
+def _kind(kind: Column, x: Column) -> Column:
+    """org or person for a party, else the kind."""
+    org = ~x["joint"] & names.let(F.concat(F.lit(" "), F.upper(x["text"])), lambda upper: F.exists(F.array(*map(F.lit, ORGANISATIONS)), lambda t: F.contains(upper, t)))
+    return F.when(kind != "party", kind).when(org, "org").otherwise("person")
+
+
+def _canonical(kind: Column, text: Column) -> Column:
+    return (
+        F.when(kind == "org", names.canon_org(text)).when(kind == "person", names.canon_name_sorted(text)).when(kind == "date", names.canon_date(text))
+        .when(kind == "money", names.money_canonical(text)).when(kind == "identifier", names.norm_alnum(text)).otherwise(F.lower(text))
     )
-    named = parts.select("doc", "field", "text", "kind", once(canonical, lambda x: x != "").alias("canonical"))
-    return named.groupBy("doc", "kind", "canonical").agg(F.min("text").alias("text"), F.array_sort(F.collect_set("field")).alias("roles"))
+
+
+def entities_in(records: DataFrame) -> DataFrame:
+    """The columns of ``records`` but ``found``, kind and canonical: as ``entities`` of ``leaves`` that are ``whole``, each once a record, where the record stands: nothing is shuffled."""
+    let = names.let
+    # Joined to one text each, so that telling them apart takes no pairs.
+    told = lambda kind, text: F.concat(kind, F.lit("\0"), _canonical(kind, text))
+    of = lambda kind, value: F.transform(_parts(kind, value), lambda x: let(_kind(kind, x), lambda k: told(k, x["text"])))
+    none = F.array().cast("array<string>")
+    each = lambda x: let(kind_of(x["field"]), lambda kind: F.when(kind.isNull(), none).otherwise(let(F.trim(x["value"]), lambda value: of(kind, value))))
+    said = F.filter("found", lambda x: (F.length(x["value"]) >= 2) & (F.trim(x["value"]) != ""))
+    named = F.array_distinct(F.filter(F.flatten(F.transform(said, each)), lambda x: ~x.endswith("\0")))
+    out = records.select(*(c for c in records.columns if c != "found"), F.explode(named).alias("_x"))
+    at = F.instr("_x", "\0")
+    return out.select("*", F.col("_x").substr(F.lit(1), at - 1).alias("kind"), F.col("_x").substr(at + 1, F.length("_x")).alias("canonical")).drop("_x")
 
 
 def relations(found: DataFrame) -> DataFrame:
@@ -115,6 +147,13 @@ def relations(found: DataFrame) -> DataFrame:
     return found.select("doc", known[F.col("kind")].alias("rel"), "kind", "canonical")
 
 
+def run_again(found: DataFrame, again: Column) -> DataFrame:
+    """``found`` with run and deprecated_by after a first run over all documents and a second over those marked ``again``: as two of ``refreshed`` leave it, without a join."""
+    row = lambda run, by: F.struct(F.lit(run).alias("run"), by.cast("int").alias("deprecated_by"))
+    runs = F.when(again, F.array(row(1, F.lit(2)), row(2, F.lit(None)))).otherwise(F.array(row(1, F.lit(None))))
+    return found.select("*", F.inline(runs))
+
+
 def refreshed(earlier: DataFrame, docs: DataFrame, found: DataFrame, run: int) -> DataFrame:
     """``earlier`` (doc, kind, canonical, text, roles, run, deprecated_by) after a run over ``docs`` (doc).
 

@@ -78,3 +78,28 @@ def test_pages_are_laid_out_in_arrow_batches(spark, tmp_path):
     # As the boxes that Spark's own functions make of the texts.
     same = layout.columns(boxes._two_columns(spark, str(tmp_path)), 600.0, headings=0)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect())) and found.count() > 100
+
+
+def test_entities_of_records_are_told_where_they_stand(spark, tmp_path):
+    tables = {
+        "nation": ([(0, "FRANCE"), (1, "PERU")], "n_nationkey int, n_name string"),
+        "customer": ([(1, "Customer#1", 0), (2, "Ann Lee / Bo Marsh", 1)], "c_custkey long, c_name string, c_nationkey int"),
+        "orders": ([(1, 1, "P", "1-URGENT"), (2, 1, "F", "2-HIGH"), (3, 1, None, "1-URGENT"), (4, 1, "O", "5-LOW"), (5, 9, "P", "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(k, p, 10.5 * p, 1.0) for k in (1, 2, 3) for p in (7, 7, 8)], "l_orderkey long, l_partkey long, l_extendedprice double, l_quantity double"),
+    }
+    day = "1995-01-02 03:04:05"
+    for again in ([], [(1, 1, "F", "5-LOW"), (2, 1, "P", "2-HIGH")]):  # ids that repeat, pending in one row only
+        folder = tmp_path / str(len(again))
+        rows, schema = tables["orders"]
+        frame = [(*r, day) for r in rows + again]
+        spark.createDataFrame(frame, schema + ", d string").selectExpr("*", "CAST(d AS timestamp_ntz) AS o_orderdate").drop("d").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+        con = duckdb.connect()
+        for name, (rows, schema) in tables.items():
+            if name != "orders":
+                spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+        found = plans.QUERIES["ent_bootstrap"](spark, str(folder))
+        exchanges = [p for p in plan(found).splitlines() if "Exchange hashpartitioning" in p]
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(plans.SQL["ent_bootstrap"]).fetchall(), key=str)
+        # Without repeated ids nothing is shuffled by order but orders and lines, once, and no entities.
+        assert len(again) or (sum("orderkey" in p for p in exchanges) == 2 and not any("kind#" in p or "doc#" in p for p in exchanges))
