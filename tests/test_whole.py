@@ -103,3 +103,10 @@ def test_entities_of_records_are_told_where_they_stand(spark, tmp_path):
         assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(plans.SQL["ent_bootstrap"]).fetchall(), key=str)
         # Without repeated ids nothing is shuffled by order but orders and lines, once, and no entities.
         assert len(again) or (sum("orderkey" in p for p in exchanges) == 2 and not any("kind#" in p or "doc#" in p for p in exchanges))
+
+
+def test_lexical_ranks_by_trigrams_too(spark, tmp_path):
+    docs = [(1, "licences of software"), (2, "the license"), (3, "nothing here"), (4, None), (5, ""), (6, "日本 licensed licensed"), (7, "zz 9 9a")]
+    asked = [(1, "license of softwares"), (2, "ß?"), (3, "licensing 9"), (4, "here nothing nothing")]
+    want, got = compared(spark, tmp_path, "ret_lexical", documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
+    assert want == got and len(got) == 4 * 7
