@@ -110,3 +110,11 @@ def test_lexical_ranks_by_trigrams_too(spark, tmp_path):
     asked = [(1, "license of softwares"), (2, "ß?"), (3, "licensing 9"), (4, "here nothing nothing")]
     want, got = compared(spark, tmp_path, "ret_lexical", documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
     assert want == got and len(got) == 4 * 7
+
+
+def test_a_field_is_of_the_same_kind_in_python(spark):
+    from quire.operators import mapping
+
+    said = ["Country", "ship_to", "total_due", "AMOUNT", "sku_number", "policy_no", "Vendor", "KIBAN", "", "zip", "line_items", "due_date", "tax_id", "buyer name"]
+    rows = spark.createDataFrame([(s,) for s in said], "s string").select("s", mapping.kind_of(F.col("s")).alias("k")).collect()
+    assert {r.s: r.k for r in rows} == {s: mapping.said_kind(s) for s in said}
